@@ -49,7 +49,28 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
+def remainder(name: str, n: int):
+    """crc32 of an id as text, modulo n: the folds of the contracts."""
+    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    grammar, weights = fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=remainder("id", 3) != 1)
+    return toxicity_scores(docs, grammar, weights).select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_clauses")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import fit_languages, identify_languages
+
+    docs = table(spark, sf_dir, "documents")
+    fitted = fit_languages(docs, learn=remainder("id", 5) != 0)
+    return identify_languages(docs, fitted).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
