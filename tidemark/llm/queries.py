@@ -70,7 +70,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, fitted).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
