@@ -82,7 +82,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
