@@ -215,3 +215,19 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar, weights: np.ndarray, thre
     plain = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     return plain.mapInArrow(run, f"id {kind}, score double, predicted int, n_clauses long").withColumnRenamed("id", id_col)
+
+
+def toxic_rows_removed(docs: DataFrame, grammar: Grammar, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs, with all columns, less the rows whose text scores threshold or more. Narrow: rows pass through as they are."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        memo = _Codes(grammar)
+        for b in batches:
+            keep = []
+            for t in b.column(place):
+                z = float(np.dot(features(*grammar.channels(t.as_py() or "", memo)), weights[:-1]) + weights[-1])
+                keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
