@@ -9,6 +9,7 @@ anchors, compared inside each interval, tell how far its repeats extend to the l
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +149,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     an empty table gives no rows.
 
     Shuffled are anchors (about one in length / 2 bytes), the surroundings of those whose gram occurs again, and the texts twice,
-    to fetch the surroundings and to cut. A gram with over CROWD occurrences is not gathered: each window around it is hashed
-    (128 bits) and dealt by that hash, so a passage that a large part of all texts share is spread over as many tasks as it has
-    bytes, and tasks stream such windows without holding them.
+    to fetch the surroundings and to cut. A gram with over CROWD occurrences is not gathered: its surroundings are dealt by their
+    own hash (128 bits), those that occur again are covered as they are, and of each different one the windows are dealt by
+    theirs, so a passage that a large part of all texts share is spread over many tasks, which stream such rows without holding them.
     """
     most_left = length - GRAM
     kind = docs.select(col(id_col).alias("id")).schema[0].dataType.simpleString()
@@ -170,7 +171,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(at)), pa.array(np.concatenate(keys))], ["id", "t", "pos", "key"])
 
     found = settle(plain.where(F.length("text") >= length).mapInArrow(find, f"id {kind}, t long, pos long, key long"), "anchors")
-    again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    again = settle(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
     places = found.join(again, "key").groupBy("id", "t").agg(F.collect_set(F.struct("pos", "key", (F.col("n") > CROWD).alias("crowd"))).alias("places"))
     places = places.select(F.col("id").alias("p_id"), F.col("t").alias("p_t"), "places")
     joined = plain.join(places, plain["id"].eqNullSafe(F.col("p_id")) & (plain["t"] == F.col("p_t"))).select("id", "t", "text", "places")
@@ -181,22 +182,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int64()]
             out = []
             for i, t, text, at in zip(*(b.column(c).to_pylist() for c in range(4))):
-                hot = []
                 for p in at:
-                    pos = p["pos"]
+                    pos, key, more = p["pos"], p["key"], 0
+                    left, right = text[max(0, pos - most_left) : pos][::-1], text[pos : pos + length]
                     if p["crowd"]:
-                        hot.append(pos)
-                    else:
-                        out.append((False, p["key"], 0, text[max(0, pos - most_left) : pos][::-1], text[pos : pos + length], i, t, pos))
-                if hot:
-                    starts = np.unique(np.concatenate([np.arange(max(0, p - most_left), min(p, len(text) - length) + 1) for p in hot]))
-                    for s in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
-                        for at_ in range(0, len(s), 50_000):
-                            part = s[at_ : at_ + 50_000]
-                            data = np.frombuffer(text, np.uint8)[part[0] : part[-1] + length]
-                            n, own = len(part), b.schema.field(0).type
-                            cols = [pa.array(np.ones(n, bool)), pa.array(window_hashes(data, length, 7).view(np.int64)), pa.array(window_hashes(data, length, 8).view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([i] * n, own), pa.array(np.full(n, t)), pa.array(part)]
-                            yield pa.RecordBatch.from_arrays(cols, names)
+                        key, more = struct.unpack("<qq", hashlib.blake2b(struct.pack("<q", len(left)) + left + right, digest_size=16).digest())
+                    out.append((p["crowd"], key, more, left, right, i, t, pos))
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                     out = []
@@ -204,6 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def solve(batches):
+        """Reaches as rows without a window; of each distinct surrounding in a crowd, also its windows, to be counted elsewhere."""
         out, key, group, held = [], None, {}, None
 
         def gathered():
@@ -212,10 +204,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             for c, (a, z) in zip(contexts, got):
                 if z:
                     for i, t, pos in group[c]:
-                        out.append((i, t, pos - a, pos + z))
+                        out.append((None, None, i, t, pos - a, pos + z))
 
         def batch(kind):
-            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [kind, pa.int64(), pa.int64(), pa.int64()])], ["id", "t", "start", "end"])
+            kinds = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64()]
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["w", "x", "id", "t", "start", "end"])
             out.clear()
             return rows
 
@@ -227,11 +220,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                         gathered()
                         group = {}
                     key, held = (crowd, k, more), (i, t, pos) if crowd else None
-                elif crowd:
-                    if held:
-                        out.append((held[0], held[1], held[2], held[2] + length))
-                        held = None
-                    out.append((i, t, pos, pos + length))
+                    if crowd and len(left) + len(right) >= length:
+                        data = np.frombuffer(left[::-1] + right, np.uint8)
+                        w, x = (window_hashes(data, length, s).view(np.int64).tolist() for s in (7, 8))
+                        out += [(w[j], x[j], i, t, s, s + length) for j, s in enumerate(range(pos - len(left), pos - len(left) + len(w)))]
+                elif crowd and len(left) + len(right) >= length:
+                    for x in [held, (i, t, pos)] if held else [(i, t, pos)]:
+                        out.append((None, None, x[0], x[1], x[2] - len(left), x[2] + len(right)))
+                    held = None
                 if not crowd:
                     group.setdefault((left, right), []).append((i, t, pos))
                 if len(out) >= 10_000:
@@ -241,8 +237,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         if out:
             yield batch(arrow)
 
+    def twice(batches):
+        """Windows that more than one surrounding has."""
+        out, key, held = [], None, None
+
+        def batch(kind):
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [kind, pa.int64(), pa.int64(), pa.int64()])], ["id", "t", "start", "end"])
+            out.clear()
+            return rows
+
+        for b in batches:
+            arrow = b.schema.field(2).type
+            for w, x, *row in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if (w, x) != key:
+                    key, held = (w, x), row
+                    continue
+                if held and held != row:
+                    out.append(held)
+                    out.append(row)
+                    held = None
+                elif not held:
+                    out.append(row)
+                if len(out) >= 10_000:
+                    yield batch(arrow)
+        if out:
+            yield batch(arrow)
+
     dealt = joined.mapInArrow(around, f"crowd boolean, key long, more long, left binary, right binary, id {kind}, t long, pos long").repartition("crowd", "key", "more").sortWithinPartitions("crowd", "key", "more")
-    covered = dealt.mapInArrow(solve, f"id {kind}, t long, start long, end long")
+    reach = settle(dealt.mapInArrow(solve, f"w long, x long, id {kind}, t long, start long, end long"), "reach")
+    windows = reach.where("w is not null").repartition("w", "x").sortWithinPartitions("w", "x").mapInArrow(twice, f"id {kind}, t long, start long, end long")
+    covered = reach.where("w is null").select("id", "t", "start", "end").unionByName(windows)
     covered = settle(covered.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "covered")
 
     def cut(batches):
