@@ -20,8 +20,8 @@ from tidemark.llm.common import col, settle, text_bytes
 
 #: Bytes of an anchor's gram.
 GRAM = 32
-#: Occurrences of a gram above which its windows are counted one by one over all tasks instead of in one task.
-CROWD = 8000
+#: Occurrences of a gram up to which one task gathers their surroundings (of less than 800 bytes each).
+CROWD = 50_000
 #: Bytes of a text that are hashed at a time.
 BLOCK = 1 << 22
 
@@ -81,6 +81,14 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return p, np.concatenate(keys)[first]
 
 
+def owned(data: np.ndarray, at: int, length: int) -> list[int]:
+    """Starts of the windows of data whose anchor is the gram at `at`."""
+    span = length - GRAM + 1
+    h = window_hashes(data, GRAM) >> np.uint64(26)
+    least = np.lib.stride_tricks.sliding_window_view(h, span).argmin(1)
+    return np.flatnonzero(least + np.arange(len(least)) == at).tolist()
+
+
 def common(x: bytes, y: bytes) -> int:
     """Length of the longest common prefix."""
     n = min(len(x), len(y))
@@ -223,7 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     if crowd and len(left) + len(right) >= length:
                         data = np.frombuffer(left[::-1] + right, np.uint8)
                         w, x = (window_hashes(data, length, s).view(np.int64).tolist() for s in (7, 8))
-                        out += [(w[j], x[j], i, t, s, s + length) for j, s in enumerate(range(pos - len(left), pos - len(left) + len(w)))]
+                        mine = owned(data, len(left), length)  # a window's other anchors answer for it elsewhere
+                        out += [(w[j], x[j], i, t, pos - len(left) + j, pos - len(left) + j + length) for j in mine]
                 elif crowd and len(left) + len(right) >= length:
                     for x in [held, (i, t, pos)] if held else [(i, t, pos)]:
                         out.append((None, None, x[0], x[1], x[2] - len(left), x[2] + len(right)))
