@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import col, settle, text_bytes
@@ -77,10 +78,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     Every class is posted under its rarest coordinate-value pairs only: two sets at the limit agree in at least `least` of the
     `coordinates` (the mean less `slack` standard deviations: about one such pair in two million agrees in fewer), so they meet in
     the coordinates - least + 1 rarest ones, in an order by a counting sketch of fixed size. Frequent pairs are thereby skipped.
-    First, each class is compared with the first of its lists, best agreement first, and the confirmed links make components.
-    Then, in lists that still hold several components, all pairs across components are compared, outside of the largest one
-    with everything. Each comparison counts agreeing coordinates, then takes the full sets. Pairs inside a component can add
-    nothing, so no group of copies is expanded.
+    In three turns each class outside of a list's largest component is compared with members of that, the best agreements first,
+    and confirmed links make components. Then, in lists that still hold several components, all pairs across components are
+    compared. Each comparison counts agreeing coordinates, then takes the full sets. Pairs inside a component can add nothing, so
+    no group of copies is expanded.
     """
     spark = docs.sparkSession
     p = percent / 100
@@ -134,38 +135,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         counted[r.part * size : (r.part + 1) * size] = np.frombuffer(r.v, np.int32)
     shared = spark.sparkContext.broadcast(counted)
 
-    def post(batches):
+    def _prefix(keys):
         seen = shared.value
+        with np.errstate(over="ignore"):
+            tie = ((keys.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(34)).astype(np.int64)
+        rank = (seen[_cells(keys)].astype(np.int64) << 30) | tie
+        return np.argpartition(rank, prefix - 1, axis=1)[:, :prefix] if prefix < coordinates else np.tile(np.arange(coordinates), (len(keys), 1))
+
+    def post(batches):
         for b in batches:
             keys = _coordinates(b.column(2).to_pylist())
-            with np.errstate(over="ignore"):
-                tie = ((keys.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(34)).astype(np.int64)
-            rank = (seen[_cells(keys)].astype(np.int64) << 30) | tie
-            pick = np.argpartition(rank, prefix - 1, axis=1)[:, :prefix] if prefix < coordinates else np.tile(np.arange(coordinates), (len(keys), 1))
-            chosen = np.take_along_axis(keys, pick, 1).ravel()
+            chosen = np.take_along_axis(keys, _prefix(keys), 1).ravel()
             rows = pa.array(np.repeat(np.arange(len(keys)), prefix))
             yield pa.RecordBatch.from_arrays([pa.array(chosen), b.column(0).take(rows), b.column(1).take(rows)], ["key", "c", "n"])
 
+    def mask(batches):
+        """Which coordinates a class is posted under."""
+        for b in batches:
+            keys = _coordinates(b.column(1).to_pylist())
+            m = np.zeros(keys.shape, bool)
+            np.put_along_axis(m, _prefix(keys), True, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in m], BIN)], ["c", "posted"])
+
     def shared_lists(batches):
-        """Members of lists with two or more; first: the list's first member."""
+        """Members of lists with two or more."""
         held, out = None, []
         for b in batches:
             for key, c, n in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if held and held[0] == key:
                     if not held[3]:
-                        out.append((key, held[1], held[2], held[1]))
-                        held = (key, held[1], held[2], True)
-                    out.append((key, c, n, held[1]))
+                        out.append(held[:3])
+                        held = (key, c, n, True)
+                    out.append((key, c, n))
                 else:
                     held = (key, c, n, False)
             if len(out) >= 10_000:
-                yield _emit(list(zip(*out)), [INT, BIN, INT, BIN], ["key", "c", "n", "first"])
+                yield _emit(list(zip(*out)), [INT, BIN, INT], ["key", "c", "n"])
                 out = []
         if out:
-            yield _emit(list(zip(*out)), [INT, BIN, INT, BIN], ["key", "c", "n", "first"])
+            yield _emit(list(zip(*out)), [INT, BIN, INT], ["key", "c", "n"])
 
     postings = classes.select("c", "n", "sig").mapInArrow(post, "key long, c binary, n long").repartition("key").sortWithinPartitions("key", "c")
-    lists = settle(postings.mapInArrow(shared_lists, "key long, c binary, n long, first binary"), "lists")
+    lists = settle(postings.mapInArrow(shared_lists, "key long, c binary, n long"), "lists")
+    posted = classes.select("c", "sig").mapInArrow(mask, "c binary, posted binary")
 
     def agree(batches):
         for b in batches:
@@ -207,59 +219,105 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         """The pairs a, b whose full sets are linked, as u, v. A text with many partners is dealt to several tasks."""
         pairs = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("many")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / 100)).cast("int").alias("salt"))
         pairs = settle(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "least"), "c")
-        text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(whole_sets, "c binary, s binary")
-        sets = settle(text, f"{name}-sets")
         side = pairs.join(sets.withColumnRenamed("c", "b"), "b").select("a", "salt", "b", "s")
         own = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "s")
         dealt = own.unionByName(side).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return settle(dealt.mapInArrow(confirm, "u binary, v binary"), f"{name}-links")
 
-    first = candidates(lists.where("c != first").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct())
-    best = first.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = confirmed(best, "near1")
-    roots = components(links, "near1-component")
+    wanted = lists.select("c").distinct().join(classes.select("c", "least"), "c")
+    text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(whole_sets, "c binary, s binary")
+    sets = settle(text, "near-sets")
 
-    def across(batches):
-        """Pairs of members of different components: those outside of the list's largest component with all others of like size."""
-
-        def pairs(group):
-            from collections import Counter
-
-            big = Counter(r for _, _, r in group).most_common(1)[0][0]
-            n = np.array([x[1] for x in group])
-            code = {r: i for i, r in enumerate({x[2] for x in group})}
-            root = np.array([code[x[2]] for x in group])
-            inside = root == code[big]
-            for y in np.flatnonzero(~inside):
-                fit = (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y))
-                for x in np.flatnonzero(fit):
-                    one, two = group[y][0], group[x][0]
-                    yield (one, two) if one < two else (two, one)
-
-        out, key, group = [], None, []
+    def runs_of(batches, columns: int):
+        """The rows of each key, in turn."""
+        key, group = None, []
         for b in batches:
-            for k, c, n, r in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, *row in zip(*(b.column(i).to_pylist() for i in range(columns))):
                 if k != key:
-                    for x in pairs(group) if group else ():
-                        out.append(x)
-                        if len(out) >= 10_000:
-                            yield _emit(list(zip(*out)), [BIN, BIN], ["a", "b"])
-                            out = []
+                    if group:
+                        yield key, group
                     key, group = k, []
-                group.append((c, n, r))
-        for x in pairs(group) if group else ():
+                group.append(row)
+        if group:
+            yield key, group
+
+    def stream(pairs):
+        out = []
+        for x in pairs:
             out.append(x)
+            if len(out) >= 10_000:
+                yield _emit(list(zip(*out)), [BIN, BIN], ["a", "b"])
+                out = []
         if out:
             yield _emit(list(zip(*out)), [BIN, BIN], ["a", "b"])
 
-    placed = lists.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    placed = placed.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root", "c")
-    more = placed.mapInArrow(across, "a binary, b binary").distinct()
-    more = settle(candidates(more).select("a", "b"), "near2")
-    if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(more, "near2")), "near2-component")
+    def mixed(roots: DataFrame | None, name: str) -> DataFrame:
+        """Lists that hold several components, with each member's component."""
+        if roots is None:
+            return lists.withColumn("root", F.col("c"))
+        placed = lists.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+        several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("key")
+        return settle(placed.join(several, "key", "left_semi"), name)
+
+    def attempts(turn: int):
+        """Each member outside of its list's largest component, with two of that component (the first list members at first)."""
+
+        def run(batches):
+            def pairs():
+                for key, group in runs_of(batches, 4):
+                    big = Counter(r for _, _, r in group).most_common(1)[0][0]
+                    inside = [c for c, _, r in group if r == big]
+                    for c, _, r in group:
+                        if r != big:
+                            h = int.from_bytes(c[:8], "little") ^ key * 0x9E3779B97F4A7C15 ^ turn << 7
+                            for x in {inside[h % len(inside)], inside[(h >> 20) % len(inside)]}:
+                                yield x, c
+
+            return stream(pairs())
+
+        return run
+
+    def across(batches):
+        """All pairs of members of different components with enough agreeing coordinates, once: in the first list that both post
+        under. Members of the list's largest component are compared with the others only."""
+
+        def pairs():
+            for key, group in runs_of(batches, 6):
+                big = Counter(x[2] for x in group).most_common(1)[0][0]
+                n = np.array([x[1] for x in group])
+                code = {r: i for i, r in enumerate({x[2] for x in group})}
+                root = np.array([code[x[2]] for x in group])
+                sig = np.frombuffer(b"".join(x[3] for x in group), np.uint32).reshape(-1, coordinates)
+                posted = np.frombuffer(b"".join(x[4] for x in group), bool).reshape(-1, coordinates)
+                inside = root == code[big]
+                for y in np.flatnonzero(~inside):
+                    fit = np.flatnonzero((root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y)))
+                    same = sig[fit] == sig[y]
+                    enough = same.sum(1) >= least
+                    fit, same = fit[enough], same[enough]
+                    once = (same & posted[fit] & posted[y]).argmax(1) == key >> 32
+                    for x in fit[once]:
+                        one, two = group[y][0], group[x][0]
+                        yield (one, two) if one < two else (two, one)
+
+        return stream(pairs())
+
+    links, roots = None, None
+    for turn in range(4):
+        if turn < 3:
+            rows = mixed(roots, f"mixed{turn}").repartition("key").sortWithinPartitions("key", "root", "c")
+            pairs = candidates(rows.select("key", "c", "n", "root").mapInArrow(attempts(turn), "a binary, b binary").distinct())
+            pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))).where("r <= 3").select("a", "b")
+        else:
+            rows = mixed(roots, "mixed").join(classes.select("c", "sig"), "c").join(posted, "c")
+            rows = rows.select("key", "c", "n", "root", "sig", "posted").repartition("key").sortWithinPartitions("key", "root", "c")
+            pairs = rows.mapInArrow(across, "a binary, b binary").distinct()
+        got = confirmed(pairs, f"near{turn}")
+        if not got.isEmpty():
+            links = got if links is None else links.unionByName(got)
+            roots = components(links, "component")
+    if roots is None:
+        roots = classes.select(F.col("c").alias("node"), F.col("c").alias("root")).where("false")
 
     named = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     groups = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("c", "component")
