@@ -14,6 +14,8 @@ from tidemark.llm.common import col, settle, text_bytes
 from tidemark.llm.components import components
 
 MEMO_ENTRIES = 500_000
+#: Members of a list that a task compares with as many others at a time.
+BLOCK = 2500
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -78,10 +80,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     Every class is posted under its rarest coordinate-value pairs only: two sets at the limit agree in at least `least` of the
     `coordinates` (the mean less `slack` standard deviations: about one such pair in two million agrees in fewer), so they meet in
     the coordinates - least + 1 rarest ones, in an order by a counting sketch of fixed size. Frequent pairs are thereby skipped.
-    In three turns each class outside of a list's largest component is compared with members of that, the best agreements first,
-    and confirmed links make components. Then, in lists that still hold several components, all pairs across components are
-    compared. Each comparison counts agreeing coordinates, then takes the full sets. Pairs inside a component can add nothing, so
-    no group of copies is expanded.
+    In two turns each class outside of a list's largest component is compared with members of that, the best agreements first, and
+    confirmed links make components. Then, in lists that still hold several components, all pairs across components are judged,
+    a pair of blocks of the list in a task. Each comparison counts agreeing coordinates, then takes the full sets. Pairs inside
+    a component can add nothing, so no group of copies is expanded.
     """
     spark = docs.sparkSession
     p = percent / 100
@@ -228,11 +230,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(whole_sets, "c binary, s binary")
     sets = settle(text, "near-sets")
 
-    def runs_of(batches, columns: int):
+    def runs_of(batches, columns: int, keys: int = 1):
         """The rows of each key, in turn."""
         key, group = None, []
         for b in batches:
-            for k, *row in zip(*(b.column(i).to_pylist() for i in range(columns))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(columns))):
+                k, row = row[0] if keys == 1 else row[:keys], row[keys:]
                 if k != key:
                     if group:
                         yield key, group
@@ -278,41 +281,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         return run
 
     def across(batches):
-        """All pairs of members of different components with enough agreeing coordinates, once: in the first list that both post
-        under. Members of the list's largest component are compared with the others only."""
+        """Links between members of different components, each pair judged once: in the first list that both post under and the
+        pair of blocks that they are in. Best agreements come first; what a link joins is not compared any more."""
 
         def pairs():
-            for key, group in runs_of(batches, 6):
+            for (key, low, high), group in runs_of(batches, 9, 3):
                 big = Counter(x[2] for x in group).most_common(1)[0][0]
-                n = np.array([x[1] for x in group])
+                c, n, block = [x[0] for x in group], np.array([x[1] for x in group]), np.array([x[3] for x in group])
                 code = {r: i for i, r in enumerate({x[2] for x in group})}
                 root = np.array([code[x[2]] for x in group])
-                sig = np.frombuffer(b"".join(x[3] for x in group), np.uint32).reshape(-1, coordinates)
-                posted = np.frombuffer(b"".join(x[4] for x in group), bool).reshape(-1, coordinates)
+                both = np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1)
+                sig, posted = np.ascontiguousarray(both[:, coordinates:]).view(np.uint32), both[:, :coordinates].astype(bool)
                 inside = root == code[big]
                 for y in np.flatnonzero(~inside):
-                    fit = np.flatnonzero((root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y)))
+                    there = block == (high if block[y] == low else low)
+                    fit = np.flatnonzero(there & (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y)))
                     same = sig[fit] == sig[y]
-                    enough = same.sum(1) >= least
-                    fit, same = fit[enough], same[enough]
-                    once = (same & posted[fit] & posted[y]).argmax(1) == key >> 32
-                    for x in fit[once]:
-                        one, two = group[y][0], group[x][0]
-                        yield (one, two) if one < two else (two, one)
+                    count = same.sum(1)
+                    once = (count >= least) & ((same & posted[fit] & posted[y]).argmax(1) == key >> 32)
+                    for x in fit[once][np.argsort(-count[once], kind="stable")]:
+                        if root[x] != root[y]:
+                            one, two = np.frombuffer(group[x][5], np.uint64), np.frombuffer(group[y][5], np.uint64)
+                            inter = len(np.intersect1d(one, two, assume_unique=True))
+                            if 100 * inter >= percent * (len(one) + len(two) - inter):
+                                root[root == root[y]] = root[x]
+                                yield c[x], c[y]
 
         return stream(pairs())
 
     links, roots = None, None
-    for turn in range(4):
-        if turn < 3:
+    for turn in range(3):
+        if turn < 2:
             rows = mixed(roots, f"mixed{turn}").repartition("key").sortWithinPartitions("key", "root", "c")
             pairs = candidates(rows.select("key", "c", "n", "root").mapInArrow(attempts(turn), "a binary, b binary").distinct())
             pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))).where("r <= 3").select("a", "b")
+            got = confirmed(pairs, f"near{turn}")
         else:
-            rows = mixed(roots, "mixed").join(classes.select("c", "sig"), "c").join(posted, "c")
-            rows = rows.select("key", "c", "n", "root", "sig", "posted").repartition("key").sortWithinPartitions("key", "root", "c")
-            pairs = rows.mapInArrow(across, "a binary, b binary").distinct()
-        got = confirmed(pairs, f"near{turn}")
+            rows = mixed(roots, "mixed")
+            blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.join(classes.join(posted, "c").select("c", F.concat("posted", "sig").alias("marks")), "c").join(sets, "c")
+            rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "marks", "s")
+            keys = ["key", "low", "high"]
+            got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(across, "a binary, b binary"), "across").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)
             roots = components(links, "component")
