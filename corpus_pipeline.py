@@ -7,7 +7,7 @@ null or repeated id are handled too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_roundtrip
@@ -19,10 +19,18 @@ from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.toxicity import fit_toxicity, toxic_rows_removed
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs less the rows whose ids verdicts holds; ids of verdicts may be null."""
-    gone = verdicts.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def _key(mark) -> Column:
+    """Identity of a row: its id, nulls last, and a hash of its text. Never null."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), mark.alias("t"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", _key(F.xxhash64(F.coalesce("text", F.lit("")))))
+
+
+def _without(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows whose __key verdicts lacks, without it."""
+    return keyed.join(verdicts.select("__key").distinct(), "__key", "left_anti").drop("__key")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +41,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: that with the largest doc_id."""
-    verdicts = exact_duplicates(docs)
-    gone = settle(verdicts.where("NOT kept").select("doc_id", "keep_id"), "copies")
-    rest = _without(docs, gone.where("NOT (doc_id <=> keep_id)"))
-    # rows that repeat the id that stays: all but one of them go
-    again = gone.where("doc_id <=> keep_id").select(F.col("doc_id").alias("__gone")).distinct()
-    single = rest.join(again, rest["doc_id"].eqNullSafe(again["__gone"]), "left_anti")
-    several = rest.join(again, rest["doc_id"].eqNullSafe(again["__gone"]), "left_semi")
-    once = Window.partitionBy("doc_id", F.coalesce("text", F.lit(""))).orderBy(F.lit(0))
-    return single.unionByName(several.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row"))
+    verdicts = exact_duplicates(docs).where("NOT kept").withColumn("__key", _key(F.col("text_sha256")))
+    gone = settle(verdicts.select("__key", F.expr("doc_id <=> keep_id").alias("again")), "copies")
+    keyed = docs.withColumn("__key", _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rest = keyed.join(gone.where("NOT again").select("__key").distinct(), "__key", "left_anti")
+    again = gone.where("again").select("__key").distinct()  # of rows that repeat the id that stays, all but one go
+    once = Window.partitionBy("__key").orderBy(F.lit(0))
+    several = rest.join(again, "__key", "left_semi").withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
+    return rest.join(again, "__key", "left_anti").unionByName(several).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    return _without(docs, settle(near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id"), "near-copies"))
+    keyed = _keyed(docs)
+    return _without(keyed, settle(near_duplicates(keyed, words=5, percent=80, id_col="__key").where("NOT kept").select("__key"), "near-copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
-    return _without(docs, settle(decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("contaminated").select("doc_id"), "contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, settle(decontaminate(keyed, table(spark, sf_dir, "benchmark"), window=10, id_col="__key").where("contaminated").select("__key"), "contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
