@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import col, text_bytes
+from tidemark.llm.common import col, keep, text_bytes, tidy
 
 #: White space as the tokenizer file's patterns mean it (Unicode White_Space).
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -24,7 +24,7 @@ _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() treats as white space and the patterns do not.
 _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
 #: Entries that a worker's memo may hold before it starts anew; bounds memory, never results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Characters handled at a time, cut at white space, where no token can cross.
 BLOCK_CHARS = 1 << 20
 
@@ -44,7 +44,8 @@ def _byte_symbols() -> list[str]:
 class BpeTables:
     """Merge tables of a `tokenizers` file whose words end in a suffix; picklable, of vocabulary size."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, source: str = ""):
+        self.source = source
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -380,31 +381,27 @@ class _Memo(dict):
 
 def read_tables(path: str) -> BpeTables:
     with open(path, encoding="utf-8") as f:
-        return BpeTables(json.load(f))
-
-
-_WORKER: dict = {}
+        return BpeTables(json.load(f), path)
 
 
 def _worker(shared) -> dict:
     """Per Python worker: the transducer and its memos, kept between tasks."""
-    if _WORKER.get("of") != shared.id if hasattr(shared, "id") else _WORKER.get("of") is not shared:
-        t = Transducer(shared.value)
-        d = Decoder(shared.value)
-        _WORKER.clear()
+
+    def make() -> dict:
+        t, d = Transducer(shared.value), Decoder(shared.value)
 
         def decoded(ids: bytes) -> str:
             d.reset()
             return "".join(map(d.feed, struct.unpack(f"<{len(ids) // 4}I", ids))) + d.close()
 
-        _WORKER.update(
-            of=getattr(shared, "id", shared),
-            ids=_Memo(lambda c: struct.pack(f"<{len(x)}I", *x) if (x := t.ids(c)) else b""),
-            count=_Memo(t.count),
-            text=_Memo(decoded),
-            joined=shared.value.joined_decoding,
-        )
-    return _WORKER
+        return {
+            "ids": _Memo(lambda c: struct.pack(f"<{len(x)}I", *x) if (x := t.ids(c)) else b""),
+            "count": _Memo(t.count),
+            "text": _Memo(decoded),
+            "joined": shared.value.joined_decoding,
+        }
+
+    return keep("bpe", shared.value.source, make)
 
 
 _SHARED: dict = {}
@@ -466,7 +463,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep_ids else "")
     plain = docs.select(col(id_col).alias("id"), text_bytes(text_col).cast("string").alias("t"))
-    return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return plain.mapInArrow(tidy(run, "bpe"), schema).withColumnRenamed("id", id_col)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -487,4 +484,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
 
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     plain = docs.select(col(id_col).alias("id"), text_bytes(text_col).cast("string").alias("t"))
-    return plain.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(tidy(run, "bpe"), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

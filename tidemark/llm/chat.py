@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col
+from tidemark.llm.common import col, tidy
 
 #: Marks of a turn by role, whether its text is trained on, and the marks of any other role. Every mark starts with one of `starts`
 #: and has none of them further on, so no mark can arise across the border of a text and a mark.
@@ -138,7 +138,7 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE, order: dic
     dealt = plain.repartition("id").sortWithinPartitions("id", "turn", "role", "text").select("id", "role", "text")
     kind = plain.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_turns long, valid boolean, error string, complete boolean, formatted string, loss array<struct<start:long,end:long>>"
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def chat_digests(formatted: DataFrame, template: dict = TEMPLATE, id_col: str = "conv_id") -> DataFrame:
@@ -169,4 +169,4 @@ def chat_digests(formatted: DataFrame, template: dict = TEMPLATE, id_col: str =
 
     plain = formatted.select(col(id_col).alias("id"), "formatted", "loss")
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(tidy(run), f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("id", id_col)

@@ -50,3 +50,47 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that cross to a Python worker at a time; texts are long, so the default of the library would make large batches.
+BATCH_ROWS = 1000
+_KEPT: dict = {}
+
+
+def keep(owner: str, key, make) -> dict:
+    """What a worker keeps between the tasks of one operator; it is let go when another operator's task begins."""
+    if _KEPT.get("of") != (owner, key):
+        _KEPT.clear()
+        _KEPT.update(of=(owner, key), state=make())
+    return _KEPT["state"]
+
+
+def tidy(run, owner: str = ""):
+    """run for mapInArrow with batches of bounded rows, in a worker that gives back memory which earlier tasks have used."""
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+    def tidied(batches):
+        if _KEPT.get("of", ("",))[0] != owner:
+            _KEPT.clear()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

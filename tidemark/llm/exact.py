@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import col, parallelism, text_bytes
+from tidemark.llm.common import col, parallelism, text_bytes, tidy
 
 #: Bytes of the first digit; each further digit has STEP times as many.
 FIRST, STEP = 16, 4
@@ -127,5 +127,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     keys = ["depth", "parent", "digit"]
     light = walked.where("size is null").select("id", "text", *keys).repartition(*keys).sortWithinPartitions(*keys)
-    light = light.mapInArrow(run, f"id {kind.simpleString()}, keep {kind.simpleString()}, size long, kept boolean, sha string")
+    light = light.mapInArrow(tidy(run), f"id {kind.simpleString()}, keep {kind.simpleString()}, size long, kept boolean, sha string")
     return ended.unionByName(light).select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))

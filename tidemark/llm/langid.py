@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col
+from tidemark.llm.common import col, tidy
 
 ORDER = 4
 DISCOUNT = 0.75
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 #: Characters of text handled at a time by a worker.
 SLICE = 1_000_000
 #: Longer letter runs are scored in parts of this many letters.
@@ -192,7 +192,7 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "w", "n"])
 
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
-    found = sample.where(~for_limits).mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    found = sample.where(~for_limits).mapInArrow(tidy(count), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     for x in found.toLocalIterator():
         counts[x.lang][x.w] = x.n
     langs = [x for x in langs if counts[x]]
@@ -209,7 +209,7 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
             out = [(lang, float(bits[s.model.langs.index(lang)] / n)) for (bits, n), lang in zip(got, said) if n >= 20 and lang in s.model.langs]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang", "h"])
 
-    limits = {r.lang: r.h for r in sample.where(for_limits).mapInArrow(held, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", 1 - reject).alias("h")).collect()}
+    limits = {r.lang: r.h for r in sample.where(for_limits).mapInArrow(tidy(held), "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", 1 - reject).alias("h")).collect()}
     return shared, limits
 
 
@@ -242,4 +242,4 @@ def identify_languages(docs: DataFrame, fitted, unknown: str = "und", id_col: st
 
     plain = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double, rejected boolean").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double, bits double, rejected boolean").withColumnRenamed("id", id_col)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, settle, text_bytes
+from tidemark.llm.common import col, settle, text_bytes, tidy
 from tidemark.llm.components import components
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 #: Members of a list that a task compares with as many others at a time.
 BLOCK = 2500
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
                 sig.append(s.signature(x).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, INT), pa.array(dig, BIN), pa.array(sig, BIN)], ["id", "n", "c", "sig"])
 
-    signed = settle(plain.mapInArrow(sign, f"id {kind}, n long, c binary, sig binary"), "signed")
+    signed = settle(plain.mapInArrow(tidy(sign), f"id {kind}, n long, c binary, sig binary"), "signed")
     classes = settle(signed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     parts = 16
@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % cells
 
     counted = np.zeros(cells, np.int32)
-    for r in classes.select("sig").mapInArrow(sketch, "part long, v binary").repartition(parts, "part").mapInArrow(add, "part long, v binary").collect():
+    for r in classes.select("sig").mapInArrow(tidy(sketch), "part long, v binary").repartition(parts, "part").mapInArrow(tidy(add), "part long, v binary").collect():
         size = cells // parts
         counted[r.part * size : (r.part + 1) * size] = np.frombuffer(r.v, np.int32)
     shared = spark.sparkContext.broadcast(counted)
@@ -177,9 +177,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         if out:
             yield _emit(list(zip(*out)), [INT, BIN, INT], ["key", "c", "n"])
 
-    postings = classes.select("c", "n", "sig").mapInArrow(post, "key long, c binary, n long").repartition("key").sortWithinPartitions("key", "c")
-    lists = settle(postings.mapInArrow(shared_lists, "key long, c binary, n long"), "lists")
-    posted = classes.select("c", "sig").mapInArrow(mask, "c binary, posted binary")
+    postings = classes.select("c", "n", "sig").mapInArrow(tidy(post), "key long, c binary, n long").repartition("key").sortWithinPartitions("key", "c")
+    lists = settle(postings.mapInArrow(tidy(shared_lists), "key long, c binary, n long"), "lists")
+    posted = classes.select("c", "sig").mapInArrow(tidy(mask), "c binary, posted binary")
 
     def agree(batches):
         for b in batches:
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         one = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         two = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary, same long").where(F.col("same") >= least)
+        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(agree), "a binary, b binary, same long").where(F.col("same") >= least)
 
     def whole_sets(batches):
         s = Shingler(words, 1)
@@ -224,10 +224,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         side = pairs.join(sets.withColumnRenamed("c", "b"), "b").select("a", "salt", "b", "s")
         own = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "s")
         dealt = own.unionByName(side).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return settle(dealt.mapInArrow(confirm, "u binary, v binary"), f"{name}-links")
+        return settle(dealt.mapInArrow(tidy(confirm), "u binary, v binary"), f"{name}-links")
 
     wanted = lists.select("c").distinct().join(classes.select("c", "least"), "c")
-    text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(whole_sets, "c binary, s binary")
+    text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(tidy(whole_sets), "c binary, s binary")
     sets = settle(text, "near-sets")
 
     def runs_of(batches, columns: int, keys: int = 1):
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     for turn in range(3):
         if turn < 2:
             rows = mixed(roots, f"mixed{turn}").repartition("key").sortWithinPartitions("key", "root", "c")
-            pairs = candidates(rows.select("key", "c", "n", "root").mapInArrow(attempts(turn), "a binary, b binary").distinct())
+            pairs = candidates(rows.select("key", "c", "n", "root").mapInArrow(tidy(attempts(turn)), "a binary, b binary").distinct())
             pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))).where("r <= 3").select("a", "b")
             got = confirmed(pairs, f"near{turn}")
         else:
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
             rows = rows.join(classes.join(posted, "c").select("c", F.concat("posted", "sig").alias("marks")), "c").join(sets, "c")
             rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "marks", "s")
             keys = ["key", "low", "high"]
-            got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(across, "a binary, b binary"), "across").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(across), "a binary, b binary"), "across").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)
             roots = components(links, "component")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, settle, text_bytes
+from tidemark.llm.common import col, settle, text_bytes, tidy
 
 #: Bytes of an anchor's gram.
 GRAM = 32
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(at)), pa.array(np.concatenate(keys))], ["id", "t", "pos", "key"])
 
-    found = settle(plain.where(F.length("text") >= length).mapInArrow(find, f"id {kind}, t long, pos long, key long"), "anchors")
+    found = settle(plain.where(F.length("text") >= length).mapInArrow(tidy(find), f"id {kind}, t long, pos long, key long"), "anchors")
     again = settle(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
     places = found.join(again, "key").groupBy("id", "t").agg(F.collect_set(F.struct("pos", "key", (F.col("n") > CROWD).alias("crowd"))).alias("places"))
     places = places.select(F.col("id").alias("p_id"), F.col("t").alias("p_t"), "places")
@@ -272,9 +272,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         if out:
             yield batch(arrow)
 
-    dealt = joined.mapInArrow(around, f"crowd boolean, key long, more long, left binary, right binary, id {kind}, t long, pos long").repartition("crowd", "key", "more").sortWithinPartitions("crowd", "key", "more")
-    reach = settle(dealt.mapInArrow(solve, f"w long, x long, id {kind}, t long, start long, end long"), "reach")
-    windows = reach.where("w is not null").repartition("w", "x").sortWithinPartitions("w", "x").mapInArrow(twice, f"id {kind}, t long, start long, end long")
+    dealt = joined.mapInArrow(tidy(around), f"crowd boolean, key long, more long, left binary, right binary, id {kind}, t long, pos long").repartition("crowd", "key", "more").sortWithinPartitions("crowd", "key", "more")
+    reach = settle(dealt.mapInArrow(tidy(solve), f"w long, x long, id {kind}, t long, start long, end long"), "reach")
+    windows = reach.where("w is not null").repartition("w", "x").sortWithinPartitions("w", "x").mapInArrow(tidy(twice), f"id {kind}, t long, start long, end long")
     covered = reach.where("w is null").select("id", "t", "start", "end").unionByName(windows)
     covered = settle(covered.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "covered")
 
@@ -298,4 +298,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     covered = covered.select(F.col("id").alias("p_id"), F.col("t").alias("p_t"), "spans")
     cutting = plain.join(covered, plain["id"].eqNullSafe(F.col("p_id")) & (plain["t"] == F.col("p_t")), "left").select("id", "text", "spans")
-    return cutting.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).withColumnRenamed("id", id_col)
+    return cutting.mapInArrow(tidy(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).withColumnRenamed("id", id_col)

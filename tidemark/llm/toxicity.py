@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, settle
+from tidemark.llm.common import col, settle, tidy
 
 # Closed word classes of the grammar (English, German, French, Spanish).
 NEGATIONS = "not no never neither nor without isn't aren't don't doesn't nicht kein keine niemals ohne ne pas jamais sans ni nunca jamás sin".split()
@@ -30,7 +30,7 @@ CHANNELS = ("plain", "aimed", "negated", "reported", "threat")
 NEG_SCOPE, TARGET_SCOPE = 3, 4
 #: Lengths of word stems that the lexicon may hold.
 STEMS = (4, 5, 6, 7)
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _HOT = re.compile(bytes([91, THREAT, INSULT, THREAT | END, INSULT | END, 93]))
 _ENDS = bytes(1 if c & END else 0 for c in range(256))
@@ -170,10 +170,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
         base = min(max((toxic + 0.5) / (toxic + clean + 1), 1e-3), 1 - 1e-3) if toxic + clean else 0.5
         return Grammar({}), np.array([0.0] * (len(CHANNELS) + 2) + [math.log(base / (1 - base))])
     least = max(4, toxic // 100)
-    often = known.where("y > 0").mapInArrow(words, "w string, t long").groupBy("w").agg(F.sum("t").alias("t")).where(F.col("t") >= least)
+    often = known.where("y > 0").mapInArrow(tidy(words), "w string, t long").groupBy("w").agg(F.sum("t").alias("t")).where(F.col("t") >= least)
     found = {r.w: r.t for r in often.orderBy(F.desc("t"), "w").limit(20 * max_entries).collect()}
     shared = known.sparkSession.sparkContext.broadcast(frozenset(found))
-    against = {r.w: r.n for r in known.mapInArrow(others, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    against = {r.w: r.n for r in known.mapInArrow(tidy(others), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     good = {}
     for w, t in found.items():
         n = against.get(w, 0)
@@ -190,7 +190,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
             x = [features(*grammar.channels(t, memo)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    rows = known.mapInArrow(score, "x array<double>, y int").collect()
+    rows = known.mapInArrow(tidy(score), "x array<double>, y int").collect()
     return grammar, fit_logistic(np.array([r.x for r in rows]), np.array([float(r.y > 0) for r in rows]))
 
 
@@ -214,7 +214,7 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar, weights: np.ndarray, thre
 
     plain = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"id {kind}, score double, predicted int, n_clauses long").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(tidy(run), f"id {kind}, score double, predicted int, n_clauses long").withColumnRenamed("id", id_col)
 
 
 def toxic_rows_removed(docs: DataFrame, grammar: Grammar, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -230,4 +230,4 @@ def toxic_rows_removed(docs: DataFrame, grammar: Grammar, weights: np.ndarray, t
                 keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
