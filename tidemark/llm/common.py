@@ -32,6 +32,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops the shuffle files of finished jobs when the driver collects its garbage; nothing reads them any more
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -285,30 +285,52 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         pair of blocks that they are in. Best agreements come first; what a link joins is not compared any more."""
 
         def pairs():
-            for (key, low, high), group in runs_of(batches, 9, 3):
-                big = Counter(x[2] for x in group).most_common(1)[0][0]
-                c, n, block = [x[0] for x in group], np.array([x[1] for x in group]), np.array([x[3] for x in group])
-                code = {r: i for i, r in enumerate({x[2] for x in group})}
-                root = np.array([code[x[2]] for x in group])
-                both = np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1)
-                sig, posted = np.ascontiguousarray(both[:, coordinates:]).view(np.uint32), both[:, :coordinates].astype(bool)
-                inside = root == code[big]
-                for y in np.flatnonzero(~inside):
-                    there = block == (high if block[y] == low else low)
-                    fit = np.flatnonzero(there & (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y)))
-                    same = sig[fit] == sig[y]
-                    count = same.sum(1)
-                    once = (count >= least) & ((same & posted[fit] & posted[y]).argmax(1) == key >> 32)
-                    for x in fit[once][np.argsort(-count[once], kind="stable")]:
-                        if root[x] != root[y]:
-                            one, two = np.frombuffer(group[x][5], np.uint64), np.frombuffer(group[y][5], np.uint64)
-                            inter = len(np.intersect1d(one, two, assume_unique=True))
-                            if 100 * inter >= percent * (len(one) + len(two) - inter):
-                                root[root == root[y]] = root[x]
-                                yield c[x], c[y]
+            for _, group, root, y, others in likely(batches, 9):
+                for x in others:
+                    if root[x] != root[y]:
+                        one, two = np.frombuffer(group[x][5], np.uint64), np.frombuffer(group[y][5], np.uint64)
+                        inter = len(np.intersect1d(one, two, assume_unique=True))
+                        if 100 * inter >= percent * (len(one) + len(two) - inter):
+                            root[root == root[y]] = root[x]
+                            yield group[x][0], group[y][0]
 
         return stream(pairs())
 
+    def likely(batches, columns: int):
+        """(key, group, components, member, its partners in the order of agreement) of groups of a list's blocks."""
+        for keys, group in runs_of(batches, columns, 3):
+            key, low, high = keys
+            big = Counter(x[2] for x in group).most_common(1)[0][0]
+            n, block = np.array([x[1] for x in group]), np.array([x[3] for x in group])
+            code = {r: i for i, r in enumerate({x[2] for x in group})}
+            root = np.array([code[x[2]] for x in group])
+            both = np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1)
+            sig, posted = np.ascontiguousarray(both[:, coordinates:]).view(np.uint32), both[:, :coordinates].astype(bool)
+            inside = root == code[big]
+            for y in np.flatnonzero(~inside):
+                there = block == (high if block[y] == low else low)
+                fit = np.flatnonzero(there & (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])) & (inside | (np.arange(len(n)) > y)))
+                same = sig[fit] == sig[y]
+                count = same.sum(1)
+                once = (count >= least) & ((same & posted[fit] & posted[y]).argmax(1) == key >> 32)
+                if once.any():
+                    yield keys, group, root, y, fit[once][np.argsort(-count[once], kind="stable")]
+
+    def taking_part(batches):
+        """Members of which some pair is to be judged, so that only their sets are fetched."""
+        out, at, members = [], None, set()
+        for keys, group, _, y, others in likely(batches, 8):
+            if keys != at:
+                out += [(*at, c) for c in members] if at else []
+                at, members = keys, set()
+            members.update(group[i][0] for i in (y, *others))
+            if len(out) >= 10_000:
+                yield _emit(list(zip(*out)), [INT, pa.int32(), pa.int32(), BIN], ["key", "low", "high", "c"])
+                out = []
+        out += [(*at, c) for c in members] if at else []
+        if out:
+            yield _emit(list(zip(*out)), [INT, pa.int32(), pa.int32(), BIN], ["key", "low", "high", "c"])
+
     links, roots = None, None
     for turn in range(3):
         if turn < 2:
@@ -321,9 +343,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
             blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
             rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            rows = rows.join(classes.join(posted, "c").select("c", F.concat("posted", "sig").alias("marks")), "c").join(sets, "c")
-            rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "marks", "s")
+            rows = rows.join(classes.join(posted, "c").select("c", F.concat("posted", "sig").alias("marks")), "c")
             keys = ["key", "low", "high"]
+            rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "marks")
+            part = rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(taking_part), "key long, low int, high int, c binary")
+            rows = rows.join(settle(part, "taking-part"), [*keys, "c"]).join(sets, "c").select(*keys, "c", "n", "root", "block", "marks", "s")
             got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(across), "a binary, b binary"), "across").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)
