@@ -151,14 +151,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
             rows = pa.array(np.repeat(np.arange(len(keys)), prefix))
             yield pa.RecordBatch.from_arrays([pa.array(chosen), b.column(0).take(rows), b.column(1).take(rows)], ["key", "c", "n"])
 
-    def mask(batches):
-        """Which coordinates a class is posted under."""
-        for b in batches:
-            keys = _coordinates(b.column(1).to_pylist())
-            m = np.zeros(keys.shape, bool)
-            np.put_along_axis(m, _prefix(keys), True, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in m], BIN)], ["c", "posted"])
-
     def shared_lists(batches):
         """Members of lists with two or more."""
         held, out = None, []
@@ -179,32 +171,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
 
     postings = classes.select("c", "n", "sig").mapInArrow(tidy(post), "key long, c binary, n long").repartition("key").sortWithinPartitions("key", "c")
     lists = settle(postings.mapInArrow(tidy(shared_lists), "key long, c binary, n long"), "lists")
-    posted = classes.select("c", "sig").mapInArrow(tidy(mask), "c binary, posted binary")
 
-    def agree(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, coordinates) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).sum(1).astype(np.int64))], ["a", "b", "same"])
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """a, b, same of the pairs whose sizes and agreeing coordinates admit a link."""
-        one = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        two = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(agree), "a binary, b binary, same long").where(F.col("same") >= least)
-
-    def whole_sets(batches):
-        s = Shingler(words, 1)
-        for b in batches:
-            out = [(c, x.tobytes()) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _digest(x := s.set(t)) == c]
-            for i in range(0, len(out), 500):
-                yield _emit(list(zip(*out[i : i + 500])), [BIN, BIN], ["c", "s"])
+    def with_texts(rows: DataFrame, name: str) -> DataFrame:
+        """rows, which have a class c, with a text of that class. Only texts that are asked for move: few rows are broadcast (within
+        the session's limit for that), many are dealt by id. Rows that repeat an id can bring other texts; readers test the set."""
+        wanted = settle(rows.join(classes.select("c", "least"), "c"), f"{name}-wanted")
+        return wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select(*rows.columns, "text")
 
     def confirm(batches):
-        out, at, mine = [], None, None
+        maker, out, at, mine = Shingler(words, 1), [], None, None
         for b in batches:
-            for a, salt, other, s in zip(*(b.column(i).to_pylist() for i in range(4))):
-                s = np.frombuffer(s, np.uint64)
+            for a, salt, other, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                s = maker.set(text)
+                if _digest(s) != (other or a):
+                    continue
                 if other is None:
                     at, mine = (a, salt), s
                 elif at == (a, salt):
@@ -221,15 +201,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         """The pairs a, b whose full sets are linked, as u, v. A text with many partners is dealt to several tasks."""
         pairs = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("many")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / 100)).cast("int").alias("salt"))
         pairs = settle(pairs, f"{name}-pairs")
-        side = pairs.join(sets.withColumnRenamed("c", "b"), "b").select("a", "salt", "b", "s")
-        own = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "s")
-        dealt = own.unionByName(side).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        own = pairs.select(F.col("a").alias("c"), "a", "salt", F.lit(None).cast("binary").alias("b")).distinct()
+        texts = with_texts(own.unionByName(pairs.withColumn("c", F.col("b"))), name).select("a", "salt", "b", "text")
+        dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return settle(dealt.mapInArrow(tidy(confirm), "u binary, v binary"), f"{name}-links")
 
-    wanted = lists.select("c").distinct().join(classes.select("c", "least"), "c")
-    text = wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select("c", "text").mapInArrow(tidy(whole_sets), "c binary, s binary")
-    sets = settle(text, "near-sets")
-
     def runs_of(batches, columns: int, keys: int = 1):
         """The rows of each key, in turn."""
         key, group = None, []
@@ -244,15 +220,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         if group:
             yield key, group
 
-    def stream(pairs):
+    def stream(rows, kinds: list, names: list):
         out = []
-        for x in pairs:
+        for x in rows:
             out.append(x)
-            if len(out) >= 10_000:
-                yield _emit(list(zip(*out)), [BIN, BIN], ["a", "b"])
+            if len(out) >= 5000:
+                yield _emit(list(zip(*out)), kinds, names)
                 out = []
         if out:
-            yield _emit(list(zip(*out)), [BIN, BIN], ["a", "b"])
+            yield _emit(list(zip(*out)), kinds, names)
+
+    def low_bytes(batches):
+        """The lowest byte of each coordinate: at least as many agree as do of the coordinates themselves."""
+        for b in batches:
+            v = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], BIN)], ["c", "brief"])
+
+    brief = classes.select("c", "sig").mapInArrow(tidy(low_bytes), "c binary, brief binary")
 
     def mixed(roots: DataFrame | None, name: str) -> DataFrame:
         """Lists that hold several components, with each member's component."""
@@ -263,20 +247,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         return settle(placed.join(several, "key", "left_semi"), name)
 
     def attempts(turn: int):
-        """Each member outside of its list's largest component, with two of that component (the first list members at first)."""
+        """Each member outside of its list's largest component, with two of that component (the first list members at first), and
+        in how many bytes they agree; pairs whose sizes or bytes admit no link are left out."""
 
         def run(batches):
             def pairs():
-                for key, group in runs_of(batches, 4):
-                    big = Counter(r for _, _, r in group).most_common(1)[0][0]
-                    inside = [c for c, _, r in group if r == big]
-                    for c, _, r in group:
+                for key, group in runs_of(batches, 5):
+                    big = Counter(x[2] for x in group).most_common(1)[0][0]
+                    inside = [x for x in group if x[2] == big]
+                    for c, n, r, marks in group:
                         if r != big:
                             h = int.from_bytes(c[:8], "little") ^ key * 0x9E3779B97F4A7C15 ^ turn << 7
-                            for x in {inside[h % len(inside)], inside[(h >> 20) % len(inside)]}:
-                                yield x, c
+                            for i in {h % len(inside), (h >> 20) % len(inside)}:
+                                x, m, _, others = inside[i]
+                                same = int((np.frombuffer(marks, np.uint8) == np.frombuffer(others, np.uint8)).sum())
+                                if same >= least and 100 * min(n, m) >= percent * max(n, m):
+                                    yield x, c, same
 
-            return stream(pairs())
+            return stream(pairs(), [BIN, BIN, INT], ["a", "b", "same"])
 
         return run
 
@@ -284,28 +272,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         """Links between members of different components, each pair judged once: in the first list that both post under and the
         pair of blocks that they are in. Best agreements come first; what a link joins is not compared any more."""
 
+        maker = Shingler(words, 1)
+
+        def with_sets(group):
+            return [(*x[:5], made) for x in group if _digest(made := maker.set(x[5])) == x[0]]
+
         def pairs():
-            for _, group, root, y, others in likely(batches, 9):
+            for _, group, root, y, others in likely(batches, 9, with_sets):
                 for x in others:
                     if root[x] != root[y]:
-                        one, two = np.frombuffer(group[x][5], np.uint64), np.frombuffer(group[y][5], np.uint64)
+                        one, two = group[x][5], group[y][5]
                         inter = len(np.intersect1d(one, two, assume_unique=True))
                         if 100 * inter >= percent * (len(one) + len(two) - inter):
                             root[root == root[y]] = root[x]
                             yield group[x][0], group[y][0]
 
-        return stream(pairs())
+        return stream(pairs(), [BIN, BIN], ["u", "v"])
 
-    def likely(batches, columns: int):
+    def likely(batches, columns: int, prepared=list):
         """(key, group, components, member, its partners in the order of agreement) of groups of a list's blocks."""
         for keys, group in runs_of(batches, columns, 3):
             key, low, high = keys
+            group = prepared(group)
+            if not group:
+                continue
             big = Counter(x[2] for x in group).most_common(1)[0][0]
             n, block = np.array([x[1] for x in group]), np.array([x[3] for x in group])
             code = {r: i for i, r in enumerate({x[2] for x in group})}
             root = np.array([code[x[2]] for x in group])
-            both = np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1)
-            sig, posted = np.ascontiguousarray(both[:, coordinates:]).view(np.uint32), both[:, :coordinates].astype(bool)
+            coords = _coordinates([x[4] for x in group])
+            sig, posted = coords.astype(np.uint32), np.zeros(coords.shape, bool)
+            np.put_along_axis(posted, _prefix(coords), True, 1)
             inside = root == code[big]
             for y in np.flatnonzero(~inside):
                 there = block == (high if block[y] == low else low)
@@ -317,38 +314,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
                     yield keys, group, root, y, fit[once][np.argsort(-count[once], kind="stable")]
 
     def taking_part(batches):
-        """Members of which some pair is to be judged, so that only their sets are fetched."""
-        out, at, members = [], None, set()
-        for keys, group, _, y, others in likely(batches, 8):
-            if keys != at:
-                out += [(*at, c) for c in members] if at else []
-                at, members = keys, set()
-            members.update(group[i][0] for i in (y, *others))
-            if len(out) >= 10_000:
-                yield _emit(list(zip(*out)), [INT, pa.int32(), pa.int32(), BIN], ["key", "low", "high", "c"])
-                out = []
-        out += [(*at, c) for c in members] if at else []
-        if out:
-            yield _emit(list(zip(*out)), [INT, pa.int32(), pa.int32(), BIN], ["key", "low", "high", "c"])
+        """Members of which some pair is to be judged, so that only their texts are fetched."""
+
+        def members():
+            at, taken = None, {}
+            for keys, group, _, y, others in likely(batches, 8):
+                if keys != at:
+                    yield from ((*at, *x) for x in taken.values())
+                    at, taken = keys, {}
+                taken.update((group[i][0], group[i]) for i in (y, *others))
+            yield from ((*at, *x) for x in taken.values())
+
+        return stream(members(), [INT, pa.int32(), pa.int32(), BIN, INT, BIN, pa.int32(), BIN], [*keys, "c", "n", "root", "block", "sig"])
 
+    keys = ["key", "low", "high"]
     links, roots = None, None
     for turn in range(3):
+        rows = mixed(roots, f"mixed{turn}")
         if turn < 2:
-            rows = mixed(roots, f"mixed{turn}").repartition("key").sortWithinPartitions("key", "root", "c")
-            pairs = candidates(rows.select("key", "c", "n", "root").mapInArrow(tidy(attempts(turn)), "a binary, b binary").distinct())
+            rows = rows.join(brief, "c").select("key", "c", "n", "root", "brief").repartition("key").sortWithinPartitions("key", "root", "c")
+            pairs = rows.mapInArrow(tidy(attempts(turn)), "a binary, b binary, same long").distinct()
             pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))).where("r <= 3").select("a", "b")
             got = confirmed(pairs, f"near{turn}")
         else:
-            rows = mixed(roots, "mixed")
             blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
             rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            rows = rows.join(classes.join(posted, "c").select("c", F.concat("posted", "sig").alias("marks")), "c")
-            keys = ["key", "low", "high"]
-            rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "marks")
-            part = rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(taking_part), "key long, low int, high int, c binary")
-            rows = rows.join(settle(part, "taking-part"), [*keys, "c"]).join(sets, "c").select(*keys, "c", "n", "root", "block", "marks", "s")
-            got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(across), "a binary, b binary"), "across").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            rows = rows.join(classes.select("c", "sig"), "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "root", "block", "sig")
+            part = rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(taking_part), "key long, low int, high int, c binary, n long, root binary, block int, sig binary")
+            rows = with_texts(settle(part, "taking-part"), "across").select(*keys, "c", "n", "root", "block", "sig", "text")
+            got = settle(rows.repartition(*keys).sortWithinPartitions(*keys, "root", "c").mapInArrow(tidy(across), "u binary, v binary"), "across")
         if not got.isEmpty():
             links = got if links is None else links.unionByName(got)
             roots = components(links, "component")
