@@ -16,6 +16,8 @@ from tidemark.llm.components import components
 MEMO_ENTRIES = 200_000
 #: Members of a list that a task compares with as many others at a time.
 BLOCK = 2500
+#: Size of the bitmap of wanted ids: 4 MB.
+MAP_BITS = 1 << 25
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -173,10 +175,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     lists = settle(postings.mapInArrow(tidy(shared_lists), "key long, c binary, n long"), "lists")
 
     def with_texts(rows: DataFrame, name: str) -> DataFrame:
-        """rows, which have a class c, with a text of that class. Only texts that are asked for move: few rows are broadcast (within
-        the session's limit for that), many are dealt by id. Rows that repeat an id can bring other texts; readers test the set."""
+        """rows, which have a class c, with a text of that class. A bitmap of the wanted ids' hashes, of a fixed size, keeps most
+        other texts from the join; as it fills up, more of them pass, at worst all. Rows that repeat an id can bring other texts;
+        readers test the set."""
         wanted = settle(rows.join(classes.select("c", "least"), "c"), f"{name}-wanted")
-        return wanted.join(plain, wanted["least"].eqNullSafe(plain["id"])).select(*rows.columns, "text")
+        spot = lambda id: F.pmod(F.xxhash64(id), F.lit(MAP_BITS)) + 1
+        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        found = wanted.select(spot("least").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
+        for r in found.collect():
+            bits[(r.k - 1) * len(r.m) : r.k * len(r.m)] = np.frombuffer(r.m, np.uint8)
+        told = spark.sparkContext.broadcast(bits)
+
+        def asked_for(batches):
+            seen = told.value
+            for b in batches:
+                x = b.column(2).to_numpy() - 1
+                b = b.filter(pa.array((seen[x >> 3] >> (x & 7) & 1).astype(bool)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"])
+
+        texts = plain.withColumn("x", spot("id")).mapInArrow(tidy(asked_for), f"id {kind}, text binary")
+        return wanted.join(texts, wanted["least"].eqNullSafe(texts["id"])).select(*rows.columns, "text")
 
     def confirm(batches):
         maker, out, at, mine = Shingler(words, 1), [], None, None
