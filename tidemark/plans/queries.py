@@ -418,6 +418,16 @@ def price_unpivot(spark, d):
     return L.tidy_prices(close, volume.withColumn("t3", F.lit(None).cast("double")), ["t1", "t2", "t3"]).select("date", "ticker", r6("close").alias("close"), "volume")
 
 
+@query("SELECT l_shipdate::DATE AS date, 't' || l_suppkey AS ticker, round(avg(l_extendedprice), 6) AS close, sum(l_quantity) AS volume FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2 HAVING avg(l_extendedprice) IS NOT NULL")
+def price_unpivot_all(spark, d):
+    """price_unpivot over every supplier: the wide tables have a column for each, whose list is read from the rows themselves."""
+    lines = T(spark, d, "lineitem")
+    keys = sorted(r[0] for r in lines.select("l_suppkey").where("l_suppkey is not null").distinct().collect())  # as many as wide columns
+    wide = lines.groupBy(F.to_date("l_shipdate").alias("date")).pivot("l_suppkey", keys)
+    close, volume = (wide.agg(f).select("date", *[F.col(f"`{k}`").alias(f"t{k}") for k in keys]) for f in (F.avg("l_extendedprice"), F.sum("l_quantity")))
+    return L.tidy_prices(close, volume, [f"t{k}" for k in keys]).select("date", "ticker", r6("close").alias("close"), "volume")
+
+
 @query("""WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS ticker, CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS cik, coalesce(n, 0) AS n_filings,
 CASE WHEN c_custkey % 10 = 0 THEN 'no CIK' WHEN coalesce(n, 0) < 8 THEN 'only ' || coalesce(n, 0) END AS skip_reason FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
 def universe_filter(spark, d):
