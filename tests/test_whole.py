@@ -1,6 +1,7 @@
 """Registered queries do the whole job: against plain Python on small fixtures."""
 
 import datetime as dt
+import hashlib
 from collections import defaultdict
 
 from tidemark.plans.queries import QUERIES
@@ -14,3 +15,13 @@ def test_price_unpivot_keeps_every_supplier(spark, tmp_path):
         want[day.date(), f"t{s}"].append((price, n))
     got = {(r.date, r.ticker): (r.close, r.volume) for r in QUERIES["price_unpivot_all"](spark, str(tmp_path)).collect()}
     assert got == {k: (round(sum(x for x, _ in v) / len(v), 6), sum(n for _, n in v)) for k, v in want.items()}
+
+
+def test_textprep_reads_to_the_cap_and_carries_back(spark, tmp_path):
+    body, lost = "word " * 400, "licensed under the MIT License."
+    texts = [body * 2, body * 34 + "end", body * 36, body + lost, body + "licensed under other terms", "short " + lost]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [texts[0], texts[1], texts[2][:70_000], body.strip() + "\n\n" + lost, body, texts[5]]
+    got = QUERIES["textprep_full"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.prepared_sha256 for r in got] == [hashlib.sha256(t.strip().encode()).hexdigest() for t in want]
+    assert [(r.trimmed_at_marker, r.hard_truncated, r.guidance_recovered) for r in got] == [(False, False, False)] * 2 + [(False, True, False), (True, False, True), (True, False, False), (False, False, False)]

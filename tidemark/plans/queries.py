@@ -320,6 +320,19 @@ def textprep(spark, d):
     return p.select("doc_id", F.col("p.original_chars").cast("long").alias("original_chars"), "p.trimmed_at_marker", "p.hard_truncated", F.sha2("p.text", 256).alias("prepared_sha256"))
 
 
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?s)^(.*?)(?i:(?:licensed|released) under)', 1) AS head, regexp_matches(text, '(?i)(?:licensed|released) under') AS has FROM documents),
+k AS (SELECT *, has AND length(head) >= 1500 AS trimmed, CASE WHEN has AND length(head) >= 1500 THEN regexp_replace(head, '\s+$', '') ELSE text END AS kept, CASE WHEN has AND length(head) >= 1500 THEN substr(text, length(head) + 1) ELSE '' END AS gone FROM m),
+s AS (SELECT *, trim(left(regexp_extract(gone, '(?im)^([^\n]*?(?:(?:Public|MIT) License)(?s:.*))', 1), 5000), chr(32) || chr(10) || chr(9)) AS section FROM k),
+g AS (SELECT *, trimmed AND NOT regexp_matches(kept, '(?i)(?:Public|MIT) License') AND section <> '' AS recovered FROM s),
+f AS (SELECT *, CASE WHEN recovered THEN kept || chr(10) || chr(10) || section ELSE kept END AS whole FROM g),
+w AS (SELECT *, left(whole, 70000) AS part, strpos(reverse(left(whole, 70000)), chr(10) || chr(10)) AS back FROM f)
+SELECT doc_id, length(text) AS original_chars, trimmed AS trimmed_at_marker, length(whole) > 70000 AS hard_truncated, recovered AS guidance_recovered, sha256(trim(CASE WHEN length(whole) <= 70000 THEN whole WHEN back > 0 AND 70000 - back - 1 > 56000 THEN left(part, 70000 - back - 1) ELSE part END, chr(32) || chr(10) || chr(9))) AS prepared_sha256 FROM w""")
+def textprep_full(spark, d):
+    """textprep with the operator's own cap of 70,000 characters, and markers and a section to carry back that stand in the documents."""
+    p = T(spark, d, "documents").select("doc_id", X.prepare(F.col("text"), markers=["(?:licensed|released) under"], guidance="(?:Public|MIT) License").alias("p"))
+    return p.select("doc_id", F.col("p.original_chars").cast("long").alias("original_chars"), "p.trimmed_at_marker", "p.hard_truncated", "p.guidance_recovered", F.sha2("p.text", 256).alias("prepared_sha256"))
+
+
 CUES = ["the", "license", "tion", "en"]
 
 
