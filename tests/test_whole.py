@@ -4,6 +4,8 @@ import datetime as dt
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tidemark.plans.queries import QUERIES
 
 
@@ -25,3 +27,24 @@ def test_textprep_reads_to_the_cap_and_carries_back(spark, tmp_path):
     got = QUERIES["textprep_full"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.prepared_sha256 for r in got] == [hashlib.sha256(t.strip().encode()).hexdigest() for t in want]
     assert [(r.trimmed_at_marker, r.hard_truncated, r.guidance_recovered) for r in got] == [(False, False, False)] * 2 + [(False, True, False), (True, False, True), (True, False, False), (False, False, False)]
+
+
+def test_learning_queries_use_all_features_and_the_defaults(spark, monkeypatch):
+    from tidemark.operators import features, ml
+
+    seen = {}
+    scored = spark.createDataFrame([("x", "a", 1.0, 0.5), ("x", "b", 0.0, 0.25)], "feature_set string, id string, y double, p double")
+    monkeypatch.setattr(ml, "run_ablation", lambda rows, blocks, **how: seen.update(ablation=(blocks, how)) or scored)
+    monkeypatch.setattr(ml, "permutation_importance", lambda rows, names, **how: seen.update(importance=(names, how)) or scored)
+    for name in ("ablation", "perm_importance"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    controls, claims = list(features.control_block()), list(features.claim_block(["claim_tone"]))
+    assert len(controls) == 12 and seen == {"ablation": ({"control": controls, "claim": claims}, {"kind": "gbm"}), "importance": (controls, {"kind": "gbm"})}
+
+
+def test_boosted_trees_find_the_feature_that_decides(spark):
+    from tidemark.operators.ml import permutation_importance
+
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(i), float(i * 37 % 101 > 50), float(i * 37 % 101), float(i * 53 % 7)) for i in range(300)]
+    got = permutation_importance(spark.createDataFrame(rows, "id long, date date, y double, a double, b double").withColumn("y", F.col("y").cast("int")), ["a", "b"], kind="gbm", repeats=2, rounds=3).collect()
+    assert [r.feature for r in got] == ["a", "b"] and got[0].auc_drop > 0.2 and abs(got[1].auc_drop) < 0.05

@@ -467,7 +467,7 @@ def learning_rows(spark, d) -> tuple[DataFrame, dict[str, list[str]]]:
     events = events.withColumn("claim_tone", F.expr("CASE WHEN vol_expansion * 10 % 2 < 1 THEN 'confident' ELSE 'cautious' END"))
     m, blocks = FT.build_features(events, ["id", F.col("t0").alias("date"), F.col("y").cast("double").alias("y")])
     m = m.coalesce(1).cache()
-    return m, {"control": blocks["control"][:5], "claim": ["tone__confident"]}
+    return m, blocks
 
 
 @query()
@@ -475,7 +475,7 @@ def ablation(spark, d):
     from tidemark.operators.ml import run_ablation
 
     m, blocks = learning_rows(spark, d)
-    out = run_ablation(m, blocks, kind="logistic", folds=3, rounds=25)
+    out = run_ablation(m, blocks, kind="gbm")
     return E.auc(out.withColumn("y", F.col("y").cast("long")), ["feature_set"])
 
 
@@ -484,4 +484,4 @@ def perm_importance(spark, d):
     from tidemark.operators.ml import permutation_importance
 
     m, blocks = learning_rows(spark, d)
-    return permutation_importance(m.withColumn("y", F.col("y").cast("int")), blocks["control"], repeats=3, rounds=25)
+    return permutation_importance(m.withColumn("y", F.col("y").cast("int")), blocks["control"], kind="gbm")
