@@ -4,6 +4,8 @@ import datetime as dt
 import hashlib
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans.queries import QUERIES
@@ -48,3 +50,21 @@ def test_boosted_trees_find_the_feature_that_decides(spark):
     rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(i), float(i * 37 % 101 > 50), float(i * 37 % 101), float(i * 53 % 7)) for i in range(300)]
     got = permutation_importance(spark.createDataFrame(rows, "id long, date date, y double, a double, b double").withColumn("y", F.col("y").cast("int")), ["a", "b"], kind="gbm", repeats=2, rounds=3).collect()
     assert [r.feature for r in got] == ["a", "b"] and got[0].auc_drop > 0.2 and abs(got[1].auc_drop) < 0.05
+
+
+def test_bootstrap_query_takes_ten_thousand_rounds(spark, tmp_path):
+    docs = [(i, 100 + i * 31 % 57) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i * 5 % 3 % 2) for i in range(12)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    y, both = [i * 5 % 3 % 2 for i in range(12)], ([(n * 7919 + i) % 100 / 100 for i, n in docs], [n % 97 / 97 for _, n in docs])
+    aucs, briers = [], []
+    for b in range(10_000):
+        at = [int(hashlib.md5(f"42|{b}|{k}".encode()).hexdigest()[:8], 16) % 12 for k in range(12)]
+        pos, neg = [i for i in at if y[i]], [i for i in at if not y[i]]
+        if pos and neg:
+            auc = [sum((p[i] > p[j]) + (p[i] == p[j]) / 2 for i in pos for j in neg) / len(pos) / len(neg) for p in both]
+            aucs.append(auc[1] - auc[0])
+            briers.append(sum((both[0][i] - y[i]) ** 2 - (both[1][i] - y[i]) ** 2 for i in at) / 12)
+    r = QUERIES["paired_bootstrap_10000"](spark, str(tmp_path)).first()
+    want = [len(aucs), np.mean(aucs), *np.percentile(aucs, [2.5, 97.5]), np.mean([x > 1e-12 for x in aucs]), np.mean(briers), *np.percentile(briers, [2.5, 97.5])]
+    assert r.rounds > 9000 and [float(x) for x in r] == pytest.approx(want, abs=2e-3)
