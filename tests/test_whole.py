@@ -68,3 +68,14 @@ def test_bootstrap_query_takes_ten_thousand_rounds(spark, tmp_path):
     r = QUERIES["paired_bootstrap_10000"](spark, str(tmp_path)).first()
     want = [len(aucs), np.mean(aucs), *np.percentile(aucs, [2.5, 97.5]), np.mean([x > 1e-12 for x in aucs]), np.mean(briers), *np.percentile(briers, [2.5, 97.5])]
     assert r.rounds > 9000 and [float(x) for x in r] == pytest.approx(want, abs=2e-3)
+
+
+def test_consistency_queries_take_every_document(spark, tmp_path):
+    from tidemark.operators import grading
+
+    spark.createDataFrame([(3, 100), (10, 101), (17, 250)], "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["consistency_modal_all"](spark, str(tmp_path)).count() == 4
+    assert QUERIES["agreement_corr_all"](spark, str(tmp_path)).first().pearson is not None
+    rows = [(k, i, "tone", "x" if k < 2 else "y") for k in range(3) for i in (1, 2) if (k, i) != (2, 2)]
+    got = grading.modal_agreement(spark.createDataFrame(rows, "run int, id int, field string, answer string")).collect()
+    assert [(r.field, round(r.agreement, 4)) for r in got] == [("tone", 0.6667)]

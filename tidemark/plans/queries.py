@@ -306,6 +306,13 @@ def runs(spark, d) -> DataFrame:
     return out
 
 
+def all_runs(spark, d) -> DataFrame:
+    first, *rest = (answers(spark, d, k).withColumn("run", F.lit(k)) for k in range(3))
+    for r in rest:
+        first = first.unionByName(r)
+    return first
+
+
 MODAL = f"""r AS (SELECT 0 AS run, * FROM {_run(0)} UNION ALL SELECT 1, * FROM {_run(1)} UNION ALL SELECT 2, * FROM {_run(2)} WHERE id % 7 <> 3),
 c AS (SELECT id, field, answer, count(*) AS c FROM r WHERE id IN (SELECT id FROM r GROUP BY 1 HAVING count(DISTINCT run) = 3) GROUP BY 1, 2, 3), m AS (SELECT id, field, max(c) / 3 AS ag FROM c GROUP BY 1, 2)"""
 
@@ -322,6 +329,22 @@ def agreement_corr(spark, d):
     return E.rank_correlation(rows, "accuracy", "agreement").select(r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
 
 
+MODAL_ALL = MODAL.replace(" WHERE id % 7 <> 3", "")
+
+
+@query(f"WITH {MODAL_ALL} SELECT field, round(avg(ag), 6) AS agreement, round(avg((ag = 1)::INT), 6) AS unanimous FROM m GROUP BY 1")
+def consistency_modal_all(spark, d):
+    """consistency_modal with every document in all three runs."""
+    return grading.modal_agreement(all_runs(spark, d)).select("field", r6("agreement").alias("agreement"), r6("unanimous").alias("unanimous"))
+
+
+@query(f"""WITH {GRADED}, {MODAL_ALL}, a AS (SELECT field, avg(hit::INT) AS x FROM h GROUP BY 1), b AS (SELECT field, round(avg(ag), 12) AS y FROM m GROUP BY 1),
+k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM a JOIN b USING (field)) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM k""")
+def agreement_corr_all(spark, d):
+    rows = grading.field_accuracy(graded(spark, d)).join(grading.modal_agreement(all_runs(spark, d)).withColumn("agreement", F.round("agreement", 12)), "field")  # equal means tie, whatever the order of their sums
+    return E.rank_correlation(rows, "accuracy", "agreement").select(r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
+
+
 @query(r"""WITH m AS (SELECT doc_id, text, n_chars, regexp_extract(text, '(?s)^(.*?)\b(?:license|copyright)\b', 1) AS head, regexp_matches(text, '\b(?:license|copyright)\b') AS has FROM documents),
 k AS (SELECT doc_id, text, has AND length(head) >= 200 AS trimmed, CASE WHEN has AND length(head) >= 200 THEN regexp_replace(head, '\s+$', '') ELSE text END AS kept FROM m)
 SELECT doc_id, length(text) AS original_chars, trimmed AS trimmed_at_marker, length(kept) > 3000 AS hard_truncated, sha256(trim(CASE WHEN length(kept) > 3000 THEN left(kept, 3000) ELSE kept END, chr(32) || chr(10) || chr(9))) AS prepared_sha256 FROM k""")
