@@ -16,7 +16,7 @@ DISCOUNT = 0.75
 MEMO_ENTRIES = 200_000
 #: Characters of text handled at a time by a worker.
 SLICE = 1_000_000
-#: Longer letter runs are scored in parts of this many letters.
+#: Longer letter runs are learned and scored in parts of this many letters.
 RUN = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BOUND = 2  # stands for a word's border
@@ -162,7 +162,8 @@ def _slices(texts: list[str]):
 
 def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, reject: float = 0.001):
     """Learn from about per_language rows of each language, chosen by a hash of the id; four fifths fit the models, the others set
-    each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds.
+    each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds. A language whose rows all fall
+    among the others is fitted on all of them.
 
     Rows with a null text or language are not used. Returns (model, limits), or None if there is nothing to learn from.
     """
@@ -184,7 +185,7 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
         seen: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                seen.setdefault(lang, Counter()).update(w[:RUN] for w in _LETTERS.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(w[i : i + RUN] for w in _LETTERS.findall(text.lower()) for i in range(0, len(w), RUN))
         for lang, words in seen.items():
             items = list(words.items())
             for i in range(0, len(items), 20_000):
@@ -192,9 +193,15 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "w", "n"])
 
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
-    found = sample.where(~for_limits).mapInArrow(tidy(count), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    for x in found.toLocalIterator():
-        counts[x.lang][x.w] = x.n
+    def learned(part):
+        found = part.mapInArrow(tidy(count), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+        for x in found.toLocalIterator():
+            counts[x.lang][x.w] = x.n
+
+    learned(sample.where(~for_limits))
+    bare = [x for x in langs if not counts[x]]
+    if bare:
+        learned(sample.where(F.col("lang").isin(bare)))
     langs = [x for x in langs if counts[x]]
     if not langs:
         return None
