@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -72,12 +71,14 @@ class BpeTables:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.specials.items()})
         self.pattern: str = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
+        self.rules = json.dumps({"version": "1.0", "added_tokens": [], "normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": {"type": "BPE", "vocab": {}, "merges": []}})
         self.joined_decoding = spec.get("decoder") is None
         ends = len(self.suffix)
         size = lambda t: len(t) - ends * t.endswith(self.suffix) if ends else len(t)
         self.symbols = {t: size(t) for t in self.order}
         self.longest = max(self.symbols.values())
         self.whole = frozenset(t for t, i in self.order.items() if self._alone(i))
+        self.ahead = self.lookahead()
 
     def _alone(self, token: int) -> bool:
         """Proof by the merges themselves: applied to the token's own symbols, do they end in that token?"""
@@ -127,12 +128,14 @@ def merge_all(parts: list[int], pairs: dict[int, int]) -> list[int]:
 
 
 class Transducer:
-    """Encodes symbol streams: the state is the last token of each of the latest prefixes; tokens leave once all states agree on them."""
+    """Encodes symbol streams: the state is the last token of each of the latest prefixes. Tokens leave once all states agree on
+    them, and at the latest when they end the merge list's sufficient lookahead before the newest symbol."""
 
     def __init__(self, tables: BpeTables):
         self.t = tables
         self.bytes = _byte_symbols()
         self.split = regex.compile(tables.pattern).findall
+        self.beyond_ascii = None
         self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.prefixes: dict[str, int] = {}
@@ -179,8 +182,9 @@ class Transducer:
         yield self.bytes[word[-1]] + self.t.suffix
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Token orders of a symbol stream. Holds the latest prefixes back to the point on which all of them agree."""
-        order, whole, longest, end = self.t.order, self.t.whole, self.t.longest, self.t.suffix
+        """Token orders of a symbol stream. Holds the latest prefixes back to the point on which all of them agree, and never more
+        than the sufficient lookahead and one token: what lies further back on the newest prefix's path can no longer change."""
+        order, whole, longest, end, ahead = self.t.order, self.t.whole, self.t.longest, self.t.suffix, self.t.ahead
         recent: list[str] = []
         state: list[tuple[int, int]] = [(-1, -1)]  # of each held prefix: its last token and where that began
         for s in symbols:
@@ -194,25 +198,27 @@ class Transducer:
                 before = state[start][0]
                 if before < 0 or self.compatible(before, token):
                     found = (token, start)
-                    if before < 0 or start == 0:
-                        break
                     break
             if found is None:
                 raise ValueError(f"the vocabulary lacks {s!r}")
             state.append(found)
-            if at >= 4 * longest and not (end and s.endswith(end)):
+            if at >= min(4 * longest, ahead + longest) and not (end and s.endswith(end)):
                 meet = self._agreed(state, longest)
+                if not meet and at >= ahead + longest:
+                    meet = at
+                    while meet > at - ahead:
+                        meet = state[meet][1]
                 if meet:
                     yield from self._path(state, meet)
                     recent = recent[meet:]
                     seed = state[meet][0]
-                    state = [(seed, -1)] + [(t, b - meet) if b >= meet else None for t, b in state[meet + 1 :]]
+                    state = [(seed, -1)] + [(x[0], x[1] - meet) if x and x[1] >= meet else None for x in state[meet + 1 :]]
         yield from self._path(state, len(state) - 1)
 
     @staticmethod
     def _agreed(state: list, longest: int) -> int:
         """The last prefix through which the path of every prefix that a later token can still start from leads."""
-        live = set(range(max(1, len(state) - longest), len(state)))
+        live = {i for i in range(max(1, len(state) - longest), len(state)) if state[i]}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
@@ -227,17 +233,16 @@ class Transducer:
             out.append(token)
         return out[::-1]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Vocabulary ids of one pre-token."""
-        known = self.pieces.get(piece)
+    def piece(self, word: str) -> tuple[int, ...]:
+        """Vocabulary ids of one pre-token, given as the stand-ins of its bytes."""
+        known = self.pieces.get(word)
         if known is None:
             if len(self.pieces) > MEMO_ENTRIES:
                 self.pieces.clear()
-            word = piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode()])
             if len(word) <= 64:
-                known = self.pieces[piece] = self._short(word)
+                known = self.pieces[word] = self._short(word)
             else:
-                known = tuple(self.t.ids[x] for x in self.stream(self.symbols(piece.encode())))
+                known = tuple(self.t.ids[x] for x in self.stream(c if i + 1 < len(word) else c + self.t.suffix for i, c in enumerate(word)))
         return known
 
     def _short(self, word: str) -> tuple[int, ...]:
@@ -277,7 +282,8 @@ class Transducer:
             token = prefixes[word[:at]]
 
     def runs(self, chunk: str) -> Iterator[str | int]:
-        """Pre-tokens of a text, or the ids of special strings in it, in order."""
+        """Pre-tokens of a text, as stand-ins of their bytes, or the ids of special strings in it, in order. Beyond ASCII the file's own
+        normalizer and pre-tokenizer rules are run by its library, whose Unicode tables differ from Python's."""
         if chunk.isascii():
             if chunk.isalpha():
                 yield chunk.lower()
@@ -290,9 +296,16 @@ class Transducer:
         for p in parts:
             if (i := self.t.specials.get(p)) is not None:
                 yield i
+            elif p.isascii():
+                for x in self.split(p.lower()):
+                    yield x if x.isprintable() else "".join([self.bytes[b] for b in x.encode()])
             elif p:
-                p = unicodedata.normalize("NFC", p) if not p.isascii() else p
-                yield from self.split(p.replace("Σ", "σ").lower())
+                if self.beyond_ascii is None:
+                    from tokenizers import Tokenizer
+
+                    self.beyond_ascii = Tokenizer.from_str(self.t.rules)
+                for x, _ in self.beyond_ascii.pre_tokenizer.pre_tokenize_str(self.beyond_ascii.normalizer.normalize_str(p)):
+                    yield x
 
     def ids(self, chunk: str) -> list[int]:
         out: list[int] = []
@@ -305,9 +318,9 @@ class Transducer:
 
     def count(self, chunk: str) -> int:
         """Number of ids: pre-tokens proved to be one token count as they are, only the rest are merged."""
-        whole, sym, n = self.t.whole, self.bytes, 0
+        whole, n = self.t.whole, 0
         for x in self.runs(chunk):
-            if isinstance(x, int) or "".join([sym[b] for b in x.encode()]) + self.t.suffix in whole:
+            if isinstance(x, int) or x + self.t.suffix in whole:
                 n += 1
             else:
                 n += len(self.piece(x))
