@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into classes (insult, threat, target, negation, reported speech); a grammar transducer reads a
-clause's classes and sends each insult or threat, with its weight, to the channel that its surroundings call for: plain, aimed at
-somebody, negated or reported. The insult lexicon (whole words and word stems, with log-odds weights) and the weights of the
-channels are learned from labelled rows; the closed classes are fixed lists.
+A lexical transducer turns words into classes (insult, threat, target, negation, reported speech). Over a clause's classes run the
+transducers of negation, target and report, composed into one by the product of their states; as scopes reach both ways, one
+composition reads the clause forwards and one backwards, and a weighted last transducer sends each insult or threat, by the marks
+that both left on it, to a channel: plain, aimed at somebody, negated, reported, or a threat. The insult lexicon (whole words and
+word stems, with log-odds weights) and the weights of the channels are learned from labelled rows; the closed classes are fixed.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ THREATS = "kill murder hurt destroy beat stab shoot burn töte töten umbringen
 
 PLAIN, NEG, REPORT, TARGET, THREAT, INSULT, END = 0, 1, 2, 3, 4, 5, 8
 CHANNELS = ("plain", "aimed", "negated", "reported", "threat")
+#: Marks that the scopes leave on a word, beside its class.
+NEGATED, REPORTED, AIMED = 8, 16, 32
+KINDS = (PLAIN, NEG, REPORT, TARGET, THREAT, INSULT)
 #: Words over which a negation and a target reach.
 NEG_SCOPE, TARGET_SCOPE = 3, 4
 #: Lengths of word stems that the lexicon may hold.
@@ -36,20 +40,80 @@ _HOT = re.compile(bytes([91, THREAT, INSULT, THREAT | END, INSULT | END, 93]))
 _ENDS = bytes(1 if c & END else 0 for c in range(256))
 
 
+class Machine:
+    """A sequential transducer: arcs[state][symbol] is the symbol that leaves and the next state. A symbol is a class with marks."""
+
+    def __init__(self, arcs: list[dict[int, tuple[int, int]]]):
+        self.arcs = arcs
+
+    def then(self, other: Machine) -> Machine:
+        """The composition: what leaves this machine enters the other. States are the reachable pairs of states."""
+        pairs, arcs, at = {(0, 0): 0}, [], 0
+        while at < len(pairs):
+            a, b = list(pairs)[at]
+            row = {}
+            for symbol, (between, a_next) in self.arcs[a].items():
+                out, b_next = other.arcs[b][between]
+                row[symbol] = out, pairs.setdefault((a_next, b_next), len(pairs))
+            arcs.append(row)
+            at += 1
+        return Machine(arcs)
+
+    def run(self, symbols) -> list[int]:
+        state, out = 0, []
+        for x in symbols:
+            y, state = self.arcs[state][x]
+            out.append(y)
+        return out
+
+
+#: Every class with every set of marks.
+_ALPHABET = [k | m for k in KINDS for m in range(0, 64, 8)]
+
+
+def scope(kind: int, mark: int, reach: int, first_only: bool = False) -> Machine:
+    """Marks the `reach` symbols after one of a class (all that follow: reach 0); with first_only, that class counts as the first symbol only."""
+    states = max(reach, 1) + 1
+    after = lambda s: max(s - 1, 0) if reach else s
+    arcs = []
+    for s in range(states):
+        arcs.append({x: (x | mark if s else x, states - 1 if x & 7 == kind and not first_only else after(s)) for x in _ALPHABET})
+    if first_only:  # a further state comes first
+        arcs = [{x: (x, states if x & 7 == kind else 1) for x in _ALPHABET}, *({x: (y, n + 1) for x, (y, n) in row.items()} for row in arcs)]
+    return Machine(arcs)
+
+
+#: Forwards: a negation reaches NEG_SCOPE words on, a target TARGET_SCOPE, a report to the clause's end. Backwards: so do targets
+#: and reports that come after; a negation only if it closes the clause.
+FORWARDS = scope(NEG, NEGATED, NEG_SCOPE).then(scope(TARGET, AIMED, TARGET_SCOPE)).then(scope(REPORT, REPORTED, 0))
+BACKWARDS = scope(NEG, NEGATED, NEG_SCOPE, first_only=True).then(scope(TARGET, AIMED, TARGET_SCOPE)).then(scope(REPORT, REPORTED, 0))
+
+
+def _arc(symbol: int) -> tuple[int, float] | None:
+    """The weighted last transducer: channel of a marked word, and the factor of its weight. A denial or a report takes an insult and
+    a threat alike out of the channels of what is said outright."""
+    kind, quiet = symbol & 7, 3 if symbol & REPORTED else 2 if symbol & NEGATED else None
+    if kind == INSULT:
+        return quiet or (1 if symbol & AIMED else 0), 1.0
+    if kind == THREAT:
+        return quiet or 4, 1.0 if symbol & AIMED else 0.1
+    return None
+
+
+WEIGHTED = {x: _arc(x) for x in _ALPHABET}
+
+
 def chunks(text: str) -> list[str]:
     return text.replace("\n", " . ").lower().split()
 
 
 class Grammar:
-    """The composed transducers. Picklable; its size is bounded by the lexicon's."""
+    """The learned lexicon with the fixed classes, in front of the composed transducers. Picklable; its size is the lexicon's."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.fixed = {w: k for k, words in ((NEG, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
 
-    def __getstate__(self):
-        return {"lexicon": self.lexicon, "fixed": self.fixed}
-
     def weight(self, chunk: str) -> float:
         word = _EDGE.sub("", chunk)
         return max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:k] + "*", 0.0) for k in STEMS)])
@@ -64,7 +128,7 @@ class Grammar:
         """Summed weights by channel, matched clauses, words of a text."""
         words = chunks(text)
         codes = bytes(map(memo.__getitem__, words))
-        sums, matched, done = [0.0] * len(CHANNELS), 0, -1
+        sums, matched = [0.0] * len(CHANNELS), 0
         hit = _HOT.search(codes)
         if not hit:
             return sums, 0, len(words)
@@ -73,28 +137,13 @@ class Grammar:
             start, end = ends.rfind(b"\x01", 0, hit.start()) + 1, ends.find(b"\x01", hit.start())
             end = len(codes) if end < 0 else end + 1
             matched += 1
-            self._clause(codes[start:end], words[start:end], sums)
+            kinds = [c & 7 for c in codes[start:end]]
+            for w, x, y in zip(words[start:end], FORWARDS.run(kinds), BACKWARDS.run(kinds[::-1])[::-1]):
+                if arc := WEIGHTED[x | y]:
+                    sums[arc[0]] += arc[1] * (self.weight(w) if x & 7 == INSULT else 1.0)
             hit = _HOT.search(codes, end)
         return sums, matched, len(words)
 
-    def _clause(self, codes: bytes, words: list[str], sums: list[float]) -> None:
-        neg = target = 0  # words that the scopes still reach
-        reported = False
-        for c, w in zip(codes, words):
-            kind = c & 7
-            neg, target = max(0, neg - 1), max(0, target - 1)
-            if kind == NEG:
-                neg = NEG_SCOPE
-            elif kind == REPORT:
-                reported = True
-            elif kind == TARGET:
-                target = TARGET_SCOPE
-            elif kind == THREAT:
-                if target or neg == 0 and not reported:
-                    sums[4] += 1.0 if target else 0.1
-            elif kind == INSULT:
-                sums[3 if reported else 2 if neg else 1 if target else 0] += self.weight(w)
-
 
 class _Codes(dict):
     def __init__(self, g: Grammar):
@@ -131,6 +180,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
 
     learn: which ids may be used. Rows with a null id, text or label are not used; of repeated labels the largest counts. With no
     usable rows, or of one class only, the lexicon is empty and the score is the share of that class.
+
+    max_labelled bounds the rows that the classifier is fitted on, max_entries the lexicon: the 20 * max_entries words and stems that
+    are in most toxic texts are looked at, and the best max_entries of these are its entries. Scoring has no such bounds.
     """
     told = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     told = told.where(learn) if learn is not None else told
