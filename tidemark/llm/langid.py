@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -18,6 +19,8 @@ MEMO_ENTRIES = 200_000
 SLICE = 1_000_000
 #: Longer letter runs are learned and scored in parts of this many letters.
 RUN = 64
+#: Letters of evidence among which the calibration chooses.
+EVIDENCE = (5, 10, 20, 30, 50, 100, 200, 500, 1000)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BOUND = 2  # stands for a word's border
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -105,13 +108,18 @@ class Model:
         i[(i == len(hashes)) | (hashes[np.minimum(i, len(hashes) - 1)] != keys)] = len(hashes)
         return values[i]
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Negative log2 probability of each word in each language."""
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability by language of each letter and each end of the words after what precedes it, and the index of its word."""
         full, word = _windows(words)
         ctx = self._contexts(words)
         p = np.full((len(word), len(self.langs)), self.uniform, np.float32)
         for k in range(ORDER):
             p = self._find(self.grams[k], full[k]) + self._find(self.contexts[k], ctx[k]) * p
+        return p, word
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Negative log2 probability of each word in each language."""
+        p, word = self.letters(words)
         out = np.zeros((len(words), len(self.langs)))
         np.add.at(out, word, -np.log2(p))
         return out
@@ -161,11 +169,11 @@ def _slices(texts: list[str]):
 
 
 def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, reject: float = 0.001):
-    """Learn from about per_language rows of each language, chosen by a hash of the id; four fifths fit the models, the others set
-    each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds. A language whose rows all fall
+    """Learn from about per_language rows of each language, chosen by a hash of the id; four fifths fit the models, the others
+    calibrate the scores and set each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds. A language whose rows all fall
     among the others is fitted on all of them.
 
-    Rows with a null text or language are not used. Returns (model, limits), or None if there is nothing to learn from.
+    Rows with a null text or language are not used. Returns (model, calibration), or None if there is nothing to learn from.
     """
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     rows = rows.where(learn) if learn is not None else rows
@@ -213,11 +221,33 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
         for b in batches:
             texts, said = b.column(1).to_pylist(), b.column(2).to_pylist()
             got = [x for part in _slices(texts) for x in s.texts(part)]
-            out = [(lang, float(bits[s.model.langs.index(lang)] / n)) for (bits, n), lang in zip(got, said) if n >= 20 and lang in s.model.langs]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang", "h"])
+            out = [(lang, n, (bits / n).tolist()) for (bits, n), lang in zip(got, said) if n >= 20 and lang in s.model.langs]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.string(), pa.int64(), pa.list_(pa.float64())])], ["lang", "n", "h"])
+
+    rows = sample.where(for_limits).mapInArrow(tidy(held), "lang string, n long, h array<double>").collect()  # a fifth of the sample
+    return shared, calibrate(model.langs, [(r.lang, r.n, r.h) for r in rows], reject)
+
+
+def calibrate(langs: list[str], rows: list, reject: float) -> dict:
+    """What held-out rows (language, letters, cross-entropy by language) say: limit and spread, by language, of the cross-entropy of
+    its own texts; letters, the evidence that makes posteriors likeliest; wrong, the share of wrong answers, never 0."""
+    own = {x: np.array([h[langs.index(x)] for lang, _, h in rows if lang == x]) for x in langs}
+    out = {"limit": {x: float(np.quantile(v, 1 - reject, method="higher")) for x, v in own.items() if len(v)}, "spread": {x: max(float(v.std()), 0.01) for x, v in own.items() if len(v)}}
+    wrong = sum(langs[int(np.argmin(h))] != lang for lang, _, h in rows)
+    out["wrong"] = (wrong + 1) / (len(rows) + 2)
+    out["letters"], best = EVIDENCE[0], -np.inf
+    for most in EVIDENCE:
+        fit = sum(math.log(_posterior(np.array(h), n, most, out["wrong"])[langs.index(lang)]) for lang, n, h in rows)
+        if fit > best:
+            out["letters"], best = most, fit
+    return out
+
 
-    limits = {r.lang: r.h for r in sample.where(for_limits).mapInArrow(tidy(held), "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", 1 - reject).alias("h")).collect()}
-    return shared, limits
+def _posterior(h: np.ndarray, n: int, most: int, wrong: float) -> np.ndarray:
+    """Of each language, from the cross-entropies of n letters: letters repeat each other, so at most `most` count; a share `wrong` of
+    the answers says nothing."""
+    p = np.exp2((h.min() - h) * min(n, most))
+    return (1 - wrong) * p / p.sum() + wrong / len(h)
 
 
 def identify_languages(docs: DataFrame, fitted, unknown: str = "und", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,10 +255,11 @@ def identify_languages(docs: DataFrame, fitted, unknown: str = "und", id_col: st
 
     The language with the lowest length-normalised cross-entropy; ties go to the first by name. `unknown`, score 0 and rejected
     where the text is null or has no letter, or nothing was learned. rejected marks texts whose cross-entropy exceeds the
-    language's limit: lang_pred is still the nearest language. The score is the posterior of the language at most 30 letters'
-    evidence. Repeated rows and null ids are treated like any other; an empty table gives no rows. Narrow: no shuffle.
+    language's limit, which a share `reject` of its own texts does: lang_pred is still the nearest language. The score is the
+    posterior of the language as calibrated on held-out rows; that of a rejected text is below 0.5 and halves with each standard
+    deviation past the limit. Repeated rows and null ids are treated like any other; an empty table gives no rows. Narrow: no shuffle.
     """
-    shared, limits = fitted or (None, {})
+    shared, held = fitted or (None, {})
 
     def run(batches):
         s = Scorer(shared.value) if shared else None
@@ -242,9 +273,10 @@ def identify_languages(docs: DataFrame, fitted, unknown: str = "und", id_col: st
                         continue
                     h = sums / n
                     i = int(h.argmin())
-                    p = np.exp2((h[i] - h) * min(n, 30))
-                    lang.append(s.model.langs[i]), score.append(float(1 / p.sum())), bits.append(float(h[i]))
-                    no.append(bool(h[i] > limits.get(s.model.langs[i], np.inf)))
+                    name, p = s.model.langs[i], float(_posterior(h, n, held["letters"], held["wrong"])[i])
+                    past = float(h[i]) - held["limit"].get(name, np.inf)
+                    lang.append(name), bits.append(float(h[i])), no.append(past > 0)
+                    score.append(p * 2 ** -(1 + min(past / held["spread"][name], 1000)) if past > 0 else p)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(no, pa.bool_())], ["id", "lang_pred", "score", "bits", "rejected"])
 
     plain = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
