@@ -2,35 +2,39 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns the columns of docs (the last one:
 what the tokenizer gives). A document is a row; stages that group or mark rows find them again by doc_id and text, so rows with a
-null or repeated id are handled too.
+null or repeated id are handled too. Of every stage: a null text is an empty one, which has no clauses, words or tokens, so only exact
+dedup can remove it; rows with a null id are judged like others; columns of any name pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_roundtrip
 from tidemark.llm.common import settle, table
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.exact import exact_duplicates
+from tidemark.llm.exact import exact_distinct
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.toxicity import fit_toxicity, toxic_rows_removed
 
 
+KEY = "\0row"  # a name that no table has
+
+
 def _key(mark) -> Column:
     """Identity of a row: its id, nulls last, and a hash of its text. Never null."""
     return F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), mark.alias("t"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", _key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return docs.withColumn(KEY, _key(F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
 def _without(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows whose __key verdicts lacks, without it."""
-    return keyed.join(verdicts.select("__key").distinct(), "__key", "left_anti").drop("__key")
+    return keyed.join(verdicts.select(KEY).distinct(), KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,27 +44,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays: that with the largest doc_id."""
-    verdicts = exact_duplicates(docs).where("NOT kept").withColumn("__key", _key(F.col("text_sha256")))
-    gone = settle(verdicts.select("__key", F.expr("doc_id <=> keep_id").alias("again")), "copies")
-    keyed = docs.withColumn("__key", _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    rest = keyed.join(gone.where("NOT again").select("__key").distinct(), "__key", "left_anti")
-    again = gone.where("again").select("__key").distinct()  # of rows that repeat the id that stays, all but one go
-    once = Window.partitionBy("__key").orderBy(F.lit(0))
-    several = rest.join(again, "__key", "left_semi").withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
-    return rest.join(again, "__key", "left_anti").unionByName(several).select(*docs.columns)
+    """Of equal texts, null as empty, one row with the largest doc_id stays, with all its columns; an empty table stays empty."""
+    return exact_distinct(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
     keyed = _keyed(docs)
-    return _without(keyed, settle(near_duplicates(keyed, words=5, percent=80, id_col="__key").where("NOT kept").select("__key"), "near-copies"))
+    return _without(keyed, settle(near_duplicates(keyed, words=5, percent=80, id_col=KEY).where("NOT kept").select(KEY), "near-copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     keyed = _keyed(docs)
-    return _without(keyed, settle(decontaminate(keyed, table(spark, sf_dir, "benchmark"), window=10, id_col="__key").where("contaminated").select("__key"), "contaminated"))
+    return _without(keyed, settle(decontaminate(keyed, table(spark, sf_dir, "benchmark"), window=10, id_col=KEY).where("contaminated").select(KEY), "contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
