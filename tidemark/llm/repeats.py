@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from tidemark.llm.common import col, settle, text_bytes, tidy
 GRAM = 32
 #: Occurrences of a gram up to which one task gathers their surroundings (of less than 800 bytes each).
 CROWD = 50_000
+#: Digests of surroundings that a task remembers before it starts anew; bounds memory, never results.
+MET = 200_000
 #: Bytes of a text that are hashed at a time.
 BLOCK = 1 << 22
 
@@ -104,21 +107,12 @@ def common(x: bytes, y: bytes) -> int:
     return low
 
 
-def prefix_intervals(lcp: list[int]):
-    """(prefix length, first, last) of each interval of the tree over sorted suffixes; lcp[i] belongs to suffixes i - 1 and i."""
-    stack: list[tuple[int, int]] = []
-    for i in range(1, len(lcp) + 1):
-        now, start = lcp[i] if i < len(lcp) else -1, i - 1
-        while stack and stack[-1][0] > now:
-            size, start = stack.pop()
-            yield size, start, i - 1
-        if now >= 0 and (not stack or stack[-1][0] < now):
-            stack.append((now, start))
-
-
 def reaches(lefts: list[bytes], rights: list[bytes], counts: list[int], length: int) -> list[tuple[int, int]]:
     """For each context of an anchor (the reversed bytes before it, and the bytes from it on): how far left and right of the anchor
-    strings of at least `length` bytes reach that also occur in another context, or in a further copy of this one; (0, 0): none."""
+    strings of at least `length` bytes reach that also occur in another context, or in a further copy of this one; (0, 0): none.
+
+    One stack scan over the sorted right sides: each interval carries its members in the order of their left sides, and where
+    intervals close, the smaller part is put into the larger one, so a context is looked at a logarithmic number of times."""
     n = len(lefts)
     left, right = [0] * n, [0] * n
 
@@ -134,17 +128,39 @@ def reaches(lefts: list[bytes], rights: list[bytes], counts: list[int], length:
         meet(0, a, b), meet(1, a, b)
     elif n > 2:
         order = sorted(range(n), key=rights.__getitem__)
-        lcp = [0] + [common(rights[x], rights[y]) for x, y in zip(order, order[1:])]
-        rank = {i: r for r, i in enumerate(sorted(range(n), key=lefts.__getitem__))}
-        for size, first, last in prefix_intervals(lcp):
-            members = sorted(order[first : last + 1], key=rank.__getitem__)
-            if size + len(lefts[members[-1]]) < length and size + max(len(lefts[i]) for i in members) < length:
-                continue
-            before = 0
-            for j, i in enumerate(members):
-                after = common(lefts[i], lefts[members[j + 1]]) if j + 1 < len(members) else 0
-                meet(i, max(before, after), size)
-                before = after
+        place = sorted(range(n), key=lefts.__getitem__)
+        rank = [0] * n
+        for r, i in enumerate(place):
+            rank[i] = r
+        stack: list[tuple[int, list[int]]] = []  # open intervals: prefix length, and the places of their members' lefts in order
+
+        def join(into: list[int], others: list[int], size: int) -> list[int]:
+            """Members of two parts of an interval together. Only neighbours that become new can reach further left than before."""
+            if len(into) < len(others):
+                into, others = others, into
+            if 8 * len(others) > len(into):
+                both = sorted(into + others)
+            else:
+                both = into
+                for r in others:
+                    insort(both, r)
+            for r in others:
+                at = bisect_left(both, r)
+                for x in both[max(0, at - 1) : at] + both[at + 1 : at + 2]:
+                    a = common(lefts[place[r]], lefts[place[x]])
+                    meet(place[r], a, size), meet(place[x], a, size)
+            return both
+
+        for k in range(n):
+            last = [rank[order[k]]]
+            size = common(rights[order[k]], rights[order[k + 1]]) if k + 1 < n else -1
+            while stack and stack[-1][0] > size:
+                within, part = stack.pop()
+                last = join(part, last, within)
+            if stack and stack[-1][0] == size:
+                stack[-1] = (size, join(stack[-1][1], last, size))
+            elif size >= 0:
+                stack.append((size, last))
     return list(zip(left, right))
 
 
@@ -158,13 +174,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     Shuffled are anchors (about one in length / 2 bytes), the surroundings of those whose gram occurs again, and the texts twice,
     to fetch the surroundings and to cut. A gram with over CROWD occurrences is not gathered: its surroundings are dealt by their
-    own hash (128 bits), those that occur again are covered as they are, and of each different one the windows are dealt by
-    theirs, so a passage that a large part of all texts share is spread over many tasks, which stream such rows without holding them.
+    own hash (128 bits), at most two of equal ones from each task, those that occur again are covered as they are, and of each
+    different one the windows are dealt by theirs, so a passage that a large part of all texts share is spread over many tasks,
+    which stream such rows without holding them.
     """
     most_left = length - GRAM
     kind = docs.select(col(id_col).alias("id")).schema[0].dataType.simpleString()
     plain = docs.select(col(id_col).alias("id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("t"), text_bytes(text_col).alias("text"))
 
+    def packed(*n: int) -> bytes:
+        return struct.pack(f"<{len(n)}q", *n)
+
     def find(batches):
         for b in batches:
             rows, at, keys = [], [], []
@@ -186,6 +206,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     names = ["crowd", "key", "more", "left", "right", "id", "t", "pos"]
 
     def around(batches):
+        """Surroundings by gram. Of a crowd's equal ones a task hands on two, which tell that they repeat; further ones are covered
+        as they are, and go without their bytes to where their place takes them."""
+        met: dict[bytes, int] = {}
         for b in batches:
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), b.schema.field(0).type, pa.int64(), pa.int64()]
             out = []
@@ -194,7 +217,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     pos, key, more = p["pos"], p["key"], 0
                     left, right = text[max(0, pos - most_left) : pos][::-1], text[pos : pos + length]
                     if p["crowd"]:
-                        key, more = struct.unpack("<qq", hashlib.blake2b(struct.pack("<q", len(left)) + left + right, digest_size=16).digest())
+                        digest = hashlib.blake2b(packed(len(left)) + left + right, digest_size=16).digest()
+                        key, more = struct.unpack("<qq", digest)
+                        met[digest] = met.get(digest, 0) + 1
+                        if met[digest] > 2 and len(left) + len(right) >= length:
+                            key = struct.unpack("<q", hashlib.blake2b(packed(t, pos), digest_size=8).digest())[0]
+                            out.append((None, key, len(left) << 32 | len(right), None, None, i, t, pos))
+                            continue
+                        if len(met) > MET:
+                            met.clear()
                     out.append((p["crowd"], key, more, left, right, i, t, pos))
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -223,6 +254,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         for b in batches:
             arrow = b.schema.field(5).type
             for crowd, k, more, left, right, i, t, pos in zip(*(b.column(c).to_pylist() for c in range(8))):
+                if crowd is None:
+                    out.append((None, None, i, t, pos - (more >> 32), pos + (more & 0xFFFFFFFF)))
+                    if len(out) >= 10_000:
+                        yield batch(arrow)
+                    continue
                 if (crowd, k, more) != key:
                     if group:
                         gathered()
