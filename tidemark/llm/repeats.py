@@ -234,8 +234,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def solve(batches):
-        """Reaches as rows without a window; of each distinct surrounding in a crowd, also its windows, to be counted elsewhere."""
+        """Reaches as rows without a window; of each distinct surrounding in a crowd, also its windows, to be counted elsewhere. Of equal
+        windows a task hands on two, which tell that they repeat; further ones are covered."""
         out, key, group, held = [], None, {}, None
+        met: dict[tuple[int, int], int] = {}
 
         def gathered():
             contexts = list(group)
@@ -268,7 +270,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                         data = np.frombuffer(left[::-1] + right, np.uint8)
                         w, x = (window_hashes(data, length, s).view(np.int64).tolist() for s in (7, 8))
                         mine = owned(data, len(left), length)  # a window's other anchors answer for it elsewhere
-                        out += [(w[j], x[j], i, t, pos - len(left) + j, pos - len(left) + j + length) for j in mine]
+                        for j in mine:
+                            n = met[w[j], x[j]] = met.get((w[j], x[j]), 0) + 1
+                            out.append((w[j] if n <= 2 else None, x[j] if n <= 2 else None, i, t, pos - len(left) + j, pos - len(left) + j + length))
+                        if len(met) > MET:
+                            met.clear()
                 elif crowd and len(left) + len(right) >= length:
                     for x in [held, (i, t, pos)] if held else [(i, t, pos)]:
                         out.append((None, None, x[0], x[1], x[2] - len(left), x[2] + len(right)))
