@@ -79,14 +79,3 @@ def test_consistency_queries_take_every_document(spark, tmp_path):
     rows = [(k, i, "tone", "x" if k < 2 else "y") for k in range(3) for i in (1, 2) if (k, i) != (2, 2)]
     got = grading.modal_agreement(spark.createDataFrame(rows, "run int, id int, field string, answer string")).collect()
     assert [(r.field, round(r.agreement, 4)) for r in got] == [("tone", 0.6667)]
-
-
-def test_languages_learn_whole_runs_and_keep_rare_languages(spark):
-    from tidemark.llm.langid import fit_languages, identify_languages
-
-    for_limits = F.pmod(F.xxhash64("id", F.lit("limit")), F.lit(5)) == 0
-    rare = spark.range(1000, 1100).where(for_limits).first().id
-    rows = [(i, "ab" * 32 + ("xyz" if i % 2 else "uvw") * 40, "one" if i % 2 else "two") for i in range(40)] + [(rare, "mnop mnop mnop mnop", "rare")]
-    fitted = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    asked = spark.createDataFrame([(1, "xyz" * 10), (2, "uvw" * 10), (3, "mnop mnop")], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in identify_languages(asked, fitted).collect()} == {1: "one", 2: "two", 3: "rare"}
