@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(events: DataFrame) -> DataFrame:
-    """events with pos, the place by (date, id), from 0. Rows are counted by date; only that small table is summed in one task."""
-    by_day = events.groupBy("date").agg(F.count("*").alias("n"))
-    ahead = by_day.select("date", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    placed = events.withColumn("r", F.row_number().over(Window.partitionBy("date").orderBy("id")))
-    return placed.join(ahead, "date").withColumn("pos", F.col("ahead") + F.col("r") - 1).drop("ahead", "r")
+def positions(rows: DataFrame, order: list[str] | None = None, bucket: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows with pos, the place by (date, id), or by `order`, from 0, inside each group of `by`. Rows are numbered inside buckets (the
+    first column of order, or any column that rises with it or, for an order that need not be kept, a hash), and only the
+    table of bucket sizes is summed in one task."""
+    order, by = order or ["date", "id"], by or []
+    rows = rows.withColumn("__b", bucket if bucket is not None else F.col(order[0]))
+    sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(*by, "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    placed = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
+    return placed.join(ahead, [*by, "__b"]).withColumn("pos", F.col("ahead") + F.col("r") - 1).drop("ahead", "r", "__b")
 
 
 def purged_splits(events: DataFrame, folds: int = 5, embargo_days: int = 10, least_train: int = 20) -> DataFrame:
@@ -39,11 +44,14 @@ def holdout_split(events: DataFrame, share: float = 0.2, embargo_days: int = 10)
 
 
 def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by distinct score (ties count half); null with one class only. scored: y, p."""
+    """Area under the ROC curve by distinct score (ties count half); null with one class only. scored: y, p.
+
+    Scores are counted, then summed inside buckets of a thousandth, so that only the table of buckets is summed in one task."""
     by = by or []
-    levels = scored.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    levels = scored.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("__b", F.floor(F.col("p") * 1000))
+    before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = levels.groupBy(*by, "__b").agg(F.sum("neg").alias("n")).select(*by, "__b", F.coalesce(F.sum("n").over(before(*by, order="__b")), F.lit(0)).alias("ahead"))
+    levels = levels.join(buckets, [*by, "__b"]).withColumn("below", F.col("ahead") + F.coalesce(F.sum("neg").over(before(*by, "__b", order="p")), F.lit(0)))
     won = F.sum(F.col("pos") * (F.col("below") + F.lit(0.5).cast("double") * F.col("neg")))
     return levels.groupBy(*by).agg(F.try_divide(won.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 

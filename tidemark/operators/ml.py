@@ -1,80 +1,109 @@
-"""Calibrated classifiers over feature blocks with Spark ML: fitted inside folds, averaged, compared by ablation and permutation."""
+"""Calibrated classifiers over feature blocks: fitted inside purged folds, averaged, compared by ablation and permutation.
+
+Models are fitted on bounded samples (max_rows), each in a task of its own; scores, calibration by fold and metrics cover all rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+import pickle
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import auc, holdout_split, purged_splits
-
-
-def make_estimator(kind: str, features: list[str], n: int, seed: int = 42, rounds: int = 2000) -> Pipeline:
-    """logistic: standardised, ridge of strength 1; gbm: depth 3, step 0.05."""
-    assemble = VectorAssembler(inputCols=features, outputCol="raw")
-    scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
-    if kind == "logistic":
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / max(n, 1), standardization=False, maxIter=rounds)
-    else:
-        model = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=3, maxIter=min(rounds, 200), stepSize=0.05, minInstancesPerNode=20, maxBins=255, seed=seed)
-    return Pipeline(stages=[assemble, scale, model])
-
-
-def _scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("s", vector_to_array("probability")[1])
-
-
-def fit_and_score(rows: DataFrame, features: list[str], kind: str = "logistic", folds: int = 5, embargo_days: int = 10, share: float = 0.2, rounds: int = 2000) -> DataFrame:
-    """(id, y, p) of the held-out rows. In each purged fold of the training rows an estimator is fitted and its scores on the fold's
-    test rows are calibrated by isotonic regression; p is the mean of the folds' calibrated scores. rows: id, date, y, features."""
-    split = holdout_split(rows.select("id", "date"), share, embargo_days)
-    train = rows.join(split.where("role = 'train'").select("id"), "id").coalesce(1).cache()  # event tables are small; the fits iterate over them
-    test = rows.join(split.where("role = 'test'").select("id"), "id").cache()
-    inner = purged_splits(train.select("id", "date"), folds, embargo_days).cache()
-    parts = []
-    for r in inner.select("fold").distinct().orderBy("fold").collect():  # at most `folds` rows
-        fold = inner.where(F.col("fold") == r.fold)
-        fit_rows = train.join(fold.where("role = 'train'").select("id"), "id").coalesce(1).cache()
-        model = make_estimator(kind, features, fit_rows.count(), rounds=rounds).fit(fit_rows)
-        held = _scored(model, train.join(fold.where("role = 'test'").select("id"), "id")).coalesce(1).cache()
-        iso = IsotonicRegression(featuresCol="s", labelCol="y", predictionCol="p").fit(held)
-        parts.append(iso.transform(_scored(model, test)).select("id", "y", "p"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("id").agg(F.first("y").alias("y"), F.avg("p").alias("p"))
+from tidemark.operators.evaluation import auc, holdout_split, positions, purged_splits
+from tidemark.operators.learners import Estimator, Isotonic, Sigmoid
+from tidemark.sources.scratch import written
+
+
+def _bounded(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """About `most` rows of each group at most, chosen by a hash of the id; a group that is small enough is whole."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) * F.col("__n") < F.lit(1_000_000 * most)
+    return rows.join(F.broadcast(sizes), by).where(draw | (F.col("__n") <= most)).drop("__n")
+
+
+def _held_out(rows: DataFrame, share: float, embargo_days: int) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows. The rows are written once: what follows joins them many times over."""
+    rows = written(rows, "matrix")
+    both = written(rows.join(holdout_split(rows.select("id", "date"), share, embargo_days).withColumnRenamed("role", "__role"), "id"), "held-out")
+    return tuple(both.where(F.col("__role") == role).drop("__role") for role in ("train", "test"))
+
+
+def _fitted(parts: DataFrame, sets: dict[str, list[str]], kind: str, calibration: str | None, rounds: int) -> list:
+    """(feature_set, model, calibration) of each (feature_set, fold) of parts (fold, role, id, y, features), fitted in parallel."""
+    one = list(sets)
+    rows = parts.withColumn("feature_set", F.explode(F.array(*map(F.lit, one))))
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        name, train, test = key[0], pdf[pdf.role == "train"], pdf[pdf.role == "test"]
+        x = lambda part: part[sets[name]].to_numpy(np.float64)
+        model = Estimator(kind, x(train), train.y.to_numpy(np.float64), rounds)
+        curve = None
+        if calibration and len(test):
+            curve = (Isotonic if calibration == "isotonic" else Sigmoid)(model.score(x(test)), test.y.to_numpy(np.float64))
+        return pd.DataFrame([(name, int(key[1]), pickle.dumps((model, curve)))], columns=["feature_set", "fold", "model"])
+
+    got = rows.groupBy("feature_set", "fold").applyInPandas(fit, "feature_set string, fold int, model binary").collect()  # sets x folds models
+    return [(r.feature_set, *pickle.loads(r.model)) for r in sorted(got, key=lambda r: (r.feature_set, r.fold))]
+
+
+def fit_and_score(rows: DataFrame, sets: dict[str, list[str]], kind: str = "gbm", calibration: str = "isotonic", folds: int = 5, embargo_days: int = 10, share: float = 0.2, rounds: int = 2000, max_rows: int = 100_000) -> DataFrame:
+    """(feature_set, id, y, p) of the held-out rows for each named set of features, on the same folds. In each purged fold of the
+    training rows an estimator is fitted and its scores on the fold's test rows are calibrated; p is the mean of the folds'
+    calibrated scores. rows: id, date, y, features. max_rows bounds the rows that a model and a calibration are fitted on."""
+    train, test = _held_out(rows, share, embargo_days)
+    parts = train.join(purged_splits(train.select("id", "date"), folds, embargo_days), "id")
+    models = _fitted(_bounded(parts, ["fold", "role"], max_rows), sets, kind, calibration, rounds)
+    if not models:
+        raise ValueError("no inner fold has enough rows")
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def score(batches):
+        for pdf in batches:
+            for name, features in sets.items():
+                x = pdf[features].to_numpy(np.float64)
+                p = [curve(model.score(x)) if curve else model.score(x) for s, model, curve in shared.value if s == name]
+                yield pd.DataFrame({"feature_set": name, "id": pdf.id, "y": pdf.y, "p": np.mean(p, 0)})
+
+    kind_of = dict(rows.dtypes)
+    return test.mapInPandas(score, f"feature_set string, id {kind_of['id']}, y {kind_of['y']}, p double")
 
 
 def run_ablation(rows: DataFrame, blocks: dict[str, list[str]], **how) -> DataFrame:
     """(feature_set, id, y, p) for controls, claims and both; empty sets are left out."""
     sets = {"controls_only": blocks.get("control", []), "claims_only": blocks.get("claim", []), "controls_plus_claims": blocks.get("control", []) + blocks.get("claim", [])}
-    out = None
-    for name, features in sets.items():
-        if features:
-            part = fit_and_score(rows, features, **how).select(F.lit(name).alias("feature_set"), "id", "y", "p")
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def permutation_importance(rows: DataFrame, features: list[str], kind: str = "logistic", repeats: int = 10, top: int = 20, seed: int = 42, share: float = 0.2, embargo_days: int = 10, rounds: int = 2000) -> DataFrame:
-    """Drop of the held-out AUC when a feature's values are dealt anew, by hash order: mean and deviation over repeats, largest first."""
-    split = holdout_split(rows.select("id", "date"), share, embargo_days)
-    train = rows.join(split.where("role = 'train'").select("id"), "id").coalesce(1).cache()
-    test = rows.join(split.where("role = 'test'").select("id"), "id").cache()
-    model = make_estimator(kind, features, train.count(), seed, rounds).fit(train)
-    base = auc(_scored(model, test).select("y", F.col("s").alias("p")))
-    place = test.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("id")))
-    out = None
-    for f in features:
-        trials = place.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-        order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(f), "repeat", "id"))
-        dealt = trials.select("repeat", F.row_number().over(Window.partitionBy("repeat").orderBy(order)).alias("i"), F.col(f).alias("other"))
-        mixed = trials.join(dealt, ["repeat", "i"]).withColumn(f, F.col("other"))
-        scored = auc(_scored(model, mixed).select("repeat", "y", F.col("s").alias("p")), ["repeat"]).withColumn("feature", F.lit(f))
-        out = scored if out is None else out.unionByName(scored)
-    drop = out.join(F.broadcast(base.withColumnRenamed("auc", "base"))).groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base") - F.col("auc")).alias("deviation"))
+    return fit_and_score(rows, {name: features for name, features in sets.items() if features}, **how)
+
+
+def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gbm", repeats: int = 10, top: int = 20, seed: int = 42, share: float = 0.2, embargo_days: int = 10, rounds: int = 2000, max_rows: int = 100_000) -> DataFrame:
+    """Drop of the held-out AUC when a feature's values are dealt anew, by hash order: mean and deviation over repeats, largest first.
+    max_rows bounds the rows that the model is fitted on; all held-out rows are dealt and scored."""
+    train, test = _held_out(rows, share, embargo_days)
+    train = train.withColumn("fold", F.lit(0)).withColumn("role", F.lit("train"))
+    [(_, model, _)] = _fitted(_bounded(train, ["fold"], max_rows), {"all": features}, kind, None, rounds)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    trials = test.select("id", F.explode(F.array(*map(F.lit, features))).alias("feature")).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "repeat", "id"))
+    place = positions(test.select("id", F.col("id").alias("key")), ["key"], F.pmod(F.xxhash64("key"), F.lit(4096))).select("id", "pos")
+    value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]), F.col("feature"))
+    dealt = positions(trials.withColumn("key", order), ["key"], F.substring("key", 1, 3), ["feature", "repeat"])
+    dealt = dealt.join(test, "id").select("feature", "repeat", "pos", value.alias("other"))
+    mixed = trials.join(place, "id").join(dealt, ["feature", "repeat", "pos"]).join(test, "id").select("feature", "repeat", "id", "y", "other", *features)
+    mixed = mixed.unionByName(test.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), "id", "y", F.lit(0.0).alias("other"), *features))
+
+    def score(batches):
+        for pdf in batches:
+            x = pdf[features].to_numpy(np.float64)
+            for j, f in enumerate(features):
+                here = (pdf.feature == f).to_numpy()
+                x[here, j] = pdf.other.to_numpy(np.float64)[here]
+            yield pd.DataFrame({"feature": pdf.feature, "repeat": pdf.repeat, "y": pdf.y, "p": shared.value.score(x)})
+
+    scored = auc(mixed.mapInPandas(score, f"feature string, repeat int, y {dict(rows.dtypes)['y']}, p double"), ["feature", "repeat"])
+    base = scored.where("feature = ''").select(F.col("auc").alias("base"))
+    drop = scored.where("feature != ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base") - F.col("auc")).alias("deviation"))
     return drop.orderBy(F.desc("auc_drop"), "feature").limit(top)

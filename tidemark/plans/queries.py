@@ -499,7 +499,6 @@ def learning_rows(spark, d) -> tuple[DataFrame, dict[str, list[str]]]:
     events = P.days_since_previous(labelled(spark, d).where("drop_reason is null")).withColumn("release_timing", F.lit("intraday"))
     events = events.withColumn("claim_tone", F.expr("CASE WHEN vol_expansion * 10 % 2 < 1 THEN 'confident' ELSE 'cautious' END"))
     m, blocks = FT.build_features(events, ["id", F.col("t0").alias("date"), F.col("y").cast("double").alias("y")])
-    m = m.coalesce(1).cache()
     return m, blocks
 
 
