@@ -5,6 +5,8 @@ Patterns carry the flags (?imdU): `d` keeps ^ and $ to line feeds, `U` makes cla
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +49,19 @@ FLAG_RULES = {
     "segment_weakness_disclosed": r"(segment|region|division|business)[^.]{0,80}(declin|weak|soft|challeng|pressure)",
     "one_time_items": r"one[- ]time|non[- ]recurring|unusual item|discrete item",
 }
+#: Words of which a rule's matches hold at least one, in lower case; a rule is only tried on texts with one of them.
+NEEDS = {
+    "lowered": ["guidance", "outlook", "prior"], "raised": ["guidance", "outlook", "prior"], "maintained": ["reaffirm", "maintain", "continues to expect", "reiterat"],
+    "withdrawn": ["withdraw", "suspend"], "initiated": ["guidance", "outlook", "full-year", "full year", "fiscal"],
+    "announced_buyback": ["repurchase", "buyback"], "announced_restructuring": ["restructur", "workforce reduction", "layoff", "cost"], "announced_impairment": ["impairment", "write", "goodwill charge"],
+    "executive_transition": ["chief executive", "chief financial", "ceo", "cfo"], "segment_weakness_disclosed": ["segment", "region", "division", "business"], "one_time_items": ["time", "recurring", "unusual item", "discrete item"],
+}
 PREAMBLE = r"(?:EX-\d+(?:\.\d+)*|\d{1,3}|[\w\-.]+\.(?:html?|txt)|Document)"
 BLOCK_TAGS = "p|div|tr|h[1-6]|li|table"
-ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "\u00a9", "&middot;": "\u00b7", "&mdash;": "\u2014", "&ndash;": "\u2013", "&rsquo;": "\u2019", "&ldquo;": "\u201c", "&rdquo;": "\u201d", "&amp;": "&"}
+#: Named entities with their closing semicolon, as the standard library lists them.
+ENTITIES = {f"&{name}": by for name, by in html5.items() if name.endswith(";")}
+#: What numeric references to the control range of Windows-1252 mean.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
 
 _BLANK = r"[\s\x1c-\x1f]"
 
@@ -88,7 +100,10 @@ def prepare(c: Column, max_chars: int | None = 70_000, markers: list[str] = TABL
 
 def count_cues(c: Column, cues: list[str]) -> Column:
     """Occurrences of the cues as substrings of the lower-cased text, without word borders."""
-    low = F.lower(c)
+    return cues_in(F.lower(c), cues)
+
+
+def cues_in(low: Column, cues: list[str]) -> Column:
     return sum((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))) / len(x) for x in cues).cast("int")
 
 
@@ -105,40 +120,74 @@ def direction_near(c: Column, subject: str, window: int = 120, up: str = UP, dow
 
 
 def extract_claims(c: Column) -> Column:
-    """The eighteen claims of a prepared text by rules, as a struct."""
+    """The eighteen claims of a prepared text by rules, as a struct. The body before the safe harbor is made once a text."""
     body = F.trim(F.regexp_replace(F.get(F.split(c, f"(?iU){SAFE_HARBOR}", 2), F.lit(0)), r"(?U)[\s\x1c-\x1f]+", " "))
-    low = F.lower(body)
-    verb, value = F.lower(F.regexp_extract(body, f"(?iU){REVENUE_PCT}", 1)), F.regexp_extract(body, f"(?iU){REVENUE_PCT}", 2).try_cast("double")
+    folded = F.lower(F.translate(body, "\u017f\u212a\u0131\u0130", "skii"))  # letters that fold to ASCII ones in patterns
+    once = F.array(F.struct(body.alias("body"), F.lower(body).alias("low"), folded.alias("folded")))
+    return F.get(F.transform(once, lambda x: _claims(x["body"], x["low"], x["folded"])), F.lit(0))
+
+
+def _claims(body: Column, low: Column, folded: Column) -> Column:
+    """Patterns that cannot match without a certain word are tried only where it is."""
+    has = lambda *words: F.greatest(*[folded.contains(w) for w in words], F.lit(False))
+    near = lambda subject, *words: F.when(has(*words), direction_near(body, subject)).otherwise("not_stated")
+    earned = lambda group: F.when(has("revenue"), F.regexp_extract(body, f"(?iU){REVENUE_PCT}", group)).otherwise("")
+    ruled = lambda name, rule: F.when(F.greatest(*map(low.contains, NEEDS[name])), low.rlike(f"(?U){rule}")).when(low.isNotNull(), False)
+    verb, value = F.lower(earned(1)), earned(2).try_cast("double")
     guidance = F.lit(None).cast("string")
     for name, rule in GUIDANCE_RULES:
-        guidance = F.coalesce(guidance, F.when(low.rlike(f"(?U){rule}"), name))
+        guidance = F.coalesce(guidance, F.when(ruled(name, rule), name))
     guidance = F.coalesce(guidance, F.lit("not_provided"))
-    sure, wary = count_cues(body, CONFIDENT), count_cues(body, CAUTIOUS)
+    sure, wary = cues_in(low, CONFIDENT), cues_in(low, CAUTIOUS)
     tone = F.when((sure > wary * 2) & (sure >= 2), "confident").when(wary >= F.greatest(F.lit(2), sure), "cautious").when(sure + wary > 0, "neutral").otherwise("not_stated")
-    dividend = direction_near(body, "dividend")
+    dividend = near("dividend", "dividend")
     dividend = F.when(~low.contains("dividend"), "not_stated").when(dividend == "not_stated", "flat").otherwise(dividend)
-    adjusted = count_cues(body, ["non-gaap"]) + count_cues(body, ["adjusted"])
+    adjusted = cues_in(low, ["non-gaap"]) + cues_in(low, ["adjusted"])
     horizon = F.when(guidance == "not_provided", F.lit(None).cast("int")).when(low.rlike("full[- ]year|fiscal year"), 4).otherwise(1)
-    flags = [low.rlike(f"(?U){rule}").alias(name) for name, rule in FLAG_RULES.items()]
+    flags = [ruled(name, rule).alias(name) for name, rule in FLAG_RULES.items()]
     return F.struct(
-        direction_near(body, "revenue").alias("revenue_direction"),
+        near("revenue", "revenue").alias("revenue_direction"),
         F.when(verb.isin("decreased", "declined", "fell", "down"), -value).when(verb != "", value).alias("revenue_yoy_pct"),
-        direction_near(body, "(?:earnings per share|EPS)").alias("eps_direction"), direction_near(body, "margin").alias("margin_direction"),
+        near("(?:earnings per share|EPS)", "earnings per share", "eps").alias("eps_direction"), near("margin", "margin").alias("margin_direction"),
         guidance.alias("guidance_action"), horizon.alias("guidance_horizon_quarters"), dividend.alias("dividend_action"), tone.alias("tone"),
-        bucket(adjusted, (1, 6, 15)).alias("non_gaap_emphasis"), bucket(count_cues(body, HEDGES), (2, 6, 14)).alias("hedging_intensity"),
-        (count_cues(body, MACRO) >= 2).alias("macro_headwind_cited"), *flags, F.lit(2).alias("confidence"),
+        bucket(adjusted, (1, 6, 15)).alias("non_gaap_emphasis"), bucket(cues_in(low, HEDGES), (2, 6, 14)).alias("hedging_intensity"),
+        (cues_in(low, MACRO) >= 2).alias("macro_headwind_cited"), *flags, F.lit(2).alias("confidence"),
     )
 
 
+def unescape(c: Column) -> Column:
+    """Numeric and named character references decoded, each once; what is none stays as it is."""
+    known = F.create_map(*[F.lit(x) for name, by in ENTITIES.items() for x in (name[1:-1], by)])
+    windows = F.create_map(*[F.lit(x) for n, by in _WINDOWS.items() if by for x in (n, by)])
+
+    def numeric(n: Column) -> Column:
+        bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(n).cast("long")), 8, "0")), "UTF-32")
+        return F.coalesce(F.element_at(windows, n.cast("int")), plain)
+
+    def piece(x: Column) -> Column:
+        """What follows an ampersand, up to the next."""
+        name = F.regexp_extract(x, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?", 1)
+        end = F.regexp_extract(x, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;?)", 1)
+        rest = F.substring(x, F.length(name) + F.length(end) + 1, F.length(x))
+        hexed = F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)
+        number = F.when(F.lower(F.left(name, F.lit(2))) == "#x", hexed).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("decimal(20,0)").try_cast("long")
+        number = F.when(F.length(name) > 12, F.lit(0xFFFFFF).cast("long")).otherwise(number)
+        by = F.when(F.left(name, F.lit(1)) == "#", numeric(number)).when(end == ";", F.element_at(known, name))
+        return F.when(by.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(by, rest))
+
+    parts = F.split(c, "&")
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(tail, ""))).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
-    """Text of markup by tag rules: block ends and <br> become line feeds, cells tabs, other tags blanks; entities of the list
-    above; quotes straightened; white space collapsed; a leading preamble of at most eight lines dropped."""
+    """Text of markup by tag rules: block ends and <br> become line feeds, cells tabs, other tags blanks; references decoded; quotes straightened; white space collapsed; a leading preamble of at most eight lines dropped."""
     for name in ("script", "style"):
         c = F.regexp_replace(c, rf"(?is)<{name}\b.*?</{name}>", " ")
     for pattern, by in ((f"(?i)</(?:{BLOCK_TAGS})>", "\n"), (r"(?i)</(?:td|th)>", "\t"), (r"(?i)<br\s*/?>", "\n"), ("<[^>]+>", " ")):
         c = F.regexp_replace(c, pattern, by)
-    for name, by in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(by))
+    c = unescape(c)
     c = F.translate(c, "\u2019\u201c\u201d", "'\"\"")
     c = F.regexp_replace(c, "[ \\t\u00a0]+", " ")
     c = F.regexp_replace(c, "\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029]", "\n")

@@ -31,7 +31,7 @@ def one_hot(c: str, levels: list[str], prefix: str) -> dict[str, Column]:
 def control_block() -> dict[str, Column]:
     out = {
         "log_rv_pre": F.ln(clip_low(F.col("rv_pre"), 1e-4)), "log_rv_market_pre": F.ln(clip_low(F.col("rv_market_pre"), 1e-4)),
-        "rv_pre_ratio": F.try_divide(F.col("rv_pre"), clip_low(F.col("rv_market_pre"), 1e-4)), "log_dollar_volume": F.ln(clip_low(F.col("avg_dollar_volume"), 1.0)),
+        "rv_ratio_to_market": F.try_divide(F.col("rv_pre"), clip_low(F.col("rv_market_pre"), 1e-4)), "log_dollar_volume": F.ln(clip_low(F.col("avg_dollar_volume"), 1.0)),
         "log_price": F.ln(clip_low(F.col("prior_close"), 0.01)), "quarter": F.quarter("t0"), "month": F.month("t0"), "days_since_prev": F.col("days_since_prev"),
     }
     return out | one_hot("release_timing", TIMING, "timing")
@@ -46,10 +46,12 @@ def claim_block(columns: list[str], prefix: str = "claim_") -> dict[str, Column]
     for f in BOOLEAN:
         out |= {f: F.coalesce(F.col(prefix + f).cast("int"), F.lit(0))} if has(f) else {}
     for f in ORDINAL:
-        out |= {f: F.coalesce(F.col(prefix + f).try_cast("double"), F.lit(0.0))} if has(f) else {}
-    for f in NUMERIC:
         if has(f):
             x = finite(F.col(prefix + f).try_cast("double"))
+            out |= {f: F.coalesce(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"), F.lit(0.0))}
+    for f in NUMERIC:
+        if has(f):
+            x = F.nanvl(F.col(prefix + f).try_cast("double"), F.lit(None).cast("double"))
             out |= {f: F.coalesce(x, F.lit(0.0)), f"{f}_missing": x.isNull().cast("int")}
     if has("revenue_yoy_pct"):
         out["revenue_yoy_abs"] = F.abs(F.coalesce(F.col(prefix + "revenue_yoy_pct").try_cast("double"), F.lit(0.0)))

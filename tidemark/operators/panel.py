@@ -41,10 +41,9 @@ def event_windows(returns: DataFrame, pre: int = 20, post: int = 5) -> DataFrame
     )
 
 
-def calendar(sessions: DataFrame, until: Column | None = None) -> DataFrame:
-    """One row for each calendar day from the first session to a week past the last: is_session, next_session (strictly after).
-
-    sessions: a column date. The result is as large as the span of days, whatever the size of the data.
+def calendar(sessions: DataFrame) -> DataFrame:
+    """One row for each calendar day from a week before the first session to 60 days past the last: is_session, next_session
+    (strictly after). sessions: a column date. The result is as large as the span of days, whatever the size of the data.
     """
     days = sessions.select("date").distinct()
     span = days.agg(F.min("date").alias("a"), F.max("date").alias("b"))
@@ -62,10 +61,12 @@ def parse_acceptance(c: Column, zone: str = "America/New_York") -> Column:
 
 def event_timing(events: DataFrame, days: DataFrame, accepted: str = "accepted", filed: str = "filing_date") -> DataFrame:
     """events with release_timing and t0. Before 09:30 and until 16:00 of a session the event belongs to that session, else to
-    the next one; t0 is null if there is none. An unreadable time is 17:00 of the filing date."""
+    the next one, however far ahead; t0 is null if there is none. An unreadable time is 17:00 of the filing date."""
     wall = F.coalesce(parse_acceptance(F.col(accepted)), F.to_timestamp(F.concat(F.col(filed).cast("string"), F.lit(" 17:00:00"))))
     at = events.withColumn("wall", wall).withColumn("release_day", F.to_date("wall"))
-    at = at.join(F.broadcast(days), at["release_day"] == days["day"], "left").drop("day")
+    first = days.where("is_session").agg(F.min("day").alias("first_session"))
+    at = at.join(F.broadcast(days), at["release_day"] == days["day"], "left").drop("day").join(F.broadcast(first))
+    at = at.withColumn("next_session", F.coalesce("next_session", F.when(F.col("release_day") < F.col("first_session"), F.col("first_session")))).drop("first_session")
     clock = F.date_format("wall", "HH:mm:ss")
     session = F.coalesce("is_session", F.lit(False))
     timing = F.when(~session, "non_session").when(clock < "09:30:00", "pre_market").when(clock < "16:00:00", "intraday").otherwise("after_hours")
@@ -74,13 +75,27 @@ def event_timing(events: DataFrame, days: DataFrame, accepted: str = "accepted",
     return at.withColumn("t0", t0).drop("wall", "is_session", "next_session")
 
 
+def market_before(days: DataFrame, market: DataFrame) -> DataFrame:
+    """(date, rv_market_pre) of the days and of the market's sessions. On a day that is none, the sessions before it are those before
+    the market's next session, whose window is taken; past the last session there is none. Both tables are as large as a span of days."""
+    known = market.select("date", F.struct("rv_pre").alias("seen"))
+    both = known.unionByName(days.where("date is not null").distinct().join(known, "date", "left_anti").withColumn("seen", F.lit(None).cast(known.schema["seen"].dataType)))
+    ahead = Window.partitionBy().orderBy("date").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.select("date", F.first("seen", ignorenulls=True).over(ahead)["rv_pre"].alias("rv_market_pre"))
+
+
+def padded_start(day: Column, days: int = 120) -> Column:
+    """The day from which prices are needed so that windows before `day` are full."""
+    return F.date_sub(day, days)
+
+
 def event_labels(events: DataFrame, windows: DataFrame, market: DataFrame, threshold: float = 1.5, min_pre: int = 15, min_post: int = 5) -> DataFrame:
     """events (id, ticker, t0, ...) with both volatilities, controls, drop_reason (null: kept), vol_expansion and label y.
 
     The first reason that holds is given, in a fixed order. windows: event_windows of the tickers; market: of the market proxy.
     """
     known = windows.select("ticker").distinct().withColumn("has_prices", F.lit(True))
-    market = market.select(F.col("date").alias("t0"), F.col("rv_pre").alias("rv_market_pre"))
+    market = market_before(events.select(F.col("t0").alias("date")), market).withColumnRenamed("date", "t0")
     at = windows.withColumnRenamed("date", "t0").withColumn("has_day", F.lit(True))
     out = events.join(known, "ticker", "left").join(at, ["ticker", "t0"], "left").join(market, "t0", "left")
     reason = (

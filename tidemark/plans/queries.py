@@ -141,6 +141,7 @@ round(ln(greatest(adv, 1.0)), 6) AS log_dollar_volume, round(ln(greatest(prior_c
 def features_control(spark, d):
     events = P.days_since_previous(labelled(spark, d).where("drop_reason is null")).withColumn("release_timing", F.lit("intraday"))
     m, _ = FT.build_features(events, ["id"])
+    m = m.withColumnRenamed("rv_ratio_to_market", "rv_pre_ratio")  # as this query's SQL names it
     return m.select("id", *[r6(c).alias(c) for c in ("log_rv_pre", "log_rv_market_pre", "rv_pre_ratio", "log_dollar_volume", "log_price", "quarter", "month", "days_since_prev", "timing__intraday", "timing__pre_market")])
 
 
