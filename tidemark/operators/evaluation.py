@@ -80,11 +80,22 @@ def expected_calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return r.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("mean_p"))), F.sum("n").cast("double")).alias("ece"))
 
 
-def paired_bootstrap(pairs: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+def paired(base: DataFrame, candidate: DataFrame, key: str = "id") -> DataFrame:
+    """i, y, p_base, p_cand of two models' predictions (key, y, p) of the same rows, by key. An error if they differ in rows or y."""
+    both = base.select(key, F.col("y").alias("y"), F.col("p").alias("p_base")).join(candidate.select(key, F.col("y").alias("y2"), F.col("p").alias("p_cand")), key, "full")
+    wrong = both.where("not (y <=> y2) or p_base is null or p_cand is null").count()
+    if wrong:
+        raise ValueError(f"{wrong} rows are not predicted by both models with the same outcome")
+    at = positions(both, [key])
+    return at.select(F.col("pos").cast("long").alias("i"), "y", "p_base", "p_cand")
+
+
+def paired_bootstrap(pairs: DataFrame, rounds: int, seed: int = 42, base_rate: float | None = None) -> DataFrame:
     """Change of AUC and Brier score from p_base to p_cand over resamples of the same rows: mean, 2.5 and 97.5 percentiles, and the
     share above 0. pairs: i (0..n-1), y, p_base, p_cand. Draws hash (seed, round, slot), so that any engine repeats them.
 
-    Draws are summed to multiplicities by (round, row) before the join. Resamples of one class are left out.
+    Draws are summed to multiplicities by (round, row) before the join. Resamples of one class are left out. With base_rate, also the
+    change of the Brier skill against that constant.
     """
     n = pairs.agg(F.count("*").alias("n"))
     slots = pairs.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(n)).select("round", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
@@ -92,15 +103,16 @@ def paired_bootstrap(pairs: DataFrame, rounds: int, seed: int = 42) -> DataFrame
     weights = slots.groupBy("round", draw.alias("i")).agg(F.count("*").alias("w"))
     both = weights.join(pairs, "i")
     both = both.select("round", "w", "y", F.explode(F.array(F.struct(F.lit(0).alias("cand"), F.col("p_base").alias("p")), F.struct(F.lit(1).alias("cand"), F.col("p_cand").alias("p")))).alias("m")).select("round", "w", "y", "m.*")
-    levels = both.groupBy("round", "cand", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"), F.sum(F.col("w") * (F.col("p") - F.col("y")) ** 2).alias("err"))
+    levels = both.groupBy("round", "cand", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"), F.sum(F.col("w") * (F.col("p") - F.col("y")) ** 2).alias("err"), F.sum(F.col("w") * (F.lit(base_rate or 0.0) - F.col("y")) ** 2).alias("ref"))
     below = Window.partitionBy("round", "cand").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     won = F.sum(F.col("pos") * (F.col("below") + F.lit(0.5).cast("double") * F.col("neg"))).cast("double")
-    per = levels.groupBy("round", "cand").agg(F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), (F.sum("err") / F.sum(F.col("pos") + F.col("neg"))).alias("brier"))
-    wide = per.where("auc is not null").groupBy("round").agg(F.sum(F.when(F.col("cand") == 1, F.col("auc")).otherwise(-F.col("auc"))).alias("d_auc"), F.sum(F.when(F.col("cand") == 1, -F.col("brier")).otherwise(F.col("brier"))).alias("d_brier"))
+    per = levels.groupBy("round", "cand").agg(F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), (F.sum("err") / F.sum(F.col("pos") + F.col("neg"))).alias("brier"), (1 - F.try_divide(F.sum("err"), F.sum("ref"))).alias("skill"))
+    wide = per.where("auc is not null").groupBy("round").agg(F.sum(F.when(F.col("cand") == 1, F.col("auc")).otherwise(-F.col("auc"))).alias("d_auc"), F.sum(F.when(F.col("cand") == 1, -F.col("brier")).otherwise(F.col("brier"))).alias("d_brier"), F.sum(F.when(F.col("cand") == 1, F.col("skill")).otherwise(-F.col("skill"))).alias("d_skill"))
+    skill = [F.avg("d_skill").alias("d_skill"), F.percentile("d_skill", 0.025).alias("skill_low"), F.percentile("d_skill", 0.975).alias("skill_high"), F.avg((F.col("d_skill") > 0).cast("double")).alias("p_skill")]
     return wide.agg(
         F.count("*").alias("rounds"), F.avg("d_auc").alias("d_auc"), F.percentile("d_auc", 0.025).alias("auc_low"), F.percentile("d_auc", 0.975).alias("auc_high"), F.avg((F.col("d_auc") > 0).cast("double")).alias("p_auc"),
-        F.avg("d_brier").alias("d_brier"), F.percentile("d_brier", 0.025).alias("brier_low"), F.percentile("d_brier", 0.975).alias("brier_high"),
+        F.avg("d_brier").alias("d_brier"), F.percentile("d_brier", 0.025).alias("brier_low"), F.percentile("d_brier", 0.975).alias("brier_high"), *(skill if base_rate is not None else []),
     )
 
 

@@ -34,3 +34,13 @@ def abba_arms(rows: DataFrame, size: str, key: str, n_per_arm: int) -> DataFrame
     step = F.greatest(F.lit(1), F.floor(F.col("n") / (2 * n_per_arm))).cast("int")
     picked = ranked.where((F.col("r") % step == 0) & (F.col("r") / step < 2 * n_per_arm)).withColumn("i", (F.col("r") / step).cast("int"))
     return picked.select(key, size, F.when(F.pmod("i", F.lit(4)).isin(0, 3), "A").otherwise("B").alias("arm"))
+
+
+def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """min(n, all) rows, the first in the order of the draw."""
+    return rows.orderBy(draw(key, seed), key).limit(n)
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of a stated order."""
+    return rows.orderBy(*order).limit(n)

@@ -518,3 +518,6 @@ def perm_importance(spark, d):
 
     m, blocks = learning_rows(spark, d)
     return permutation_importance(m.withColumn("y", F.col("y").cast("int")), blocks["control"], kind="gbm")
+
+
+from tidemark.plans import service  # noqa: E402, F401  more queries, registered beside these
