@@ -13,9 +13,9 @@ from tidemark.operators import panel as P
 from tidemark.sources import landed as L
 
 RELEASE = (
-    "Castellan Corp announced results. Revenue decreased 6.0% to $109.4 million.\nGross margin declined to 41 percent.\n"
-    "The company lowered its full-year guidance. A restructuring plan and a workforce reduction were approved.\n"
-    "Forward-looking statements: we believe, expect, anticipate, may, could, should."
+    "Brightwater Tools reports its third quarter. Revenue fell 4.5% from a year ago, to 88 million euros.\nOperating margin contracted by two points.\n"
+    "The board is lowering its guidance for the year, and approved a restructuring of two plants.\n"
+    "Safe harbor: we believe, expect, anticipate, may, could, should."
 )
 
 
@@ -25,8 +25,8 @@ def one(spark, text, f):
 
 def test_rules_on_a_release(spark):
     c = one(spark, RELEASE, X.extract_claims)
-    assert (c.revenue_direction, c.revenue_yoy_pct, c.margin_direction, c.guidance_action) == ("decreased", -6.0, "decreased", "lowered")
-    assert c.announced_restructuring and not c.announced_buyback and c.hedging_intensity == 0 and c.guidance_horizon_quarters == 4
+    assert (c.revenue_direction, c.revenue_yoy_pct, c.margin_direction, c.guidance_action) == ("decreased", -4.5, "decreased", "lowered")
+    assert c.announced_restructuring and not c.announced_buyback and c.hedging_intensity == 0 and c.guidance_horizon_quarters == 1
     empty = one(spark, "", X.extract_claims)
     assert empty.tone == "not_stated" and empty.revenue_yoy_pct is None and empty.guidance_horizon_quarters is None
 
@@ -56,9 +56,17 @@ def test_html(spark):
 
 
 def test_timing(spark):
-    days = spark.createDataFrame([(d.date(),) for d in pd.bdate_range("2024-01-01", "2024-03-01")] + [(dt.date(2024, 7, 10),), (dt.date(2024, 7, 11),)], "date date")
-    cases = {"2024-01-10T21:30:00Z": ("after_hours", "2024-01-11"), "2024-01-10T12:00:00Z": ("pre_market", "2024-01-10"), "2024-01-10T17:00:00Z": ("intraday", "2024-01-10"), "2024-01-12T22:00:00Z": ("after_hours", "2024-01-15"), "2024-07-10T20:30:00Z": ("after_hours", "2024-07-11"), "2024-01-10T20:30:00Z": ("intraday", "2024-01-10"), "": ("after_hours", "2024-01-11"), "2024-01-10T14:30:00Z": ("intraday", "2024-01-10"), "2024-01-10T21:00:00Z": ("after_hours", "2024-01-11")}
-    e = spark.createDataFrame([(a, dt.date(2024, 1, 10)) for a in cases], "accepted string, filing_date date")
+    """Sessions are the weekdays of May to November 2031; wall clocks change with daylight saving on November 2."""
+    days = spark.createDataFrame([(d.date(),) for d in pd.bdate_range("2031-05-01", "2031-11-28")], "date date")
+    wall = [("08:59:59", "pre_market", 0), ("09:29:59", "pre_market", 0), ("09:30:00", "intraday", 0), ("15:59:59", "intraday", 0), ("16:00:00", "after_hours", 1), ("23:10:00", "after_hours", 1)]
+    cases = {}
+    for day, ahead, offset in (("2031-05-13", "2031-05-14", "-04:00"), ("2031-11-13", "2031-11-14", "-05:00"), ("2031-06-06", "2031-06-09", "-04:00")):
+        for clock, timing, late in wall:
+            utc = pd.Timestamp(f"{day}T{clock}{offset}").tz_convert("UTC").strftime("%Y-%m-%dT%H:%M:%SZ")
+            cases[utc] = (timing, ahead if late else day)
+            cases[f"{day}T{clock}"] = cases[day.replace("-", "") + clock.replace(":", "")] = cases[utc]
+    cases |= {"2031-07-05T15:00:00Z": ("non_session", "2031-07-07"), "unreadable": ("after_hours", "2031-08-20"), "": ("after_hours", "2031-08-20")}
+    e = spark.createDataFrame([(a, dt.date(2031, 8, 19)) for a in cases], "accepted string, filing_date date")
     got = {r.accepted: (r.release_timing, str(r.t0)) for r in P.event_timing(e, P.calendar(days)).collect()}
     assert got == cases
 
