@@ -67,7 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", tokens)]
 
-#: The stages' scores, sketches and tokens have no SQL form; tests run the stages on small tables, but hold no whole run against a brute-force version.
+#: The stages' scores, sketches and tokens have no SQL form; tests hold each stage and the whole against plain Python on small tables.
 ORACLE_SQL = None
 
 
