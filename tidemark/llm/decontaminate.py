@@ -13,8 +13,9 @@ from tidemark.llm.common import col, settle
 SHINGLE = 3
 #: What a pattern of words excludes, as contracts give it: anything below "0", between "9" and "a", and between "z" and 0x80.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Rows of benchmark shingles up to which they are broadcast; beyond, the join is a shuffled one.
-BROADCAST_ROWS = 500_000
+#: Tables made of the benchmark are broadcast while their shingles, the places of shingles in windows, and the bytes of windows with
+#: their items' names stay within these bounds; beyond, all joins are shuffled ones.
+BROADCAST_ROWS, BROADCAST_USES, BROADCAST_BYTES = 500_000, 1_000_000, 1 << 26
 
 
 def _words(text: Column) -> Column:
@@ -55,7 +56,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     uses = settle(windows.select("window", "len", "k", F.posexplode("parts").alias("off", "sh")), "uses")
     wanted = uses.select("sh", "k").distinct()
     kinds = {r.k: r.n for r in wanted.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    small = sum(kinds.values()) <= BROADCAST_ROWS
+    told = windows.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("uses"), F.coalesce(F.sum(40 + 16 * F.size("items") + F.length(F.concat_ws("", "items"))), F.lit(0)).alias("bytes")).first()
+    small = sum(kinds.values()) <= BROADCAST_ROWS and told.uses <= BROADCAST_USES and told.bytes <= BROADCAST_BYTES
     near = F.broadcast if small else lambda df: df
 
     base = docs.select(col(id_col).alias("id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("t"), _words(col(text_col)).alias("w"))
