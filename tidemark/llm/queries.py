@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +92,61 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
 
+#: Lower-case form of a text in SQL, and what escaping does to a text.
+_LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_ESCAPED = r"'(<\\*)(s>|/s>)|(\[\\*)(SYS\]|/SYS\]|INST\]|/INST\]|ROLE\]|:\]|/ROLE\])', '\1\3\\\2\4', 'g'"
+
 ORACLE_SQL = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op7_chat_format": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        e AS (SELECT *, length(regexp_replace(text, {_ESCAPED})) AS n,
+                     length(regexp_replace(role, {_ESCAPED})) AS named FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE named + 16 END) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op2_decontaminate": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+        k AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM s),
+        p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k)),
+        o AS (SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS said FROM p) JOIN k USING (n, said)),
+        h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM o) GROUP BY r),
+        m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)""",
+    # components by reachability over the links, with no signatures
+    "op8_near_dedup": rf"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        u AS (SELECT r, w, least(len(w), 4) AS n, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0),
+        s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + n - 1], ' ') AS said FROM u),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        c AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.said = b.said AND a.r < b.r GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+        g AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        z AS (SELECT r AS x, r AS y FROM d UNION SELECT z.x, g.y FROM z JOIN g ON z.y = g.x),
+        m AS (SELECT z.x AS r, min(d.doc_id) AS component_id FROM z JOIN d ON d.r = z.y GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (r) JOIN m USING (r)""",
+    # every window is counted, with no anchors or suffix array
+    "op9_repeats": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT r, i, md5(b[i:i + 399]) AS said FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+        t AS (SELECT said FROM w GROUP BY said HAVING count(*) > 1),
+        x AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w SEMI JOIN t USING (said)),
+        y AS (SELECT r, i, sum(CAST(before IS NULL OR i > before + 400 AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
+        z AS (SELECT r, run, min(i) AS first, max(i) + 399 AS last FROM y GROUP BY r, run),
+        k AS (SELECT r, coalesce(lag(last) OVER (PARTITION BY r ORDER BY run), 0) + 1 AS a, first - 1 AS e FROM z
+              UNION ALL SELECT d.r, coalesce(q.last, 0) + 1, octet_length(b) FROM d LEFT JOIN (SELECT r, max(last) AS last FROM z GROUP BY r) q ON d.r = q.r),
+        f AS (SELECT r, sha256(unhex(string_agg(hex(b[a:e]), '' ORDER BY a))) AS kept_sha256 FROM k JOIN d USING (r) GROUP BY r),
+        g AS (SELECT r, sum(last - first + 1) AS n_removed, count(*) AS n_spans FROM z GROUP BY r)
+        SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM d JOIN f USING (r) LEFT JOIN g USING (r)""",
 }
