@@ -6,9 +6,12 @@ import json
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import canonical
 from tidemark.functions import text as X
 from tidemark.operators import claims as C
 from tidemark.operators import evaluation as E
@@ -17,6 +20,7 @@ from tidemark.operators import features as FT
 from tidemark.operators import grading
 from tidemark.operators import panel as P
 from tidemark.operators import reporting as R
+from tidemark.plans import text_sql
 from tidemark.sources import landed as L
 from tidemark.sources import sinks as S
 
@@ -189,3 +193,26 @@ def test_direction_and_context_on_documents(spark):
     got = docs.select("text", X.search_context(F.col("text"), "license", 10, 3).alias("hits")).collect()
     for r in got:
         assert r.hits == [m[0] for m in re.finditer(r"(?is).{0,10}license.{0,10}", r.text)][:3]
+
+
+def by_sql(sql, texts):
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"i": range(len(texts)), "t": texts}))
+    return con.sql(sql).df()
+
+
+def test_sql_of_rules_equals_the_rules(spark):
+    r = random.Random(13)
+    texts = [" ".join(r.choice(BITS) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", "plain words"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.extract_claims(F.col("t")).alias("c")).select("i", "c.*").toPandas()
+    want = by_sql(text_sql.claims("given", "i", "t"), texts)
+    assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
+
+
+def test_sql_of_markup_equals_the_rules(spark):
+    r = random.Random(14)
+    bits = "<p>|</p>|<br/>|<td>x</td>|</tr>|<div\n>|<script>a<b</script>|<STYLE x>p{}</style>|&amp;|&#8217;|&#x2014;|&euro;|&#128;|&#0;|&#99999999;|&#x110000;|&nope;|&amp|&|&#;|&nbsp;|&notin;".split("|")
+    bits += [" ", "\t", "\n", "\r\n", "\x1f", "\x85", "\u2009", "\u2019", "Document", "EX-99.1", "12", "a.htm", "word"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(1000)] + [""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.html_to_text(F.col("t")).alias("text")).toPandas()
+    assert canonical(got) == canonical(by_sql(text_sql.markup("given", "i", "t"), texts))

@@ -16,6 +16,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import extraction, grading, sampling
 from tidemark.operators import features as FT
 from tidemark.operators import panel as P
+from tidemark.plans import text_sql
 from tidemark.sources import landed as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,17 +377,17 @@ def cue_counts(spark, d):
     return T(spark, d, "documents").select("doc_id", n.alias("cues"), X.bucket(n, (50, 200, 800)).alias("level"))
 
 
-@query()
+@query(f"SELECT doc_id, {text_sql.direction('text', 'license', up='the', down='with', flat='and')} AS direction FROM documents")
 def direction_near(spark, d):
     return T(spark, d, "documents").select("doc_id", X.direction_near(F.col("text"), "license", up="the", down="with", flat="and").alias("direction"))
 
 
-@query()
+@query(text_sql.claims("documents", "doc_id", "text"))
 def rule_extract(spark, d):
     return extraction.extract(T(spark, d, "documents").select("doc_id", "text")).select("doc_id", "claims.*")
 
 
-@query()
+@query(text_sql.markup("pages", "page_id", "html"))
 def html_to_text(spark, d):
     return T(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
