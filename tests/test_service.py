@@ -137,6 +137,15 @@ def test_auc_and_positions_equal_plain_versions(spark):
     assert got == {i: k for k, (_, i) in enumerate(sorted((p, i) for i, _, p in rows))}
 
 
+def test_quantiles_equal_sorted_values(spark):
+    r = random.Random(8)
+    shares = [0.0, 0.025, 0.1, 0.5, 0.77, 1.0]
+    for values in ([round(r.random(), 2) for _ in range(501)], [3.5] * 7, [1.0, 2.0], [-4.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "p double").repartition(5)
+        assert E.quantiles(df, "p", shares).first().quantiles == pytest.approx(pd.Series(values).quantile(shares).tolist())
+    assert E.quantiles(df.limit(0), "p", shares).first().quantiles is None
+
+
 def test_reports(spark):
     rows = [("a", "tone", "categorical", "x", "x", True), ("a", "n", "numeric", "1", "2", False), ("b", "tone", "categorical", "x", "y", False), ("b", "n", "numeric", "1", "1", True)]
     graded = spark.createDataFrame(rows, "id string, field string, kind string, pred string, gold string, hit boolean")

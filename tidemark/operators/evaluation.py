@@ -67,9 +67,28 @@ def log_loss(scored: DataFrame, clip: float = 1e-6) -> DataFrame:
     return scored.agg(F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("log_loss"))
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row: quantiles, the exact values at the shares, with linear interpolation; null without values.
+
+    Values are counted, then summed inside buckets of a thousandth of their range, so that no task holds all distinct values."""
+    levels = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    told = levels.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))
+    levels = levels.join(F.broadcast(told)).withColumn("__b", F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * 1000))
+    before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = levels.groupBy("__b").agg(F.sum("n").alias("size")).select("__b", F.coalesce(F.sum("size").over(before(order="__b")), F.lit(0)).alias("ahead"))
+    levels = levels.join(F.broadcast(buckets), "__b").withColumn("below", F.col("ahead") + F.coalesce(F.sum("n").over(before("__b", order="v")), F.lit(0)))
+    wanted = told.select(F.posexplode(F.array(*[F.lit(float(x)) for x in shares])).alias("k", "share"), "all").withColumn("at", F.col("share") * (F.col("all") - 1))
+    inside = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    met = levels.join(F.broadcast(wanted.select("k", "at")), inside(F.floor("at")) | inside(F.ceil("at")))  # as many ranks as shares
+    low, high = F.min("v"), F.max("v")
+    at = met.groupBy("k", "at").agg(F.when(low == high, low).otherwise((F.ceil("at") - F.col("at")) * low + (F.col("at") - F.floor("at")) * high).alias("q"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "q")))
+    return at.agg(F.when(F.count("*") > 0, F.transform(ordered, lambda x: x["q"])).alias("quantiles"))
+
+
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, mean_p, observed, n) by distinct quantile edges of p; a value on an inner edge belongs to the upper bin."""
-    edges = scored.agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    edges = quantiles(scored, "p", [i / bins for i in range(bins + 1)]).select(F.array_distinct("quantiles").alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = scored.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("p"))))
     return binned.groupBy("bin").agg(F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("observed"), F.count("*").alias("n"))
@@ -94,11 +113,13 @@ def paired_bootstrap(pairs: DataFrame, rounds: int, seed: int = 42, base_rate: f
     """Change of AUC and Brier score from p_base to p_cand over resamples of the same rows: mean, 2.5 and 97.5 percentiles, and the
     share above 0. pairs: i (0..n-1), y, p_base, p_cand. Draws hash (seed, round, slot), so that any engine repeats them.
 
-    Draws are summed to multiplicities by (round, row) before the join. Resamples of one class are left out. With base_rate, also the
+    Slots are made in blocks of 65,536, so that no row holds a round. Draws are summed to multiplicities by (round, row) before the join. Resamples of one class are left out. With base_rate, also the
     change of the Brier skill against that constant.
     """
     n = pairs.agg(F.count("*").alias("n"))
-    slots = pairs.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(n)).select("round", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    whole = pairs.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(n.where("n > 0")))
+    blocks = whole.select("round", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1 << 16).cast("long"))).alias("first"))
+    slots = blocks.select("round", "n", F.explode(F.sequence("first", F.least(F.col("first") + 65535, F.col("n") - 1))).alias("slot"))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "round", "slot")), 1, 8), 16, 10).cast("long") % F.col("n")
     weights = slots.groupBy("round", draw.alias("i")).agg(F.count("*").alias("w"))
     both = weights.join(pairs, "i")
