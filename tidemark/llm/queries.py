@@ -90,7 +90,16 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import merkle_manifest, proof_digest
+
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], presented={"text": tampered})
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), F.col("presented_root").alias("folded_root"), "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format, op11_merkle)}
 
 #: Lower-case form of a text in SQL, and what escaping does to a text.
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
