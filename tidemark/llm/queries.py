@@ -99,12 +99,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), F.col("presented_root").alias("folded_root"), "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format, op11_merkle)}
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format, op11_merkle, op12_search)}
 
 #: Lower-case form of a text in SQL, and what escaping does to a text.
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _ESCAPED = r"'(<\\*)(s>|/s>)|(\[\\*)(SYS\]|/SYS\]|INST\]|/INST\]|ROLE\]|:\]|/ROLE\])', '\1\3\\\2\4', 'g'"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -121,6 +129,17 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE named + 16 END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # every document is scored for every item
+    "op12_search": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
+        s AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+        q AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all({_LOW}, '{_TERM}'))) AS t FROM benchmark),
+        p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY r, t),
+        x AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS x FROM p, s GROUP BY t, N),
+        z AS (SELECT q.q, item_id, r, CAST(sum(x * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * N) // L)))) AS BIGINT) AS score
+              FROM q JOIN p USING (t) JOIN x USING (t) JOIN d USING (r), s GROUP BY q.q, item_id, r),
+        o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY z.q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z JOIN d USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op2_decontaminate": rf"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
