@@ -105,7 +105,14 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format, op11_merkle, op12_search)}
+def op13_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pages import extract_pages, fit_pages
+
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages, fit_pages(pages)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontaminate, op8_near_dedup, op9_repeats, op3_bpe, op4_exact_dedup, op5_sharding, op6_token_counts, op7_chat_format, op11_merkle, op12_search, op13_pages)}
 
 #: Lower-case form of a text in SQL, and what escaping does to a text.
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
