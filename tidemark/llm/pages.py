@@ -19,7 +19,7 @@ CHROME, CONTENT, FRAME, ASIDE = range(4)
 
 # Elements of HTML by what they are.
 TAGS = {
-    "page": "html body", "main": "article main", "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside dialog",
+    "page": "html body", "article": "article", "main": "main", "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside dialog",
     "form": "form fieldset button select option label legend datalist output", "box": "div section center details hgroup search",
     "para": "p pre blockquote address figure figcaption summary", "heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl dir", "item": "li dt dd",
     "table": "table caption thead tbody tfoot tr td th", "rule": "hr",
@@ -75,16 +75,16 @@ class Tree:
     def __init__(self, page: str):
         self.parent, self.kind, self.cell, self.runs = [-1], [("page", "")], [None], []
         self.block, self.texts = 0, []  # of the run that is being read
-        linked = dropped = 0
         stack: list[tuple[str, int]] = []  # open elements, with the node that each makes or stands in
+        self.open = Counter()  # how many of each name are open, and of all UNSEEN ones under "\0"
         at = 0
         while at < len(page):
             m = TOKEN.match(page, at)
             at = m.end()
             closing, name, attrs, _, text = m.groups()
             if text is not None:
-                if not dropped:
-                    self.texts.append((text, linked > 0))
+                if not self.open["\0"]:
+                    self.texts.append((text, self.open["a"] > 0))
                 continue
             if name is None:
                 continue
@@ -94,6 +94,7 @@ class Tree:
                     end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                     at = end.start() if end else len(page)
                     stack.append((name, stack[-1][1] if stack else 0))
+                    self.open[name] += 1
                     continue
                 if name in VOID:
                     if name == "br":
@@ -117,9 +118,8 @@ class Tree:
                     self.cell.append(None)
                     above = len(self.parent) - 1
                 stack.append((name, above))
-                linked += name == "a"
-                dropped += name in UNSEEN
-            elif any(name == open_ for open_, _ in stack):
+                self._count(name, 1)
+            elif self.open[name]:
                 if name in KIND:
                     self._end(stack)
                 while stack:
@@ -127,15 +127,24 @@ class Tree:
                     if own != (stack[-2][1] if len(stack) > 1 else 0):
                         self._end(stack, whole=open_ in KIND)
                     stack.pop()
+                    self._count(open_, -1)
                     if open_ == name:
                         break
-                linked, dropped = sum(o == "a" for o, _ in stack), sum(o in UNSEEN for o, _ in stack)
         self._end(stack)
 
+    def _count(self, name: str, n: int) -> None:
+        self.open[name] += n
+        if name in UNSEEN:
+            self.open["\0"] += n
+
     def _close(self, stack: list, names: set, bars: set) -> None:
         """Close the innermost open element of `names` and what it holds, unless one of `bars` is nearer."""
+        if not any(self.open[x] for x in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
+                for gone, _ in stack[i:]:
+                    self._count(gone, -1)
                 del stack[i:]
                 return
             if stack[i][0] in bars:
@@ -161,7 +170,7 @@ class Tree:
 
 def labelled(tree: Tree) -> list[int] | None:
     """The states of the nodes of a page that marks its article: one outermost article or main element. None for other pages."""
-    marked = [i for i, (tag, _) in enumerate(tree.kind) if tag == "main"]
+    marked = [i for i, (tag, _) in enumerate(tree.kind) if tag in ("article", "main")]
     inside = set(marked)
     outer = [i for i in marked if not any(j in inside for j in _above(tree, i))]
     if len(outer) != 1:
@@ -197,21 +206,21 @@ def _role(tag: str, said: str) -> str:
         return "chrome"
     if said not in ("", "content") or tag in ("header", "footer", "aside"):
         return "aside"
-    if tag == "main" or said == "content":
-        return "main"
+    if tag in ("article", "main") or said == "content":
+        return tag if tag == "article" else "main"
     return {"page": "page", "box": "box", "table": "box", "text": "text", "span": "text", "heading": "heading"}.get(tag, "block")
 
 
 #: What is held of a node under each state before any page is seen: chances of chrome, content, frame, aside under a frame, and under content.
 PRIOR = {
     "chrome": ((0.80, 0.01, 0.01, 0.18), (0.90, 0.04, 0, 0.06)), "aside": ((0.12, 0.01, 0.02, 0.85), (0.06, 0.04, 0, 0.90)),
-    "main": ((0.01, 0.80, 0.16, 0.03), (0.002, 0.99, 0, 0.008)), "page": ((0.001, 0.049, 0.949, 0.001), (0.001, 0.998, 0, 0.001)),
-    "box": ((0.15, 0.20, 0.60, 0.05), (0.001, 0.998, 0, 0.001)), "block": ((0.40, 0.45, 0.05, 0.10), (0.0001, 0.9998, 0, 0.0001)),
+    "article": ((0.001, 0.98, 0.009, 0.01), (0.002, 0.99, 0, 0.008)), "main": ((0.01, 0.90, 0.06, 0.03), (0.002, 0.99, 0, 0.008)), "page": ((0.001, 0.049, 0.949, 0.001), (0.001, 0.998, 0, 0.001)),
+    "box": ((0.10, 0.20, 0.65, 0.05), (0.0001, 0.9998, 0, 0.0001)), "block": ((0.25, 0.55, 0.05, 0.15), (0.0001, 0.9998, 0, 0.0001)),
     "heading": ((0.15, 0.75, 0.05, 0.05), (0.0001, 0.9998, 0, 0.0001)), "text": ((0.45, 0.45, 0, 0.10), (0.0001, 0.9998, 0, 0.0001)),
 }
 UNDER_CHROME, UNDER_ASIDE = (0.95, 0.0005, 0, 0.0495), (0.03, 0.0005, 0, 0.9695)
 #: Nodes that a prior weighs; the share of a text's evidence that goes to either state, so that no single text outweighs where it stands.
-WEIGHT, DOUBT = 10, 0.1
+WEIGHT, DOUBT = 10, 0.3
 CELLS = [(size, links, ended) for size in range(5) for links in range(3) for ended in (False, True)]
 
 
@@ -220,19 +229,15 @@ class Model:
 
     def __init__(self, edges: dict, texts: dict):
         self.counts, self.edges = edges, {}
-        total = {s: sum(texts.get((c, s), 0) + self._held(c, s) for c in CELLS) for s in (CHROME, CONTENT)}
+        total = {s: sum(n for (_, of), n in texts.items() if of == s) for s in (CHROME, CONTENT)}
         self.texts = {}
         for c in CELLS:
-            chrome, content = ((texts.get((c, s), 0) + self._held(c, s)) / total[s] for s in (CHROME, CONTENT))
+            held = (0.75 if c[1] == 2 else 0.125, 1 / 3)  # before any text is seen: three of four of chrome's are links
+            chrome, content = ((texts.get((c, s), 0) + max(1.0, total[s] / 1000) * h / 10) / (total[s] + max(1.0, total[s] / 1000)) for s, h in zip((CHROME, CONTENT), held))
             chrome, content = (x + DOUBT * (chrome + content) / 2 for x in (chrome, content))
             # prose reads alike wherever it stands, so texts never tell content from aside: nodes above do
             self.texts[c] = (chrome, content, 0.0, content)
 
-    @staticmethod
-    def _held(cell, state) -> int:
-        """Texts of a kind that are taken as seen: links and short texts are chrome's."""
-        return 1 + 4 * ((cell[1] == 2 or cell[0] == 0) == (state == CHROME))
-
     def edge(self, kind: tuple) -> tuple:
         if kind not in self.edges:
             frame, content = PRIOR[_role(*kind)]

@@ -118,6 +118,12 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op10_language_id, op2_decontami
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _ESCAPED = r"'(<\\*)(s>|/s>)|(\[\\*)(SYS\]|/SYS\]|INST\]|/INST\]|ROLE\]|:\]|/ROLE\])', '\1\3\\\2\4', 'g'"
 
+_CODED = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_BITS = "flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_transform(range(0, 8), lambda k: CAST((ascii(CAST(doc_id AS VARCHAR)[i]) >> k) & 1 AS BIGINT))))"
+#: crc32 of the decimal doc_id, bit by bit, is even.
+_EVEN = f"list_reduce(list_prepend(4294967295, {_BITS}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) % 2 = 1"
+_TAMPERED = f"(CASE WHEN {_EVEN} THEN replace(text, chr(10), '') ELSE text END)"
+_LEAF, _SEEN = ("sha256(" + " || ".join(_CODED.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")" for text in ("text", _TAMPERED))
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
@@ -136,6 +142,25 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE named + 16 END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # levels by recursion, siblings by windows; a proof is a list of 'left|right', folded from the bottom
+    "op11_merkle": rf"""
+        WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_LEAF} AS leaf, {_SEEN} AS seen FROM documents),
+        d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM f),
+        l AS (SELECT 0 AS up, g, pos, n, leaf AS h FROM d
+              UNION ALL SELECT up + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM l WHERE n > 1 GROUP BY up, g, pos // 3, n),
+        t AS MATERIALIZED (SELECT g, h FROM l WHERE n = 1),
+        u AS (SELECT 0 AS up, g AS pos, (SELECT count(*) FROM t) AS n, h FROM t
+              UNION ALL SELECT up + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY up, pos // 3, n),
+        a AS (SELECT up, g, pos, h, n FROM l UNION ALL SELECT 1000 + up, -1, pos, h, n FROM u),
+        s AS MATERIALIZED (SELECT up, g, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' ||
+                                  coalesce(string_agg(h, '' ORDER BY pos) OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS said
+                           FROM a WHERE n > 1 WINDOW r AS (PARTITION BY up, g, pos // 3 ORDER BY pos)),
+        k AS (SELECT DISTINCT up FROM s),
+        w AS (SELECT d.g, d.pos, k.up, CASE WHEN up < 1000 THEN d.g ELSE -1 END AS sg, CASE WHEN up < 1000 THEN d.pos // CAST(pow(3, up) AS BIGINT) ELSE d.g // CAST(pow(3, up - 1000) AS BIGINT) END AS sp FROM d, k),
+        p AS (SELECT w.g, w.pos, list(said ORDER BY w.up) AS proof FROM w JOIN s ON s.up = w.up AND s.g = sg AND s.pos = sp GROUP BY 1, 2),
+        o AS (SELECT d.*, coalesce(proof, []) AS proof, t.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root FROM d JOIN t USING (g) LEFT JOIN p ON p.g = d.g AND p.pos = d.pos),
+        q AS (SELECT *, list_reduce(list_prepend(seen, proof), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM o)
+        SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM q""",
     # every document is scored for every item
     "op12_search": rf"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
