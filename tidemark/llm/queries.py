@@ -124,6 +124,7 @@ _BITS = "flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), l
 _EVEN = f"list_reduce(list_prepend(4294967295, {_BITS}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) % 2 = 1"
 _TAMPERED = f"(CASE WHEN {_EVEN} THEN replace(text, chr(10), '') ELSE text END)"
 _LEAF, _SEEN = ("sha256(" + " || ".join(_CODED.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")" for text in ("text", _TAMPERED))
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
@@ -161,6 +162,14 @@ ORACLE_SQL = {
         o AS (SELECT d.*, coalesce(proof, []) AS proof, t.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root FROM d JOIN t USING (g) LEFT JOIN p ON p.g = d.g AND p.pos = d.pos),
         q AS (SELECT *, list_reduce(list_prepend(seen, proof), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM o)
         SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM q""",
+    # what the one article element holds, for the markup of these tables; the query itself scores nodes of any markup
+    "op13_pages": rf"""
+        WITH p AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS said FROM pages),
+        b AS (SELECT r, unnest(regexp_split_to_array(said, '</?(?:p|h1)>')) AS block, generate_subscripts(regexp_split_to_array(said, '</?(?:p|h1)>'), 1) AS i FROM p),
+        c AS (SELECT r, i, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                     '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;|&#x27;', chr(39), 'g'), '&amp;?', '&', 'g'), '[{_SPACE}]+', ' ', 'g')) AS block FROM b),
+        t AS (SELECT r, string_agg(block, chr(10) ORDER BY i) AS text FROM c WHERE block <> '' GROUP BY r)
+        SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM p LEFT JOIN t USING (r)""",
     # every document is scored for every item
     "op12_search": rf"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
