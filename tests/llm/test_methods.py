@@ -187,3 +187,24 @@ def test_exact_distinct(spark, crowd, crowd_bytes):
     assert exact_distinct(docs.limit(0)).count() == 0
     kept = exact_duplicates(docs, crowd=crowd, crowd_bytes=crowd_bytes).where("kept")
     assert sorted((r.text_sha256, r.doc_id) for r in kept.collect()) == sorted((__import__("hashlib").sha256(t.encode()).hexdigest(), i) for t, i in best.items() if i >= 0)
+
+
+def test_language_sample_is_the_first_by_hash_at_any_size(spark):
+    from tidemark.llm.langid import first_of_each, shares
+
+    rows = spark.createDataFrame([("en", i * 2654435761 % 2**61 - 2**60) for i in range(300)] + [("fr", 5), ("fr", 5), ("fr", 5)], "lang string, h long")
+    told = spark.createDataFrame([("en", 2_000_000_000), ("fr", 3)], "lang string, n long")  # as if the rows were of so large a table
+    got = first_of_each(rows, told, 100).collect()
+    assert sorted(r.h for r in got if r.lang == "en") == sorted(r.h for r in rows.where("lang = 'en'").collect())[:100] and sum(r.lang == "fr" for r in got) == 3
+    bound = {r.lang: r.below for r in shares(spark.createDataFrame([("en", 2 * 10**9), ("de", 10**13), ("fr", 9)], "lang string, n long"), 1500, 4.0).collect()}
+    assert bound["fr"] is None and all(abs((bound[x] + 2**63) / 2**64 * n / 6000 - 1) < 0.01 for x, n in (("en", 2 * 10**9), ("de", 10**13)))
+
+
+def test_languages_with_null_and_repeated_ids(spark):
+    from tidemark.llm.langid import fit_languages, identify_languages
+
+    said = {"en": "the house by the river and other things that were there", "de": "das haus am fluss und andere dinge die dort waren"}
+    rows = [(None if i % 2 else 7, f"{text} {chr(97 + i % 26) * 3}", lang) for i in range(200) for lang, text in said.items()] + [(7, said["en"], "en")] * 50
+    fitted = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40)
+    got = identify_languages(spark.createDataFrame([(1, "the river"), (2, "der fluss und das haus")], "doc_id long, text string"), fitted).collect()
+    assert [r.lang_pred for r in got] == ["en", "de"]

@@ -7,10 +7,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, tidy
+from tidemark.llm.common import col, settle, tidy
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -168,24 +168,42 @@ def _slices(texts: list[str]):
         yield part
 
 
+def shares(sizes: DataFrame, wanted: int, slack: float) -> DataFrame:
+    """(lang, below): the signed 64-bit hash below which about wanted * slack of a language's n rows lie; null where all are taken."""
+    below = (F.lit(float(wanted * slack)) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)).cast("long")
+    return sizes.select("lang", F.when(F.col("n") > wanted * slack, below).alias("below"))
+
+
+def first_of_each(rows: DataFrame, sizes: DataFrame, wanted: int) -> DataFrame:
+    """Of each lang of rows (lang, h, ...) the first `wanted` by h, or all. sizes: (lang, n). Rows past a bound on the hash, under which a language
+    has about four times as many, are passed over before the rest are ranked; where too few lie under it, the bound rises."""
+    enough, slack = F.least(F.col("n"), F.lit(wanted)), 4.0
+    while True:
+        near = rows.join(shares(sizes, wanted, slack), "lang").where("below is null or h < below").drop("below")
+        short = sizes.join(near.groupBy("lang").agg(F.count("*").alias("held")), "lang", "left").where(F.coalesce("held", F.lit(0)) < enough)
+        if short.isEmpty():
+            place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+            return near.withColumn("r", place).where(F.col("r") <= wanted).select(rows.columns)
+        slack *= 16
+
+
 def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, reject: float = 0.001):
-    """Learn from about per_language rows of each language, chosen by a hash of the id; four fifths fit the models, the others
-    calibrate the scores and set each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds. A language whose rows all fall
-    among the others is fitted on all of them.
+    """Learn from per_language rows of each language, or all if it has fewer: the first by a hash of id and text. Four fifths fit the
+    models, the others calibrate the scores and set each language's rejection limit: the cross-entropy that a share `reject` of its own texts exceeds.
+    A language whose rows all fall among the others is fitted on all of them.
 
-    Rows with a null text or language are not used. Returns (model, calibration), or None if there is nothing to learn from.
+    Rows with a null text or language are not used. Null ids and rows that repeat an id are drawn by their texts. A model is held for every
+    language. Returns (model, calibration), or None if there is nothing to learn from.
     """
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sample = settle(first_of_each(rows.withColumn("h", F.xxhash64("id", "text")), settle(sizes, "languages"), per_language).drop("h"), "language-sample")
+    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(sizes)
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000))
-    limit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(min(1.0, per_language / sizes[x]) * 1_000_000))) for x in langs])
-    sample = rows.where(draw < limit)
-    for_limits = F.pmod(F.xxhash64("id", F.lit("limit")), F.lit(5)) == 0
+    for_limits = F.pmod(F.xxhash64("text", "id"), F.lit(5)) == 0
 
     def count(batches):
         from collections import Counter
@@ -201,6 +219,7 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "w", "n"])
 
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
+
     def learned(part):
         found = part.mapInArrow(tidy(count), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
         for x in found.toLocalIterator():
