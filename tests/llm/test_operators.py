@@ -201,12 +201,22 @@ def test_decontamination(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert rows(decontaminate(docs, bench), *cols) == want
-    monkeypatch.setattr("tidemark.llm.decontaminate.BROADCAST_BYTES", 0)  # shuffled joins
+    monkeypatch.setattr("tidemark.llm.decontaminate.NEAR_ROWS", 0)  # candidates meet their texts by a shuffle
+    monkeypatch.setattr("tidemark.llm.decontaminate.ROUND_BYTES", 12_000)  # several rounds
     assert rows(decontaminate(docs, bench), *cols) == want
     assert decontaminate(none, bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_ids_that_look_alike(spark):
+    from tidemark.llm.decontaminate import decontaminate
+
+    said = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([("-", said), (None, said), ("x", "clean"), ("-", "clean"), ("-", said), ("", said + " " + said)], "doc_id string, text string")
+    got = decontaminate(docs, spark.createDataFrame([("i", said), ("j", "five")], "item_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_hit, r.n_items) for r in got) == sorted([("-", 11, 2), ("None", 11, 2), ("x", 0, 0), ("-", 0, 0), ("-", 11, 2), ("", 22, 2)])
+
+
 def test_chat(spark):
     from tidemark.llm.chat import TEMPLATE, Template, chat_digests, format_conversations
 
