@@ -137,6 +137,7 @@ class Transducer:
         self.split = regex.compile(tables.pattern).findall
         self.beyond_ascii = None
         self.fits: dict[int, bool] = {}
+        self.tokens = {x: tables.order[x] for x in tables.whole}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.prefixes: dict[str, int] = {}
         self.sizes = [0] * len(tables.ids)
@@ -247,25 +248,33 @@ class Transducer:
 
     def _short(self, word: str) -> tuple[int, ...]:
         """The same transducer on a word that fits its window; states of prefixes are kept, so words that begin alike share them."""
-        order, whole, ids, longest, prefixes = self.t.order, self.t.whole, self.t.ids, self.t.longest, self.prefixes
+        tokens, ids, longest, prefixes, fits, suffix = self.tokens, self.t.ids, self.t.longest, self.prefixes, self.fits, self.t.suffix
+        full = word + suffix
+        token = tokens.get(full)
+        if token is not None:
+            return (ids[token],)
         if len(prefixes) > MEMO_ENTRIES:
             prefixes.clear()
+        if len(fits) > MEMO_ENTRIES:
+            fits.clear()
         n = len(word)
-        full = word + self.t.suffix
-        if full in whole:
-            return (ids[order[full]],)
-        at = n - 1 if self.t.suffix else n
+        at = n - 1 if suffix else n
         while at and word[:at] not in prefixes:
             at -= 1
         while at < n:
             at += 1
-            last = at == n and self.t.suffix
+            last = at == n and suffix
             end = full if last else word[:at]
             for start in range(at - 1, max(-1, at - 1 - longest), -1):
-                piece = end[start:]
-                if piece in whole:
-                    token = order[piece]
-                    if not start or self.compatible(prefixes[word[:start]], token):
+                token = tokens.get(end[start:])
+                if token is not None:
+                    if not start:
+                        break
+                    key = prefixes[word[:start]] << 20 | token
+                    known = fits.get(key)
+                    if known is None:
+                        known = fits[key] = self._seam(key >> 20, token)
+                    if known:
                         break
             else:
                 raise ValueError(f"the vocabulary lacks {word!r}")
@@ -404,6 +413,8 @@ def _worker(shared) -> dict:
         t, d = Transducer(shared.value), Decoder(shared.value)
 
         def decoded(ids: bytes) -> str:
+            if d.t.joined_decoding:  # each token's feed is its name, after a blank but for the first
+                return " ".join([d.t.names.get(i, "") for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
             d.reset()
             return "".join(map(d.feed, struct.unpack(f"<{len(ids) // 4}I", ids))) + d.close()
 
