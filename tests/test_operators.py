@@ -11,6 +11,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import extraction, grading
 from tidemark.operators import panel as P
 from tidemark.sources import landed as L
+from tidemark.sources import tables
 
 RELEASE = (
     "Brightwater Tools reports its third quarter. Revenue fell 4.5% from a year ago, to 88 million euros.\nOperating margin contracted by two points.\n"
@@ -119,8 +120,8 @@ def test_landed(spark, tmp_path):
     docs = L.read_documents(spark, str(tmp_path / "docs"))
     assert docs.first().asDict() == {"accession": "acc1", "text": "hello\nyou"}
     keyed = extraction.with_keys(docs, "baseline", "", "1")
-    assert [L.append_new(keyed, str(tmp_path / "cache"), "key") for _ in range(2)] == [1, 0]
-    assert extraction.pending(keyed, spark.read.parquet(str(tmp_path / "cache"))).count() == 0
+    assert [tables.append(keyed, str(tmp_path / "cache"), "key") for _ in range(2)] == [1, 0]
+    assert extraction.pending(keyed, tables.read(spark, str(tmp_path / "cache"))).count() == 0
 
 
 def test_stream_is_idempotent(spark, tmp_path):
@@ -131,4 +132,4 @@ def test_stream_is_idempotent(spark, tmp_path):
     for k in range(2):
         q = extract_stream(spark.readStream.schema("accession string, text string").parquet(src), str(tmp_path / "out"), str(tmp_path / f"ck{k}"))
         q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert tables.read(spark, str(tmp_path / "out")).count() == 1

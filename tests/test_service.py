@@ -64,17 +64,17 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "T", True, None, 1.0, 2.0), ("b", "T", False, "E: x", 3.0, 0.0)], "accession string, ticker string, ok boolean, error string, latency_s double, cost_usd double").withColumn("claims", claims)
     rows = rows.select("*", *[F.lit(4).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")])
     stats, reasons = S.write_extractions(rows, p("x"))
-    assert [tuple(r) for r in spark.read.parquet(p("x")).collect()] == [("a", "T", "flat", 1)] and stats.first().n_failed == 1 and reasons.first().reason == "E"
+    assert [tuple(r) for r in S.read_table(spark, p("x")).collect()] == [("a", "T", "flat", 1)] and stats.first().n_failed == 1 and reasons.first().reason == "E"
     S.write_table(spark.range(3), p("t"))
     S.write_table(spark.range(2), p("t"))
-    assert spark.read.parquet(p("t")).count() == 2
+    assert S.read_table(spark, p("t")).count() == 2
     S.write_csv(spark.createDataFrame([("a", 1.5), ("b", float("nan")), (None, 2.0)], "k string, v double"), p("c"))
     assert sorted(spark.read.text(p("c")).toPandas().value) == sorted(["k,v", "a,1.5", "b,", ",2.0"])
     new = spark.createDataFrame([("a", None), ("b", "y"), ("b", "y")], "accession string, note string")
     assert [S.append_jsonl(new, p("j"), "accession") for _ in range(2)] == [2, 0]
     assert '"note":null' in "".join(spark.read.text(p("j")).toPandas().value)
     S.cache_results(rows.withColumn("key", F.md5("accession")), p("cache"))
-    assert [r.accession for r in spark.read.parquet(p("cache")).collect()] == ["a"]
+    assert [r.accession for r in S.read_table(spark, p("cache")).collect()] == ["a"]
 
 
 def test_json_lines_tell_of_broken_rows(spark, tmp_path):

@@ -182,19 +182,3 @@ def universe(tickers: DataFrame, ciks: DataFrame, counts: DataFrame, least: int
 def first_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """One row of each key, the first in a stated order."""
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("r = 1").drop("r")
-
-
-def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the Parquet table at path lacks; returns how many. Safe to repeat."""
-    spark = rows.sparkSession
-    try:
-        there = spark.read.parquet(path).select(key)
-    except Exception as e:  # the first write makes the table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = spark.createDataFrame([], rows.select(key).schema)
-    new = rows.join(there, key, "left_anti").dropDuplicates([key])
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n

@@ -1,18 +1,19 @@
-"""Writers: replaced tables, CSV, claims of successful extractions, append-once JSON lines. All go through Spark's commit, so readers
-see a whole table or none."""
+"""Writers: replaced tables, CSV, claims of successful extractions, append-once JSON lines, the extraction cache. Tables are those of
+tidemark.sources.tables, whose readers see a whole table or none; a CSV and JSON lines become visible by Spark's own commit."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.extraction import failure_reasons, run_stats
+from tidemark.sources import tables
+from tidemark.sources.tables import read as read_table  # noqa: F401  what write_table has written
 
 
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Replace the Parquet table at path, in folders of the columns `by`."""
-    w = rows.write.mode("overwrite")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    """Replace the table at path, in folders of the columns `by`; the old one stays if the write fails."""
+    tables.replace(rows, path, by)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -33,7 +34,8 @@ def write_extractions(results: DataFrame, path: str) -> tuple[DataFrame, DataFra
 
 
 def append_jsonl(rows: DataFrame, path: str, key: str) -> int:
-    """Append to the JSON lines at path the rows whose key they lack; returns how many. Safe to repeat."""
+    """Append to the JSON lines at path the rows whose key they lack; returns how many. Safe to repeat, not for two writers at a time
+    (tables.append is)."""
     spark = rows.sparkSession
     try:
         there = spark.read.schema(rows.select(key).schema).json(path).select(key)
@@ -48,6 +50,26 @@ def append_jsonl(rows: DataFrame, path: str, key: str) -> int:
     return n
 
 
-def cache_results(results: DataFrame, path: str) -> None:
-    """Add results to the extraction cache, in folders by the key's first two digits. Failures are never cached."""
-    results.where("ok").withColumn("shard", F.left("key", F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
+def _shard(key: str = "key"):
+    return F.concat(F.lit("s"), F.left(key, F.lit(2)))
+
+
+def cache_results(results: DataFrame, path: str) -> int:
+    """Add results whose key the extraction cache at path lacks, in folders by the key's first two digits, a file each. Failures are never
+    cached. Returns how many were added."""
+    return tables.append(results.where("ok").withColumn("shard", _shard()).repartition("shard"), path, "key", ["shard"])
+
+
+def cached_in(docs: DataFrame, path: str, schema) -> DataFrame:
+    """The cache's rows (of the given schema) for the keys of docs: only the folders of those keys are read (256 names at most are asked
+    for), and a broken file counts as not there."""
+    spark: SparkSession = docs.sparkSession
+    wanted = [r.shard for r in docs.select(_shard().alias("shard")).distinct().collect()]
+    names = [n for n in spark.createDataFrame([], schema).columns if n != "shard"]
+    there = tables.read(spark, path, spark.createDataFrame([], schema).withColumn("shard", F.lit("")).schema, lenient=True)
+    return there.where(F.col("shard").isin(wanted)).select(*names).join(docs.select("key").distinct(), "key", "left_semi")
+
+
+def missing_in(docs: DataFrame, path: str, schema) -> DataFrame:
+    """The rows of docs whose key the cache lacks."""
+    return docs.join(cached_in(docs, path, schema).select("key"), "key", "left_anti")
