@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import placed
+
 
-def positions(rows: DataFrame, order: list[str] | None = None, bucket: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """rows with pos, the place by (date, id), or by `order`, from 0, inside each group of `by`. Rows are numbered inside buckets (the
-    first column of order, or any column that rises with it or, for an order that need not be kept, a hash), and only the
-    table of bucket sizes is summed in one task."""
-    order, by = order or ["date", "id"], by or []
-    rows = rows.withColumn("__b", bucket if bucket is not None else F.col(order[0]))
-    sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select(*by, "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    placed = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
-    return placed.join(ahead, [*by, "__b"]).withColumn("pos", F.col("ahead") + F.col("r") - 1).drop("ahead", "r", "__b")
+def positions(rows: DataFrame, order: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows with pos, the place by (date, id), or by `order`, from 0, inside each group of `by`; nulls first, no row is left out."""
+    return placed(rows, [F.col(c) for c in order or ["date", "id"]], by)
 
 
 def purged_splits(events: DataFrame, folds: int = 5, embargo_days: int = 10, least_train: int = 20) -> DataFrame:
@@ -44,10 +41,11 @@ def holdout_split(events: DataFrame, share: float = 0.2, embargo_days: int = 10)
 
 
 def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by distinct score (ties count half); null with one class only. scored: y, p.
+    """Area under the ROC curve by distinct score (ties count half); null with one class only. scored: y, p. An error if one is null or NaN.
 
     Scores are counted, then summed inside buckets of a thousandth, so that only the table of buckets is summed in one task."""
     by = by or []
+    refuse_unscored(scored, "y", "p")
     levels = scored.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("__b", F.floor(F.col("p") * 1000))
     before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     buckets = levels.groupBy(*by, "__b").agg(F.sum("neg").alias("n")).select(*by, "__b", F.coalesce(F.sum("n").over(before(*by, order="__b")), F.lit(0)).alias("ahead"))
@@ -67,23 +65,56 @@ def log_loss(scored: DataFrame, clip: float = 1e-6) -> DataFrame:
     return scored.agg(F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("log_loss"))
 
 
-def quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row: quantiles, the exact values at the shares, with linear interpolation; null without values.
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], small: int = 10_000, n: int | None = None) -> list[float]:
+    """The exact values of a double column, nulls left out, at some ranks (from 0; NaN is the largest).
 
-    Values are counted, then summed inside buckets of a thousandth of their range, so that no task holds all distinct values."""
-    levels = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    told = levels.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))
-    levels = levels.join(F.broadcast(told)).withColumn("__b", F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * 1000))
-    before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = levels.groupBy("__b").agg(F.sum("n").alias("size")).select("__b", F.coalesce(F.sum("size").over(before(order="__b")), F.lit(0)).alias("ahead"))
-    levels = levels.join(F.broadcast(buckets), "__b").withColumn("below", F.col("ahead") + F.coalesce(F.sum("n").over(before("__b", order="v")), F.lit(0)))
-    wanted = told.select(F.posexplode(F.array(*[F.lit(float(x)) for x in shares])).alias("k", "share"), "all").withColumn("at", F.col("share") * (F.col("all") - 1))
-    inside = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-    met = levels.join(F.broadcast(wanted.select("k", "at")), inside(F.floor("at")) | inside(F.ceil("at")))  # as many ranks as shares
-    low, high = F.min("v"), F.max("v")
-    at = met.groupBy("k", "at").agg(F.when(low == high, low).otherwise((F.ceil("at") - F.col("at")) * low + (F.col("at") - F.floor("at")) * high).alias("q"))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "q")))
-    return at.agg(F.when(F.count("*") > 0, F.transform(ordered, lambda x: x["q"])).alias("quantiles"))
+    Rounds narrow an interval around each rank: a sketch of what lies in it proposes nearer ends, a count says what they leave out, until
+    `small` values are left, which alone are gathered. No task holds more than that, however many values there are or tie. n: how many
+    values there are, if that is known."""
+    v = F.col("v")
+    rows = rows.select(F.col(f"`{column}`").cast("double").alias("v")).where("v is not null")
+    where = {r: F.lit(True) for r in ranks}  # the interval in which the rank's value lies
+    below = dict.fromkeys(ranks, 0)  # how many values lie before it
+    found: dict[int, float] = {}
+    sizes = dict.fromkeys(ranks, n if n is not None else rows.count())
+    while left := [r for r in ranks if r not in found]:
+        ask = []
+        for r in left:
+            own = F.when(where[r], v)
+            share = (r - below[r]) / sizes[r]
+            ask.append((F.array_sort(F.collect_list(own)) if sizes[r] <= small else F.percentile_approx(own, [max(0.0, share - 0.001), min(1.0, share + 0.001)], 20_000)).alias(f"a{r}"))
+        got = rows.agg(*ask).first()
+        ends = {r: got[f"a{r}"] for r in left if sizes[r] > small}
+        found |= {r: got[f"a{r}"][r - below[r]] for r in left if sizes[r] <= small}
+        if not ends:
+            break
+        # of an interval: what lies before the proposed ends, at them, between them; what is left lies after
+        parts = {(r, k): where[r] & c for r, (a, z) in ends.items() for k, c in enumerate((v < a, v == a, (v > a) & (v < z), (v == z) & (v > a), v > z))}
+        seen = rows.agg(*[F.count_if(c).alias(f"n{r}_{k}") for (r, k), c in parts.items()]).first()
+        for r, (a, z) in ends.items():
+            at = r - below[r]
+            for k in range(5):
+                held = seen[f"n{r}_{k}"]
+                if at < held:
+                    break
+                at -= held
+                below[r] += held
+            if k in (1, 3):
+                found[r] = a if k == 1 else z
+            else:
+                where[r], sizes[r] = parts[r, k], held
+    return [found[r] for r in ranks]
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row: quantiles, the exact values at the shares, with linear interpolation; null without values."""
+    n = rows.where(F.col(f"`{column}`").isNotNull()).count()
+    at = [x * (n - 1) for x in shares]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))}) if n else []
+    value = dict(zip(ranks, order_statistics(rows, column, ranks, n=n)))
+    ends = [(value[math.floor(x)], value[math.ceil(x)], x - math.floor(x)) for x in at] if n else []
+    found = [low if low == high else (1 - part) * low + part * high for low, high, part in ends] or None
+    return rows.sparkSession.createDataFrame([(found,)], "quantiles array<double>")
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -99,13 +130,25 @@ def expected_calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return r.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("mean_p"))), F.sum("n").cast("double")).alias("ece"))
 
 
+def refuse_unscored(scored: DataFrame, *columns: str) -> None:
+    """An error that tells how many rows have a null or NaN in one of the columns."""
+    wrong = F.lit(False)
+    for c in columns:
+        wrong |= F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    n = scored.where(wrong).count()
+    if n:
+        raise ValueError(f"{n} rows have no finite {' or '.join(columns)}")
+
+
 def paired(base: DataFrame, candidate: DataFrame, key: str = "id") -> DataFrame:
-    """i, y, p_base, p_cand of two models' predictions (key, y, p) of the same rows, by key. An error if they differ in rows or y."""
+    """i, y, p_base, p_cand of two models' predictions (key, y, p) of the same rows, by key. An error if they differ in rows or y, or if
+    a prediction is null or NaN."""
     both = base.select(key, F.col("y").alias("y"), F.col("p").alias("p_base")).join(candidate.select(key, F.col("y").alias("y2"), F.col("p").alias("p_cand")), key, "full")
     wrong = both.where("not (y <=> y2) or p_base is null or p_cand is null").count()
     if wrong:
         raise ValueError(f"{wrong} rows are not predicted by both models with the same outcome")
-    at = positions(both, [key])
+    refuse_unscored(both, "y", "p_base", "p_cand")
+    at = placed(both, [F.col(key)])
     return at.select(F.col("pos").cast("long").alias("i"), "y", "p_base", "p_cand")
 
 
@@ -130,18 +173,134 @@ def paired_bootstrap(pairs: DataFrame, rounds: int, seed: int = 42, base_rate: f
     won = F.sum(F.col("pos") * (F.col("below") + F.lit(0.5).cast("double") * F.col("neg"))).cast("double")
     per = levels.groupBy("round", "cand").agg(F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), (F.sum("err") / F.sum(F.col("pos") + F.col("neg"))).alias("brier"), (1 - F.try_divide(F.sum("err"), F.sum("ref"))).alias("skill"))
     wide = per.where("auc is not null").groupBy("round").agg(F.sum(F.when(F.col("cand") == 1, F.col("auc")).otherwise(-F.col("auc"))).alias("d_auc"), F.sum(F.when(F.col("cand") == 1, -F.col("brier")).otherwise(F.col("brier"))).alias("d_brier"), F.sum(F.when(F.col("cand") == 1, F.col("skill")).otherwise(-F.col("skill"))).alias("d_skill"))
+    return _intervals(wide, base_rate is not None)
+
+
+def _intervals(rounds: DataFrame, with_skill: bool) -> DataFrame:
+    """Mean, 2.5 and 97.5 percentiles and the share above 0 of the changes of each round (d_auc, d_brier, d_skill)."""
     skill = [F.avg("d_skill").alias("d_skill"), F.percentile("d_skill", 0.025).alias("skill_low"), F.percentile("d_skill", 0.975).alias("skill_high"), F.avg((F.col("d_skill") > 0).cast("double")).alias("p_skill")]
-    return wide.agg(
+    return rounds.agg(
         F.count("*").alias("rounds"), F.avg("d_auc").alias("d_auc"), F.percentile("d_auc", 0.025).alias("auc_low"), F.percentile("d_auc", 0.975).alias("auc_high"), F.avg((F.col("d_auc") > 0).cast("double")).alias("p_auc"),
-        F.avg("d_brier").alias("d_brier"), F.percentile("d_brier", 0.025).alias("brier_low"), F.percentile("d_brier", 0.975).alias("brier_high"), *(skill if base_rate is not None else []),
+        F.avg("d_brier").alias("d_brier"), F.percentile("d_brier", 0.025).alias("brier_low"), F.percentile("d_brier", 0.975).alias("brier_high"), *(skill if with_skill else []),
     )
 
 
-def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson and Spearman (average ranks) correlations of two columns of a small table of metrics."""
-    def average(c):
-        w = Window.partitionBy(F.col(c))
-        return F.rank().over(Window.partitionBy().orderBy(c)) + (F.count("*").over(w) - 1) / 2
+#: Thresholds of a 53-bit draw above which a row counts once, twice, ... in a round: the Poisson law of mean 1.
+POISSON = [math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**53) for k in range(18)]
+#: Rounds of one row of partial sums, so that no row grows with the rounds.
+ROUNDS = 100
+
+
+def row_weights(i: int, rounds: np.ndarray, seed: int) -> np.ndarray:
+    """How often row i counts in each of the rounds: a Poisson draw from a mix of (seed, round, row), the same on any machine."""
+    z = np.uint64(i * 0x9E3779B97F4A7C15 + seed * 0x94D049BB133111EB & (1 << 64) - 1) + rounds * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON, (z ^ (z >> np.uint64(31))) >> np.uint64(11), "right").astype(np.float64)
+
+
+def _segments(batches, rounds: int, seed: int, base_rate: float):
+    """Partial sums of a range of rows (cand, p, y, i) in order of cand and p: its first and last distinct scores on their own, as they may go on in
+    other ranges, and what lies between. Each is (cand, low, high) with vectors over rounds: pos, neg, won (pairs, ties half), err, ref."""
+    every = np.arange(rounds, dtype=np.uint64)
+    done: list = []  # finished segments of the current model
+    level = None  # [cand, p, pos, neg, err, ref]
+
+    def closed(x):
+        return [x[0], x[1], x[1], x[2], x[3], 0.5 * x[2] * x[3], x[4], x[5]]
 
-    ranked = rows.select(x, y, average(x).alias("rx"), average(y).alias("ry"))
+    def join(a, b):
+        return [a[0], a[1], b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5] + b[3] * a[4], a[6] + b[6], a[7] + b[7]]
+
+    def push(x):
+        if len(done) == 3:
+            done[1:] = [join(done[1], done[2]), x]
+        else:
+            done.append(x)
+
+    for pdf in batches:
+        for cand, p, y, i in zip(pdf.cand, pdf.p, pdf.y, pdf.i):
+            if level is None or (cand, p) != (level[0], level[1]):
+                if level is not None:
+                    push(closed(level))
+                    if cand != level[0]:
+                        yield from done
+                        done = []
+                level = [cand, p, *(np.zeros(rounds) for _ in range(4))]
+            w = row_weights(int(i), every, seed)
+            level[2] += w * y
+            level[3] += w * (1 - y)
+            level[4] += w * (p - y) ** 2
+            level[5] += w * (base_rate - y) ** 2
+    if level is not None:
+        push(closed(level))
+        yield from done
+
+
+def _merged(segments) -> tuple:
+    """(pos, neg, won, err, ref) of all segments of a model, in order of score."""
+    pos = neg = won = err = ref = below = level_pos = level_neg = 0.0
+    at = None
+    for low, high, p, n, w, e, r in segments:
+        if low != at:
+            below, level_pos, level_neg, at = neg, 0.0, 0.0, low
+        won = won + w + p * below + 0.5 * (level_pos * n + p * level_neg)
+        level_pos, level_neg = level_pos + p, level_neg + n
+        pos, neg, err, ref = pos + p, neg + n, err + e, ref + r
+        at = high if low == high else None
+    return pos, neg, won, err, ref
+
+
+def bootstrap_vectors(pairs: DataFrame, rounds: int, seed: int = 42, base_rate: float | None = None) -> DataFrame:
+    """Like paired_bootstrap, by Poisson weights: a row counts 0, 1, 2, ... times in a round, as drawn from (seed, round, row) alone, which for many
+    rows is the law of resampling and needs no exchange of draws. pairs: i (a number of its own), y (0 or 1), p_base, p_cand; an error if one is
+    null or NaN. Rounds of one class are left out.
+
+    Rows are sorted once by model and score; a task sums its range for all rounds as vectors, and what it hands on is three segments a model, in
+    parts of ROUNDS rounds; a part's segments are merged in order of score. Ties may go on over ranges, so one score may hold any share of the rows."""
+    import pandas as pd
+
+    refuse_unscored(pairs, "y", "p_base", "p_cand")
+    both = pairs.select("i", "y", F.explode(F.array(F.struct(F.lit(0).alias("cand"), F.col("p_base").alias("p")), F.struct(F.lit(1).alias("cand"), F.col("p_cand").alias("p")))).alias("m"))
+    both = both.select("m.cand", F.col("m.p").cast("double").alias("p"), F.col("y").cast("double").alias("y"), F.col("i").cast("long").alias("i"))
+    ranged = both.repartitionByRange("cand", "p", "i").sortWithinPartitions("cand", "p", "i")
+    sums = ["pos", "neg", "won", "err", "ref"]
+
+    def partial(batches):
+        for cand, low, high, *vectors in _segments(batches, rounds, seed, base_rate or 0.0):
+            yield pd.DataFrame([(k, cand, low, high, *(v[k * ROUNDS : (k + 1) * ROUNDS] for v in vectors)) for k in range(-(-rounds // ROUNDS))], columns=["part", "cand", "low", "high", *sums])
+
+    def merge(key, pdf):
+        pdf = pdf.sort_values(["cand", "low", "high"], kind="stable")
+        got = {}
+        for cand, own in pdf.groupby("cand"):
+            pos, neg, won, err, ref = _merged(zip(own.low, own.high, *(own[c] for c in sums)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                got[cand] = pos * neg, won / (pos * neg), err / (pos + neg), 1 - err / ref
+        held = got[0][0] > 0
+        first = int(key[0]) * ROUNDS
+        return pd.DataFrame({"round": np.arange(first, first + len(held))[held], **{n: (s * (got[1][k] - got[0][k]))[held] for n, k, s in (("d_auc", 1, 1), ("d_brier", 2, -1), ("d_skill", 3, 1))}})
+
+    parts = ranged.mapInPandas(partial, "part int, cand int, low double, high double, " + ", ".join(f"{c} array<double>" for c in sums))
+    per = parts.groupBy("part").applyInPandas(merge, "round long, d_auc double, d_brier double, d_skill double")
+    return _intervals(per, base_rate is not None)
+
+
+def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with `name`, the rank (from 1) of the column among its non-null values, tied values sharing their mean rank; null for null. Values are
+    counted first, and the counts of distinct values are placed by ranges."""
+    levels = placed(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("\0v")).agg(F.count("*").alias("\0n")), [F.col("\0v")])
+    size = F.col("\0n")
+    before = Window.partitionBy("\0b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("\0b", F.floor(F.col("pos") / 10_000))  # the places' counts are summed in blocks, and the blocks' in order
+    blocks = levels.groupBy("\0b").agg(F.sum(size).alias("\0s"))
+    ahead = blocks.select(F.col("\0b").alias("\0c"), F.coalesce(F.sum("\0s").over(Window.partitionBy().orderBy("\0b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("\0a"))
+    levels = levels.withColumn("\0w", F.coalesce(F.sum(size).over(before), F.lit(0))).join(ahead, F.col("\0b") == F.col("\0c"))
+    ranks = levels.select("\0v", (F.col("\0a") + F.col("\0w") + (size + 1) / 2).alias(name))
+    return rows.join(ranks, F.col(column) == F.col("\0v"), "left").drop("\0v")
+
+
+def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson and Spearman (average ranks) correlations of two columns; rows with a null in one of them are left out."""
+    ranked = average_ranks(average_ranks(rows.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "rx"), y, "ry")
     return ranked.agg(F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"))

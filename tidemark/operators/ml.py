@@ -88,9 +88,9 @@ def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gb
 
     trials = test.select("id", F.explode(F.array(*map(F.lit, features))).alias("feature")).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "repeat", "id"))
-    place = positions(test.select("id", F.col("id").alias("key")), ["key"], F.pmod(F.xxhash64("key"), F.lit(4096))).select("id", "pos")
+    place = positions(test.select("id", F.col("id").alias("key")), ["key"]).select("id", "pos")
     value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]), F.col("feature"))
-    dealt = positions(trials.withColumn("key", order), ["key"], F.substring("key", 1, 3), ["feature", "repeat"])
+    dealt = positions(trials.withColumn("key", order), ["key"], ["feature", "repeat"])
     dealt = dealt.join(test, "id").select("feature", "repeat", "pos", value.alias("other"))
     mixed = trials.join(place, "id").join(dealt, ["feature", "repeat", "pos"]).join(test, "id").select("feature", "repeat", "id", "y", "other", *features)
     mixed = mixed.unionByName(test.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), "id", "y", F.lit(0.0).alias("other"), *features))

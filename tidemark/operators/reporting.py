@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import positions
+from tidemark.operators.evaluation import order_statistics
 from tidemark.operators.grading import exact_match, field_accuracy, macro_f1
 
 # Order in which extractors are reported.
@@ -45,13 +45,13 @@ def character_savings(prepared: DataFrame, p: str = "p") -> DataFrame:
 def throughput(results: DataFrame, wall_s: float) -> DataFrame:
     """Tokens of the successful results a second of wall time, seconds a document, and the upper median and maximum of all latencies."""
     tokens = lambda c: F.sum(F.when(F.col("ok"), F.col(c)))
-    half = results.agg(F.floor(F.count("*") / 2).cast("long").alias("half"))
-    upper = positions(results.select("latency_s"), ["latency_s"]).join(F.broadcast(half), F.col("pos") == F.col("half")).select(F.col("latency_s").alias("latency_median"))
+    n = results.where("latency_s is not null").count()
+    upper = order_statistics(results, "latency_s", [n // 2], n=n)[0] if n else None
     out = results.agg(
         F.count("*").alias("docs"), F.count_if("ok").alias("ok"), tokens("input_tokens").alias("prompt_tokens"), (tokens("input_tokens") / wall_s).alias("prompt_per_s"), tokens("output_tokens").alias("output_tokens"),
         (tokens("output_tokens") / wall_s).alias("output_per_s"), (F.lit(wall_s) / F.count("*")).alias("s_per_doc"), F.max("latency_s").alias("latency_max"),
     )
-    return out.join(F.broadcast(upper))
+    return out.withColumn("latency_median", F.lit(upper).cast("double"))
 
 
 def quality_table(fields: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import placed
+
 
 def draw(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
@@ -29,8 +31,7 @@ def proportional_strata(rows: DataFrame, stratum: str, key: str, n: int, seed: i
 
 def abba_arms(rows: DataFrame, size: str, key: str, n_per_arm: int) -> DataFrame:
     """Two arms of like sizes: rows by size, evenly spaced, taken in pairs whose order alternates (A B, B A, ...)."""
-    by_size = Window.partitionBy().orderBy(size, key)
-    ranked = rows.select(size, key).withColumn("r", F.row_number().over(by_size) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    ranked = placed(rows.select(size, key), [F.col(size), F.col(key)], name="r").withColumn("n", F.lit(rows.count()))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / (2 * n_per_arm))).cast("int")
     picked = ranked.where((F.col("r") % step == 0) & (F.col("r") / step < 2 * n_per_arm)).withColumn("i", (F.col("r") / step).cast("int"))
     return picked.select(key, size, F.when(F.pmod("i", F.lit(4)).isin(0, 3), "A").otherwise("B").alias("arm"))

@@ -16,8 +16,10 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import extraction, grading, sampling
 from tidemark.operators import features as FT
 from tidemark.operators import panel as P
+from tidemark.operators.ranks import placed
 from tidemark.plans import text_sql
 from tidemark.sources import landed as L
+from tidemark.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,8 +128,8 @@ def drop_reasons(spark, d):
 
 @query(f"WITH {PANEL} SELECT count(*) AS n, count(DISTINCT ticker) AS tickers, min(t0) AS first_day, max(t0) AS last_day, round(avg(CAST(vol_expansion > 1.5 AS INTEGER)), 6) AS positive_share, round(median(vol_expansion), 6) AS median_expansion FROM lab WHERE drop_reason IS NULL")
 def label_summary(spark, d):
-    kept = labelled(spark, d).where("drop_reason is null")
-    return kept.agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("tickers"), F.min("t0").alias("first_day"), F.max("t0").alias("last_day"), r6(F.avg("y")).alias("positive_share"), r6(F.percentile("vol_expansion", 0.5)).alias("median_expansion"))
+    kept = written(labelled(spark, d).where("drop_reason is null").select("ticker", "t0", "y", "vol_expansion"), "labels")
+    return kept.agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("tickers"), F.min("t0").alias("first_day"), F.max("t0").alias("last_day"), r6(F.avg("y")).alias("positive_share")).join(F.broadcast(E.quantiles(kept, "vol_expansion", [0.5]).select(r6(F.col("quantiles")[0]).alias("median_expansion"))))
 
 
 @query(f"WITH {PANEL} SELECT id, least(greatest(coalesce(date_diff('day', lag(t0) OVER (PARTITION BY ticker ORDER BY t0, id), t0), 91), 0), 250) AS days_since_prev FROM ev")
@@ -228,23 +230,45 @@ a AS (SELECT b, c, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc
 x AS (SELECT b, sum(CASE WHEN c = 1 THEN auc ELSE -auc END) AS da, sum(CASE WHEN c = 1 THEN -brier ELSE brier END) AS db FROM a GROUP BY 1)
 SELECT count(*) AS rounds, round(avg(da), 6) AS d_auc, round(quantile_cont(da, 0.025), 6) AS auc_low, round(quantile_cont(da, 0.975), 6) AS auc_high, round(avg((da > 0)::INT), 6) AS p_auc, round(avg(db), 6) AS d_brier, round(quantile_cont(db, 0.025), 6) AS brier_low, round(quantile_cont(db, 0.975), 6) AS brier_high FROM x""")
 def paired_bootstrap(spark, d):
-    from pyspark.sql import Window
-
-    pairs = scored(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy().orderBy("doc_id")) - 1).cast("long"))
+    pairs = placed(scored(spark, d), [F.col("doc_id")], name="i")
     out = E.paired_bootstrap(pairs.select("i", "y", F.col("p").alias("p_base"), F.col("p2").alias("p_cand")), 100)
     return out.select("rounds", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
-@query()
-def paired_bootstrap_10000(spark, d):
-    """paired_bootstrap with the reference's 10,000 resamples."""
-    from pyspark.sql import Window
+_MOD, _M1, _M2, _M3 = 1 << 64, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-    pairs = scored(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy().orderBy("doc_id")) - 1).cast("long"))
-    out = E.paired_bootstrap(pairs.select("i", "y", F.col("p").alias("p_base"), F.col("p2").alias("p_cand")), 10_000)
+
+def poisson_sql(rounds: int) -> str:
+    """Weights of rows by round and what they give, as bootstrap_vectors draws them."""
+    mixed = lambda z, k, m: f"CAST(CAST(xor({z}, {z} >> {k}) AS UHUGEINT) * {m} % {_MOD} AS UBIGINT)"
+    weight = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in E.POISSON)
+    return f"""WITH {SCORED}, z0 AS (SELECT doc_id, y, p, p2, b, CAST((CAST(doc_id AS UHUGEINT) * {_M1} % {_MOD} + {42 * _M3 % _MOD} + CAST(b AS UHUGEINT) * {_M2} % {_MOD}) % {_MOD} AS UBIGINT) AS z FROM s, range({rounds}) t(b)),
+z1 AS (SELECT * REPLACE ({mixed('z', 30, _M2)} AS z) FROM z0), z2 AS (SELECT * REPLACE ({mixed('z', 27, _M3)} AS z) FROM z1), w AS (SELECT *, xor(z, z >> 31) >> 11 AS u FROM z2),
+m AS (SELECT b, y, {weight} AS w, unnest([{{'c': 0, 'p': p}}, {{'c': 1, 'p': p2}}]) AS m FROM w),
+l AS (SELECT b, m.c AS c, m.p AS p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg, sum(w * (m.p - y) ** 2) AS err FROM m GROUP BY ALL),
+v AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b, c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM l),
+a AS (SELECT b, c, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc, sum(err) / sum(pos + neg) AS brier FROM v GROUP BY 1, 2),
+x AS (SELECT b, sum(CASE WHEN c = 1 THEN auc ELSE -auc END) AS da, sum(CASE WHEN c = 1 THEN -brier ELSE brier END) AS db FROM a GROUP BY 1)
+SELECT count(*) AS rounds, round(avg(da), 6) AS d_auc, round(quantile_cont(da, 0.025), 6) AS auc_low, round(quantile_cont(da, 0.975), 6) AS auc_high, round(avg((da > 0)::INT), 6) AS p_auc,
+round(avg(db), 6) AS d_brier, round(quantile_cont(db, 0.025), 6) AS brier_low, round(quantile_cont(db, 0.975), 6) AS brier_high FROM x"""
+
+
+def resampled(spark, d, rounds: int) -> DataFrame:
+    out = E.bootstrap_vectors(scored(spark, d).select(F.col("doc_id").alias("i"), "y", F.col("p").alias("p_base"), F.col("p2").alias("p_cand")), rounds)
     return out.select("rounds", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
+@query(poisson_sql(100))
+def bootstrap_vectors(spark, d):
+    return resampled(spark, d, 100)
+
+
+@query()
+def paired_bootstrap_10000(spark, d):
+    """The 10,000 resamples of the reference, by Poisson weights; bootstrap_vectors is the same with rounds that SQL can repeat."""
+    return resampled(spark, d, 10_000)
+
+
 def answers(spark, d, shift: int) -> DataFrame:
     """Long answers of a made-up run: tone, a flag, an ordinal and a number, differing with shift."""
     base = T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(f"CASE (doc_id + {shift} * (n_chars % 2)) % 4 WHEN 0 THEN 'confident' WHEN 1 THEN 'neutral' WHEN 2 THEN 'not_stated' END").alias("tone"), F.expr(f"CAST((n_chars + {shift}) % 3 = 0 AS STRING)").alias("buyback"), F.expr(f"CAST((n_chars + {shift} * (doc_id % 2)) % 4 AS STRING)").alias("hedging"), F.expr(f"CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars % 50 + {shift} * 0.5 AS STRING) END").alias("revenue"))
