@@ -16,6 +16,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import extraction, grading, sampling
 from tidemark.operators import features as FT
 from tidemark.operators import panel as P
+from tidemark.operators.asof import asof_join
 from tidemark.operators.ranks import placed
 from tidemark.plans import text_sql
 from tidemark.sources import landed as L
@@ -492,12 +493,31 @@ def price_unpivot(spark, d):
 
 @query("SELECT l_shipdate::DATE AS date, 't' || l_suppkey AS ticker, round(avg(l_extendedprice), 6) AS close, sum(l_quantity) AS volume FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2 HAVING avg(l_extendedprice) IS NOT NULL")
 def price_unpivot_all(spark, d):
-    """price_unpivot over every supplier: the wide tables have a column for each, whose list is read from the rows themselves."""
-    lines = T(spark, d, "lineitem")
-    keys = sorted(r[0] for r in lines.select("l_suppkey").where("l_suppkey is not null").distinct().collect())  # as many as wide columns
-    wide = lines.groupBy(F.to_date("l_shipdate").alias("date")).pivot("l_suppkey", keys)
-    close, volume = (wide.agg(f).select("date", *[F.col(f"`{k}`").alias(f"t{k}") for k in keys]) for f in (F.avg("l_extendedprice"), F.sum("l_quantity")))
-    return L.tidy_prices(close, volume, [f"t{k}" for k in keys]).select("date", "ticker", r6("close").alias("close"), "volume")
+    """price_unpivot over every supplier: a row for each date with maps of closes and volumes, taken apart by one explode."""
+    day = T(spark, d, "lineitem").where("l_suppkey is not null").groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit("t"), "l_suppkey").alias("ticker"))
+    cells = day.agg(F.avg("l_extendedprice").alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
+    wide = lambda name: cells.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", name))).alias(name))  # noqa: E731  a row for each day
+    return L.tidy_maps(wide("close"), wide("volume")).select("date", "ticker", r6("close").alias("close"), "volume")
+
+
+ASOF = "px AS (SELECT l_suppkey AS tick, CAST(l_shipdate AS DATE) AS dt, round(avg(l_extendedprice), 6) AS cl FROM lineitem WHERE month(l_shipdate) % 2 = 0 GROUP BY 1, 2), o AS (SELECT o_orderkey, o_custkey AS tick, CAST(o_orderdate AS DATE) AS dt FROM orders)"
+
+
+def sessions_of_orders(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Orders (a customer stands for the supplier of its number) and that supplier's days of even months, so that orders stand before, between and
+    past them, and some have none."""
+    px = T(spark, d, "lineitem").where("month(l_shipdate) % 2 = 0").groupBy(F.col("l_suppkey").alias("tick"), F.to_date("l_shipdate").alias("dt")).agg(r6(F.avg("l_extendedprice")).alias("cl"))
+    return T(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("tick"), F.to_date("o_orderdate").alias("dt")), px
+
+
+@query(f"WITH {ASOF} SELECT o_orderkey, px.dt AS matched_dt, cl FROM o ASOF LEFT JOIN px ON o.tick = px.tick AND o.dt >= px.dt")
+def asof_backward(spark, d):
+    return asof_join(*sessions_of_orders(spark, d), "dt", ["tick"]).select("o_orderkey", "matched_dt", "cl")
+
+
+@query(f"WITH {ASOF} SELECT o_orderkey, px.dt AS matched_dt, cl FROM o ASOF LEFT JOIN px ON o.tick = px.tick AND o.dt < px.dt")
+def asof_forward_strict(spark, d):
+    return asof_join(*sessions_of_orders(spark, d), "dt", ["tick"], "forward", strict=True).select("o_orderkey", "matched_dt", "cl")
 
 
 @query("""WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS ticker, CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS cik, coalesce(n, 0) AS n_filings,

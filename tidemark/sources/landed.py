@@ -167,10 +167,24 @@ def read_settings(text: str) -> dict:
     return block(0, lines[0][0])[0] if lines else {}
 
 
+def as_map(wide: DataFrame, name: str, key: str = "date") -> DataFrame:
+    """(key, name): a wide table's other columns as one map from their names to doubles; the plan doesn't grow with the columns."""
+    cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide.columns if c != key]))
+    return wide.select(F.to_date(key).alias(key), F.from_json(cells, "map<string,double>").alias(name))
+
+
+def tidy_maps(close: DataFrame, volume: DataFrame) -> DataFrame:
+    """(date, ticker, close, volume) from a row for each date with a map of closes and one of volumes, by ticker, that meet by date. Cells
+    without a close are dropped, a missing volume is null; of rows that repeat a date all cells are given."""
+    both = close.join(volume, "date", "left")
+    cells = F.map_zip_with("close", F.coalesce("volume", F.create_map().cast("map<string,double>")), lambda k, c, v: F.struct(c.alias("close"), v.alias("volume")))
+    return both.select("date", F.explode(cells).alias("ticker", "cell")).select("date", "ticker", "cell.*").where("close is not null")
+
+
 def tidy_prices(close: DataFrame, volume: DataFrame, tickers: list[str]) -> DataFrame:
-    """(date, ticker, close, volume) from wide tables; rows without a close are dropped, a missing volume is null."""
-    long = lambda df, name: df.unpivot("date", tickers, "ticker", name).withColumn("date", F.to_date("date"))
-    return long(close, "close").where("close is not null").join(long(volume, "volume"), ["date", "ticker"], "left")
+    """(date, ticker, close, volume) from wide tables with a column for each ticker; rows without a close are dropped, a missing volume is null."""
+    only = lambda df, name: as_map(df.select("date", *[F.col(f"`{t}`") for t in tickers]), name)
+    return tidy_maps(only(close, "close"), only(volume, "volume"))
 
 
 def universe(tickers: DataFrame, ciks: DataFrame, counts: DataFrame, least: int = 8) -> DataFrame:
