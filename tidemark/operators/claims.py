@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,32 +98,78 @@ def claims_schema() -> dict:
     return {"type": "object", "properties": {f: one(f) for f in TYPES}, "required": [f for f in TYPES if f not in NUMERIC], "additionalProperties": False}
 
 
-def called(docs: DataFrame, call: Callable[[str], dict], key: str = "accession", text: str = "text", retries: int = 4, wait: float = 4.0, most_wait: float = 60.0) -> DataFrame:
+class Busy(Exception):
+    """What a service raises that would answer later: it is asked again after `wait` seconds, or after the usual wait."""
+
+    def __init__(self, why: str = "busy", wait: float | None = None):
+        super().__init__(why)
+        self.wait = wait
+
+
+#: Errors that may pass; all others (a refusal, a fault in the program) are final at once.
+PASSING = (ConnectionError, TimeoutError, Busy)
+
+
+class Bucket:
+    """Leave to call, at a steady rate, for the threads of one task."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                at = self.next = max(time.monotonic(), self.next + self.gap)
+            time.sleep(max(0.0, at - time.monotonic()))
+
+
+def called(
+    docs: DataFrame, call: Callable[[str], dict], key: str = "accession", text: str = "text", retries: int = 4, wait: float = 4.0, most_wait: float = 60.0,
+    in_flight: int = 1, per_second: float | None = None, tasks: int | None = None, passing: tuple = PASSING, check: Callable[[], None] | None = None,
+) -> DataFrame:
     """docs' keys with ok, error, answer (JSON text), token counts and latency of call(text), which gives a dict with `answer` and
-    perhaps counts, or raises. A call is tried `retries` times, with waits that double; a row whose tries all fail, or that has no
-    text, is not ok and says why: a document never ends the run. Answers are validated apart (validate)."""
+    perhaps counts, or raises. A document never ends the run: a row whose tries all fail, or that has no text, is not ok and says why. Errors of
+    the classes `passing` are tried `retries` times, with waits that double; any other is final. Answers are validated apart (validate).
+
+    A task has up to in_flight calls at a time, and gives its rows in their order. per_second bounds the calls of the whole run: the rows are dealt
+    to `tasks` tasks, each of which has its share of the rate (so both must be given). check is called once, before the run, and ends it if it
+    raises: a service that isn't there, or lacks a model, is told of before any document is read."""
+    if per_second and not tasks:
+        raise ValueError("a rate is shared among a stated number of tasks")
+    if check:
+        check()
     counts = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
+    share = per_second / tasks if per_second else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(share)
+
         def one(value):
             began, error = time.perf_counter(), "ValueError: no text"
             for attempt in range(retries if value is not None else 0):
+                bucket.wait()
                 try:
                     got = call(value)
                     return (True, None, got["answer"], *(int(got.get(c, 0)) for c in counts), time.perf_counter() - began)
                 except Exception as e:  # whatever a service raises
                     error = f"{type(e).__name__}: {e}"
+                    if not isinstance(e, passing):
+                        break
                     if attempt + 1 < retries:
-                        time.sleep(min(most_wait, wait * 2**attempt))
+                        told = getattr(e, "wait", None)
+                        time.sleep(min(most_wait, wait * 2**attempt) if told is None else told)
             return (False, error, None, 0, 0, 0, 0, time.perf_counter() - began)
 
-        for pdf in batches:
-            out = pd.DataFrame([one(v) for v in pdf[text]], columns=["ok", "error", "answer", *counts, "latency_s"])
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                out = pd.DataFrame(list(pool.map(one, pdf[text])), columns=["ok", "error", "answer", *counts, "latency_s"])
+                out.insert(0, key, pdf[key].to_numpy())
+                yield out
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, ok boolean, error string, answer string, " + ", ".join(f"{c} long" for c in counts) + ", latency_s double")
+    rows = docs.select(key, text)
+    rows = rows.repartition(tasks) if tasks else rows
+    return rows.mapInPandas(run, f"{key} {kind}, ok boolean, error string, answer string, " + ", ".join(f"{c} long" for c in counts) + ", latency_s double")
 
 
 def extracted_by(docs: DataFrame, call: Callable[[str], dict], **how) -> DataFrame:

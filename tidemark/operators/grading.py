@@ -45,11 +45,12 @@ def exact_match(rows: DataFrame) -> DataFrame:
 
 
 def abstention(rows: DataFrame) -> DataFrame:
-    """By field: precision and recall of answering at all, and the rate of answers where gold has none."""
+    """By field: how often gold and prediction abstain, precision and recall of abstaining, and the rate of answers where gold has none."""
     none = lambda c: F.col(c).isNull() | F.col(c).isin(*ABSTAINED)
     r = rows.select("field", none("pred").alias("p"), none("gold").alias("g"))
     n = lambda c: F.count_if(c)
     return r.groupBy("field").agg(
+        F.avg(F.col("g").cast("double")).alias("gold_abstention_rate"), F.avg(F.col("p").cast("double")).alias("pred_abstention_rate"),
         F.try_divide(n(F.col("p") & F.col("g")).cast("double"), n(F.col("p")).cast("double")).alias("abstain_precision"),
         F.try_divide(n(F.col("p") & F.col("g")).cast("double"), n(F.col("g")).cast("double")).alias("abstain_recall"),
         F.try_divide(n(~F.col("p") & F.col("g")).cast("double"), n(F.col("g")).cast("double")).alias("over_answer_rate"),
@@ -64,7 +65,9 @@ def confidence_calibration(rows: DataFrame, confidence: DataFrame) -> DataFrame:
 
 def modal_agreement(runs: DataFrame) -> DataFrame:
     """By field: mean share of the most frequent answer over repeated runs, and the share of unanimous ids, over ids that all runs
-    have. runs: run, id, field, answer."""
+    have. runs: run, id, field, answer. An error for fewer than two runs."""
+    if runs.select("run").distinct().limit(2).count() < 2:
+        raise ValueError("agreement needs two runs or more")
     k = runs.agg(F.count_distinct("run").alias("k"))
     full = runs.groupBy("id").agg(F.count_distinct("run").alias("seen")).join(F.broadcast(k), F.col("seen") == F.col("k")).select("id", "k")
     answers = runs.join(full, "id").groupBy("id", "field", "k", "answer").agg(F.count("*").alias("c"))

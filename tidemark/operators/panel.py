@@ -75,13 +75,24 @@ def event_timing(events: DataFrame, days: DataFrame, accepted: str = "accepted",
     return at.withColumn("t0", t0).drop("wall", "is_session", "next_session")
 
 
-def market_before(days: DataFrame, market: DataFrame) -> DataFrame:
+def window_past_end(returns: DataFrame, pre: int = 20) -> DataFrame:
+    """One row (last_session, rv_past): what the first day after the last session would see before it."""
+    last = returns.select("date", "log_return").orderBy(F.desc("date")).limit(pre)
+    return last.agg(F.max("date").alias("last_session"), realized_vol(F.col("log_return")).alias("rv_past"))
+
+
+def market_before(days: DataFrame, market: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """(date, rv_market_pre) of the days and of the market's sessions. On a day that is none, the sessions before it are those before
-    the market's next session, whose window is taken; past the last session there is none. Both tables are as large as a span of days."""
+    the market's next session, whose window is taken; past the last session it is that of `past` (window_past_end), or null without it. Both
+    tables are as large as a span of days."""
     known = market.select("date", F.struct("rv_pre").alias("seen"))
     both = known.unionByName(days.where("date is not null").distinct().join(known, "date", "left_anti").withColumn("seen", F.lit(None).cast(known.schema["seen"].dataType)))
     ahead = Window.partitionBy().orderBy("date").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.select("date", F.first("seen", ignorenulls=True).over(ahead)["rv_pre"].alias("rv_market_pre"))
+    out = both.select("date", F.first("seen", ignorenulls=True).over(ahead)["rv_pre"].alias("rv_market_pre"))
+    if past is None:
+        return out
+    after = F.col("date") > F.col("last_session")
+    return out.join(F.broadcast(past)).select("date", F.when(after, F.col("rv_past")).otherwise(F.col("rv_market_pre")).alias("rv_market_pre"))  # one row
 
 
 def padded_start(day: Column, days: int = 120) -> Column:
@@ -89,13 +100,14 @@ def padded_start(day: Column, days: int = 120) -> Column:
     return F.date_sub(day, days)
 
 
-def event_labels(events: DataFrame, windows: DataFrame, market: DataFrame, threshold: float = 1.5, min_pre: int = 15, min_post: int = 5) -> DataFrame:
+def event_labels(events: DataFrame, windows: DataFrame, market: DataFrame, threshold: float = 1.5, min_pre: int = 15, min_post: int = 5, past: DataFrame | None = None) -> DataFrame:
     """events (id, ticker, t0, ...) with both volatilities, controls, drop_reason (null: kept), vol_expansion and label y.
 
-    The first reason that holds is given, in a fixed order. windows: event_windows of the tickers; market: of the market proxy.
+    The first reason that holds is given, in a fixed order. windows: event_windows of the tickers; market: of the market proxy;
+    past: its window_past_end.
     """
     known = windows.select("ticker").distinct().withColumn("has_prices", F.lit(True))
-    market = market_before(events.select(F.col("t0").alias("date")), market).withColumnRenamed("date", "t0")
+    market = market_before(events.select(F.col("t0").alias("date")), market, past).withColumnRenamed("date", "t0")
     at = windows.withColumnRenamed("date", "t0").withColumn("has_day", F.lit(True))
     out = events.join(known, "ticker", "left").join(at, ["ticker", "t0"], "left").join(market, "t0", "left")
     reason = (

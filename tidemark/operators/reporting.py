@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import order_statistics
+from tidemark.operators.evaluation import auc, order_statistics
 from tidemark.operators.grading import exact_match, field_accuracy, macro_f1
+from tidemark.sources import tables
 
 # Order in which extractors are reported.
 EXTRACTOR_ORDER = ["baseline", "local", "local-sample", "claude"]
@@ -73,6 +74,55 @@ def extractor_names(names: DataFrame, prefix: str, suffix: str) -> DataFrame:
     return found.select("name", F.when(known > 0, known - 1).otherwise(len(EXTRACTOR_ORDER)).cast("int").alias("place")).orderBy("place", "name")
 
 
+#: Results of stages that a report knows, in the order of its sections: stage, heading.
+SECTIONS = [
+    ("events", "Dataset"), ("timing", "Release timing"), ("extraction_stats", "Extraction"), ("extraction_summary", "Extraction quality"), ("extraction_fields", "Accuracy by field"),
+    ("consistency", "Extraction stability"), ("ablation", "Prediction"), ("reliability", "Calibration"), ("importance", "Permutation importance"),
+]
+MANIFEST = "stage string, extractor string, version string, at timestamp, path string"
+
+
+def record_stage(result: DataFrame, root: str, stage: str, extractor: str = "", version: str = "1") -> None:
+    """Keep a stage's result as a table under root, and add it to root's manifest once it is whole."""
+    spark = result.sparkSession
+    path = f"{root}/results/{stage}-{extractor or 'all'}-{version}"
+    tables.replace(result, path)
+    row = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(extractor).alias("extractor"), F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(path).alias("path"))
+    tables.append(row, f"{root}/manifest")
+
+
+def stage_results(spark: SparkSession, root: str) -> DataFrame:
+    """stage, extractor, version, at, path: the latest record of each (stage, extractor), in the order of reporting."""
+    all_ = tables.read(spark, f"{root}/manifest", spark.createDataFrame([], MANIFEST).schema)
+    last = all_.groupBy("stage", "extractor").agg(F.max_by(F.struct("version", "at", "path"), F.struct("at", "version")).alias("r")).select("stage", "extractor", "r.*")
+    place = lambda c, known: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), c), F.lit(0)), F.lit(len(known) + 1))
+    return last.orderBy(place(F.col("stage"), [s for s, _ in SECTIONS]), place(F.col("extractor"), EXTRACTOR_ORDER), "stage", "extractor")
+
+
+def assembled_report(spark: SparkSession, root: str, title: str = "Results", digits: int = 4) -> str:
+    """The Markdown report of what root's manifest names; a stage that has not run leaves its section out."""
+    heads = dict(SECTIONS)
+    found = [(heads.get(r.stage, r.stage) + (f" - {r.extractor}" if r.extractor else ""), tables.read(spark, r.path)) for r in stage_results(spark, root).collect()]  # as many as stages
+    return markdown_report(title, found, digits)
+
+
+def ablation_table(scored: DataFrame, base: str = "controls_only", bins: int = 10) -> DataFrame:
+    """feature_set, auc, brier, brier_skill, and what each gains over `base`: d_auc, d_skill (null where that is missing). scored: feature_set, y, p; the
+    skill is against the share of positives in the set's own rows."""
+    areas = auc(scored, ["feature_set"])
+    rate = scored.groupBy("feature_set").agg(F.avg(F.col("y").cast("double")).alias("rate"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
+    known = areas.join(rate, "feature_set").select("feature_set", "auc", "brier", (1 - F.try_divide("brier", F.col("rate") * (1 - F.col("rate")))).alias("brier_skill"))
+    over = known.where(F.col("feature_set") == base).agg(F.first("auc").alias("a"), F.first("brier_skill").alias("s"))
+    return known.join(F.broadcast(over)).select("*", (F.col("auc") - F.col("a")).alias("d_auc"), (F.col("brier_skill") - F.col("s")).alias("d_skill")).drop("a", "s")
+
+
+def consistency_table(agreement: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
+    """field, agreement, unanimous, place (from the least stable, ties by name), and the accuracy of the field where it was graded."""
+    graded = agreement.sparkSession.createDataFrame([], "field string, accuracy double") if accuracy is None else accuracy.select("field", "accuracy")
+    place = F.row_number().over(Window.partitionBy().orderBy("agreement", "field"))  # a row for each field
+    return agreement.join(graded, "field", "left").select("field", "agreement", "unanimous", "accuracy", place.alias("place"))
+
+
 def markdown_report(title: str, sections: list[tuple[str, DataFrame | None]], digits: int = 4) -> str:
     """Sections of small result tables as Markdown; those whose stage has not run (None) are left out."""
     out = [f"# {title}"]

@@ -565,4 +565,4 @@ def perm_importance(spark, d):
     return permutation_importance(m.withColumn("y", F.col("y").cast("int")), blocks["control"], kind="gbm")
 
 
-from tidemark.plans import service  # noqa: E402, F401  more queries, registered beside these
+from tidemark.plans import service, stored  # noqa: E402, F401  more queries, registered beside these
