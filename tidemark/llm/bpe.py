@@ -22,8 +22,9 @@ SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() treats as white space and the patterns do not.
 _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
-#: Entries that a worker's memo may hold before it starts anew; bounds memory, never results.
-MEMO_ENTRIES = 400_000
+#: What a worker's memos may hold before they start anew; they bound memory, never results. Of chunks: bytes, an entry being some 320 and three
+#: for each character; of pre-tokens and prefixes of up to 64 symbols, and of seams: entries of some 200, 150 and 110 bytes.
+CHUNK_BYTES, PIECES, PREFIXES, SEAMS = 90_000_000, 200_000, 150_000, 200_000
 #: Characters handled at a time, cut at white space, where no token can cross.
 BLOCK_CHARS = 1 << 20
 
@@ -151,7 +152,7 @@ class Transducer:
         key = a << 20 | b
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > MEMO_ENTRIES:
+            if len(self.fits) > SEAMS:
                 self.fits.clear()
             known = self.fits[key] = self._seam(a, b)
         return known
@@ -238,7 +239,7 @@ class Transducer:
         """Vocabulary ids of one pre-token, given as the stand-ins of its bytes."""
         known = self.pieces.get(word)
         if known is None:
-            if len(self.pieces) > MEMO_ENTRIES:
+            if len(self.pieces) > PIECES:
                 self.pieces.clear()
             if len(word) <= 64:
                 known = self.pieces[word] = self._short(word)
@@ -253,9 +254,9 @@ class Transducer:
         token = tokens.get(full)
         if token is not None:
             return (ids[token],)
-        if len(prefixes) > MEMO_ENTRIES:
+        if len(prefixes) > PREFIXES:
             prefixes.clear()
-        if len(fits) > MEMO_ENTRIES:
+        if len(fits) > SEAMS:
             fits.clear()
         n = len(word)
         at = n - 1 if suffix else n
@@ -390,13 +391,15 @@ class _Memo(dict):
     """chunk -> what make(chunk) gives; emptied when full. Long chunks are not kept."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.bytes = make, 0
 
     def __missing__(self, chunk):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
         out = self.make(chunk)
         if len(chunk) <= 256:
+            self.bytes += 320 + 3 * len(chunk)
+            if self.bytes > CHUNK_BYTES:
+                self.clear()
+                self.bytes = 0
             self[chunk] = out
         return out
 
@@ -419,9 +422,8 @@ def _worker(shared) -> dict:
             return "".join(map(d.feed, struct.unpack(f"<{len(ids) // 4}I", ids))) + d.close()
 
         return {
-            "ids": _Memo(lambda c: struct.pack(f"<{len(x)}I", *x) if (x := t.ids(c)) else b""),
+            "both": _Memo(lambda c: (y := struct.pack(f"<{len(x)}I", *x), decoded(y)) if (x := t.ids(c)) else (b"", "")),
             "count": _Memo(t.count),
-            "text": _Memo(decoded),
             "joined": shared.value.joined_decoding,
         }
 
@@ -450,7 +452,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches):
         w = _worker(shared)
-        ids_of, text_of = w["ids"].__getitem__, w["text"].__getitem__
+        both_of = w["both"].__getitem__
         glue = " " if w["joined"] else ""
         for batch in batches:
             n, hid, hdec, kid, ktext = [], [], [], [], []
@@ -458,10 +460,10 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 a, b, count, begun = hashlib.sha256(), hashlib.sha256(), 0, False
                 raw, out = [], []
                 for chunks in blocks(text.as_py()):
-                    got = [x for x in map(ids_of, chunks) if x]
+                    got = [x for x in map(both_of, chunks) if x[0]]
                     if not got:
                         continue
-                    one, two = b"".join(got), glue.join(map(text_of, got))
+                    one, two = b"".join([x for x, _ in got]), glue.join([x for _, x in got])
                     two = glue + two if begun else two
                     begun = True
                     a.update(one)
