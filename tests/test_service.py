@@ -221,7 +221,22 @@ def test_sql_of_rules_equals_the_rules(spark):
 def test_sql_of_markup_equals_the_rules(spark):
     r = random.Random(14)
     bits = "<p>|</p>|<br/>|<td>x</td>|</tr>|<div\n>|<script>a<b</script>|<STYLE x>p{}</style>|&amp;|&#8217;|&#x2014;|&euro;|&#128;|&#0;|&#99999999;|&#x110000;|&nope;|&amp|&|&#;|&nbsp;|&notin;".split("|")
+    bits += ["<!-- a > b -->", "<!--", "-->", "<p title='1>2'>", '<a b="x>y" c>', "</SCRIPT >", "</td >", "<br clear='>'/>", "&ampb", "&notit;", "&notinx", "<ul>", "</ul>", "< ", "<!x>", "<?y?>"]
     bits += [" ", "\t", "\n", "\r\n", "\x1f", "\x85", "\u2009", "\u2019", "Document", "EX-99.1", "12", "a.htm", "word"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(1000)] + [""]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.html_to_text(F.col("t")).alias("text")).toPandas()
     assert canonical(got) == canonical(by_sql(text_sql.markup("given", "i", "t"), texts))
+
+
+def test_markup_is_read_as_browsers_do(spark):
+    import html
+
+    cases = {
+        "<!-- a > b -->x": "x", "<p title='1>2'>y": "y", "a<SCRIPT>z</p></SCRIPT >b": "ab", "a < b > c": "a < b > c", "<!-- <script> -->k<p>z</p>": "k z", "<style>q": "", "<!-- q": "",
+        "<td class=\"a>b\">1</td><td>2</td >3<br clear='>'/>4": "1 2 3\n4", "<a href=x'>it's</a> ok's": "it's ok's", "<script>'<!--'</script>x<!-- y -->": "x", "<li>one</li></ul>two": "one\n\ntwo", "<p a='<script>'>t</p>": "t",
+    }
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("t", X.html_to_text(F.col("t")).alias("text")).collect()
+    assert {r.t: r.text for r in got} == cases
+    said = ["&ampb", "&notit;", "&copy &copyx &amp;lt; &am &notin; &notinx &AMP; &ltgt &hellip &hellip;", "&" + "a" * 40, "&sup2x&sup2;&sup", "&Aacutex;&Aacut"]
+    got = spark.createDataFrame(list(enumerate(said)), "i int, t string").orderBy("i").select(X.unescape(F.col("t"))).collect()
+    assert [r[0] for r in got] == [html.unescape(x) for x in said]

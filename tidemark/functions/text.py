@@ -57,9 +57,15 @@ NEEDS = {
     "executive_transition": ["chief executive", "chief financial", "ceo", "cfo"], "segment_weakness_disclosed": ["segment", "region", "division", "business"], "one_time_items": ["time", "recurring", "unusual item", "discrete item"],
 }
 PREAMBLE = r"(?:EX-\d+(?:\.\d+)*|\d{1,3}|[\w\-.]+\.(?:html?|txt)|Document)"
-BLOCK_TAGS = "p|div|tr|h[1-6]|li|table"
+BLOCK_TAGS = "p|div|tr|h[1-6]|li|ul|ol|table"
+#: What stands in a tag after its name: quoted values may hold anything.
+ATTRIBUTES = r"""(?:[\s/](?:[^"'>=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*{hold})?"""
 #: Named entities with their closing semicolon, as the standard library lists them.
 ENTITIES = {f"&{name}": by for name, by in html5.items() if name.endswith(";")}
+#: Names that are references without it, too.
+LEGACY = {name: by for name, by in html5.items() if not name.endswith(";")}
+#: Names that most references have; they are looked at before all others.
+COMMON = "amp lt gt quot apos nbsp copy reg middot ndash mdash rsquo lsquo rdquo ldquo bull hellip".split()
 #: What numeric references to the control range of Windows-1252 mean.
 _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
 
@@ -155,9 +161,27 @@ def _claims(body: Column, low: Column, folded: Column) -> Column:
     )
 
 
+def legacy_names() -> str:
+    return "|".join(sorted(LEGACY, key=lambda n: (-len(n), n)))
+
+
+def markup_steps(hold: str = "") -> list[tuple[str, str]]:
+    """(pattern, what takes its place: a word for a line feed, tab, blank or the first group) that take markup off, in order. Scripts, styles and comments go
+    whole, read from left to right with the tags around them, so that none is found in another or in a quoted value. hold: what keeps
+    an engine that backtracks from reading a tag in two ways."""
+    more = ATTRIBUTES.format(hold=hold)
+    raw = "|".join(f"<{n}{more}>.*?(?:</{n}(?:[\\s/][^>]*)?>|\\z)" for n in ("script", "style"))
+    return [
+        (f"(?is){raw}|<!--(?:-?>|.*?(?:--!?>|\\z))|(</?[a-z][^\\s/>]*{more}>)", "group"),
+        (f"(?i)</(?:{BLOCK_TAGS}){more}>", "line"), (f"(?i)</(?:td|th){more}>", "tab"), (f"(?i)<br{more}>", "line"), (f"(?i)</?[a-z][^\\s/>]*{more}>|<[!?/][^>]*>", "blank"),
+    ]
+
+
 def unescape(c: Column) -> Column:
     """Numeric and named character references decoded, each once; what is none stays as it is."""
     known = F.create_map(*[F.lit(x) for name, by in ENTITIES.items() for x in (name[1:-1], by)])
+    common = F.create_map(*[F.lit(x) for name in COMMON for x in (name, ENTITIES[f"&{name};"])])
+    legacy = F.create_map(*[F.lit(x) for pair in LEGACY.items() for x in pair])
     windows = F.create_map(*[F.lit(x) for n, by in _WINDOWS.items() if by for x in (n, by)])
 
     def numeric(n: Column) -> Column:
@@ -173,8 +197,10 @@ def unescape(c: Column) -> Column:
         hexed = F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)
         number = F.when(F.lower(F.left(name, F.lit(2))) == "#x", hexed).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("decimal(20,0)").try_cast("long")
         number = F.when(F.length(name) > 12, F.lit(0xFFFFFF).cast("long")).otherwise(number)
-        by = F.when(F.left(name, F.lit(1)) == "#", numeric(number)).when(end == ";", F.element_at(known, name))
-        return F.when(by.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(by, rest))
+        by = F.when(F.left(name, F.lit(1)) == "#", numeric(number)).when(end == ";", F.coalesce(F.element_at(common, name), F.element_at(known, name)))
+        short = F.regexp_extract(x, f"^(?:{legacy_names()})", 0)  # the longest name that needs no semicolon
+        cut = F.concat(F.element_at(legacy, short), F.substring(x, F.length(short) + 1, F.length(x)))
+        return F.coalesce(F.concat(by, rest), cut, F.concat(F.lit("&"), x))
 
     parts = F.split(c, "&")
     tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
@@ -182,11 +208,10 @@ def unescape(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text of markup by tag rules: block ends and <br> become line feeds, cells tabs, other tags blanks; references decoded; quotes straightened; white space collapsed; a leading preamble of at most eight lines dropped."""
-    for name in ("script", "style"):
-        c = F.regexp_replace(c, rf"(?is)<{name}\b.*?</{name}>", " ")
-    for pattern, by in ((f"(?i)</(?:{BLOCK_TAGS})>", "\n"), (r"(?i)</(?:td|th)>", "\t"), (r"(?i)<br\s*/?>", "\n"), ("<[^>]+>", " ")):
-        c = F.regexp_replace(c, pattern, by)
+    """Text of markup by tag rules: scripts, styles and comments go; block ends and <br> become line feeds, cells tabs, other tags blanks; references decoded;
+    quotes straightened; white space collapsed; a leading preamble of at most eight lines dropped. A `<` that begins no tag is text."""
+    for pattern, by in markup_steps("+"):
+        c = F.regexp_replace(c, pattern, {"group": "$1", "line": "\n", "tab": "\t", "blank": " "}[by])
     c = unescape(c)
     c = F.translate(c, "\u2019\u201c\u201d", "'\"\"")
     c = F.regexp_replace(c, "[ \\t\u00a0]+", " ")

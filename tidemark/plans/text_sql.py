@@ -70,7 +70,8 @@ def unescape(text: str) -> str:
     by = f"CASE WHEN p.name LIKE '#%' THEN {whole} WHEN p.semi = ';' THEN {_named({k[1:-1]: v for k, v in X.ENTITIES.items()})}[p.name] END"
     parts = f"string_split({text}, '&')"
     pieces = f"list_transform(list_transform({parts}[2:], lambda x: {read}), lambda p: {{'x': p.x, 'name': p.name, 'semi': p.semi, 'n': CASE WHEN p.name LIKE '#%' THEN {number} END}})"
-    decoded = f"list_transform({pieces}, lambda p: coalesce({by} || substr(p.x, length(p.name) + length(p.semi) + 1), '&' || p.x))"
+    short = f"{_named(X.LEGACY)}[regexp_extract(p.x, '^(?:{X.legacy_names()})')] || substr(p.x, length(regexp_extract(p.x, '^(?:{X.legacy_names()})')) + 1)"
+    decoded = f"list_transform({pieces}, lambda p: coalesce({by} || substr(p.x, length(p.name) + length(p.semi) + 1), {short}, '&' || p.x))"
     return f"{parts}[1] || array_to_string({decoded}, '')"
 
 
@@ -80,8 +81,7 @@ def markup(table: str, key: str, html: str) -> str:
     preamble = X.PREAMBLE.replace(r"\d", r"\p{Nd}").replace(r"\w", r"\pL\pM\p{Nd}\p{Pc}")
     swap = lambda pattern, by, c="c", all_="g": f"regexp_replace({c}, {_quoted(pattern)}, {by}, '{all_}')"
     strip = lambda c: swap(rf"^{SPACE}+|{SPACE}+$", "''", c)
-    steps = [swap(rf"(?is)<{n}\b.*?</{n}>", "' '") for n in ("script", "style")]
-    steps += [swap(f"(?i)</(?:{X.BLOCK_TAGS})>", "chr(10)"), swap("(?i)</(?:td|th)>", "chr(9)"), swap(r"(?i)<br\s*/?>", "chr(10)"), swap("<[^>]+>", "' '"), unescape("c")]
+    steps = [swap(pattern, {"group": r"'\1'", "line": "chr(10)", "tab": "chr(9)", "blank": "' '"}[by]) for pattern, by in X.markup_steps()] + [unescape("c")]
     steps += ["translate(c, chr(8217) || chr(8220) || chr(8221), chr(39) || chr(34) || chr(34))", swap(r"[ \t\x{a0}]+", "' '"), swap(r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "chr(10)")]
     steps += [swap(rf"(?m)^{line}+|{line}+$", "''"), strip(swap(r"\n{3,}", "chr(10) || chr(10)")), strip(swap(rf"(?i)^(?:(?:{preamble})?(?:\n|\z)){{0,8}}", "''", all_=""))]
     tables = [f"s0 AS MATERIALIZED (SELECT {key}, {html} AS c FROM {table})"] + [f"s{i + 1} AS MATERIALIZED (SELECT {key}, {x} AS c FROM s{i})" for i, x in enumerate(steps)]
