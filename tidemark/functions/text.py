@@ -177,11 +177,16 @@ def markup_steps(hold: str = "") -> list[tuple[str, str]]:
     ]
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    """A map of constants, as one literal: a literal for each would take longer to plan than to run."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def unescape(c: Column) -> Column:
     """Numeric and named character references decoded, each once; what is none stays as it is."""
-    known = F.create_map(*[F.lit(x) for name, by in ENTITIES.items() for x in (name[1:-1], by)])
-    common = F.create_map(*[F.lit(x) for name in COMMON for x in (name, ENTITIES[f"&{name};"])])
-    legacy = F.create_map(*[F.lit(x) for pair in LEGACY.items() for x in pair])
+    known = _map({name[1:-1]: by for name, by in ENTITIES.items()})
+    common = _map({name: ENTITIES[f"&{name};"] for name in COMMON})
+    legacy = _map(LEGACY)
     windows = F.create_map(*[F.lit(x) for n, by in _WINDOWS.items() if by for x in (n, by)])
 
     def numeric(n: Column) -> Column:

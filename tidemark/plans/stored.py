@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions.text import content_key
-from tidemark.operators import grading, reporting
+from tidemark.operators import extraction, grading, reporting
 from tidemark.operators import panel as P
 from tidemark.operators.claims import Busy, called
+from tidemark.plans import text_sql
 from tidemark.plans.queries import GRADED, MODAL_ALL, SCORED, T, all_runs, graded, prices, query, r6, scored
+from tidemark.sources import landed as L
 from tidemark.sources import sinks, tables
 from tidemark.sources.scratch import root
 
@@ -120,3 +123,58 @@ def market_windows(spark, d):
     past = P.window_past_end(returns)
     days = past.select(F.explode(F.sequence(F.date_add("last_session", 1), F.date_add("last_session", 3))).alias("date"))
     return P.market_before(days, P.event_windows(returns), past).select("date", r6("rv_market_pre").alias("rv_market_pre"))
+
+
+#: Sentences that hold the rules' words; each document gets three of them, by its number.
+SENTENCES = [
+    "Revenue increased 12.5 percent to a record level.", "Revenue for the quarter declined by 3% as demand was soft.", "Revenue was roughly flat with the prior year.",
+    "Earnings per share grew to 2.10, higher than before.", "EPS fell sharply on restructuring charges.", "Gross margin improved and momentum was strong.", "Operating margin contracted under pressure.",
+    "We are raising our full-year guidance.", "The company lowered its outlook for fiscal 2024.", "We reaffirm our guidance for the quarter.", "We suspend our prior guidance given macroeconomic uncertainty and inflation.",
+    "The board approved a dividend, up from last year.", "The quarterly dividend was lower.", "A repurchase program was authorized with an increase of two billion.", "Results include an impairment and a goodwill charge.",
+    "The chief financial officer will step down; we are naming a new CFO and chief executive.", "The consumer segment saw weak sales.", "This was a one-time, non-recurring item.", "Adjusted and non-GAAP figures, adjusted for currency and tariff effects, are given.",
+    "We believe and expect, and may plan to, though it could be uncertain.", "An exceptional, outstanding and excellent year; we are pleased and proud.", "It was a challenging, difficult and disappointing quarter with headwinds.",
+    "This release contains forward-looking statements; revenue increased 99%.", "Nothing else is said here.",
+]
+_PICK = [("doc_id", 1), ("doc_id * 7 + 3", 1), ("doc_id", 24)]
+
+
+@query(text_sql.claims("(SELECT doc_id, coalesce(text, '') || " + " || ".join(f"' ' || [{', '.join(text_sql._quoted(x) for x in SENTENCES)}][({e}) // {by} % {len(SENTENCES)} + 1]" for e, by in _PICK) + " AS text FROM documents)", "doc_id", "text"))
+def rule_extract_said(spark, d):
+    """rule_extract over whole documents that each say three sentences made of the rules' words."""
+    said = F.array(*map(F.lit, SENTENCES))
+    picks = [F.element_at(said, F.expr(f"CAST(({e}) div {by} % {len(SENTENCES)} + 1 AS INT)")) for e, by in _PICK]
+    docs = T(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), *picks).alias("text"))
+    return extraction.extract(docs).select("doc_id", "claims.*")
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '(?is).{0,10}(?:license|copyright).{0,10}')[1:3], chr(10)) AS hits FROM documents WHERE text IS NOT NULL")
+def regex_context(spark, d):
+    return T(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(X.search_context(F.col("text"), "license|copyright", 10, 3), "\n").alias("hits"))
+
+
+@query("SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def jsonl_reviewed(spark, d):
+    """Labelled documents written as JSON lines by two appends that overlap, of which the reviewed ones are read."""
+    rows = T(spark, d, "documents").join(T(spark, d, "labels"), "doc_id").select("doc_id", "lang", (F.col("quality") == 1).alias("_reviewed"))
+    path = _place(spark, "lines")
+    sinks.append_jsonl(rows.where("lang = 'en'"), path, "doc_id")
+    sinks.append_jsonl(rows, path, "doc_id")
+    return L.read_jsonl(spark, path, "doc_id long, lang string, _reviewed boolean").select("doc_id", "lang")
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, CASE WHEN l_returnflag = 'A' THEN NULL ELSE round(avg(l_discount), 6) END AS mean FROM lineitem GROUP BY 1")
+def csv_table(spark, d):
+    """A table of results through the CSV writer, with a NaN for one row, which is an empty cell."""
+    flags = T(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), r6(F.avg("l_discount")).alias("mean"))
+    path = _place(spark, "csv")
+    sinks.write_csv(flags.withColumn("mean", F.when(F.col("flag") == "A", F.lit(float("nan"))).otherwise(F.col("mean"))), path)
+    return spark.read.option("header", True).schema("flag string, n long, mean double").csv(path)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, CASE k WHEN 1 THEN 'EX-99.' || (o_orderkey % 3 + 1) ELSE '10-K' END AS type, k AS sequence, 'f' || o_custkey || '-' || k || '.htm' AS filename
+FROM orders, (VALUES (1), (2)) t(k)""")
+def filing_documents(spark, d):
+    """The document tables of filings, one for each order, read from their headers."""
+    entry = lambda kind, k: F.concat(F.lit("<TYPE>"), kind, F.lit(f"\n<SEQUENCE>{k}\n<FILENAME>f"), F.col("o_custkey").cast("string"), F.lit(f"-{k}.htm\n<TEXT>\n"))
+    sgml = F.concat(entry(F.concat(F.lit("EX-99."), (F.col("o_orderkey") % 3 + 1).cast("string")), 1), entry(F.lit("10-K"), 2))
+    return L.document_table(T(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("accession"), sgml.alias("sgml")))
