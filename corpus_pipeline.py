@@ -8,7 +8,7 @@ dedup can remove it; rows with a null id are judged like others; columns of any
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_roundtrip
@@ -23,13 +23,10 @@ from tidemark.llm.toxicity import fit_toxicity, toxic_rows_removed
 KEY = "\0row"  # a name that no table has
 
 
-def _key(mark) -> Column:
-    """Identity of a row: its id, nulls last, and a hash of its text. Never null."""
-    return F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), mark.alias("t"))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, _key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    """docs with the identity of each row: its id, of any type, nulls last, and a hash of its text. Never null."""
+    none = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", none).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")))
 
 
 def _without(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -172,3 +172,13 @@ def test_stages_of_empty_and_odd_tables(spark, folder):
     for name, stage in C.STAGES:
         assert stage(spark, odd.limit(0), folder).count() == 0, name
         assert stage(spark, odd, folder).count() == (2 if name == "exact dedup" else 4), name
+
+
+def test_stages_of_string_ids(spark, folder):
+    import corpus_pipeline as C
+
+    said = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("b", said), ("a", said + " end"), (None, said + " fin"), ("-", BENCH[0][1]), ("", "else")], "doc_id string, text string")
+    stages = dict(C.STAGES)
+    assert sorted(map(str, (r.doc_id for r in stages["MinHash near-dedup"](spark, docs, folder).collect()))) == ["", "-", "a"]
+    assert sorted(map(str, (r.doc_id for r in stages["benchmark decontamination"](spark, docs, folder).collect()))) == ["", "None", "a", "b"]

@@ -13,6 +13,8 @@ from tidemark.llm.common import col, parallelism, text_bytes, tidy
 
 #: Bytes of the first digit; each further digit has STEP times as many.
 FIRST, STEP = 16, 4
+#: Bytes of the texts that a worker may hold of one group, whatever the size of the table (a single text may be longer).
+MOST = 1 << 28
 
 
 def radix_groups(texts: list[bytes], at: int, width: int = 64):
@@ -59,7 +61,7 @@ def _crowded(plain: DataFrame, crowd: int | None, crowd_bytes: int | None) -> li
     if crowd is None or crowd_bytes is None:
         all_ = plain.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("b")).first()
         crowd = crowd or max(16, all_.n // (4 * parallelism(spark)))
-        crowd_bytes = crowd_bytes or max(1 << 26, all_.b // (4 * parallelism(spark)))
+        crowd_bytes = crowd_bytes or min(MOST, max(1 << 26, all_.b // (4 * parallelism(spark))))
     schema = T.StructType([T.StructField("t_node", T.IntegerType()), T.StructField("t_digit", T.BinaryType()), T.StructField("t_next", T.IntegerType()), T.StructField("t_keep", kind), T.StructField("t_size", T.LongType())])
     nodes: list[DataFrame] = []
     at, width, last, more = 0, FIRST, 0, True
@@ -92,7 +94,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bytes; the digest is an output only. Other columns are not read; an empty table gives no rows.
 
     Rounds of counting split the nodes of the radix tree that hold more than `crowd` rows (default: a quarter of an even share
-    of a partition), or several rows of more than `crowd_bytes` together (a like share, 64 MB at least), by their next bytes.
+    of a partition), or several rows of more than `crowd_bytes` together (a like share, 64 MB at least and 256 MB at most), by their next bytes.
     There are fewer than rows/crowd + bytes/crowd_bytes such nodes, so the tree that is broadcast is bounded by the number of
     partitions. A crowded group whose texts have ended is a group of copies: its size and keep_id are known from the count, and
     its texts are never moved. All other texts are dealt by node and digit in one exchange, and each worker splits one such group
