@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where the session names none (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _OWN[app] = tempfile.mkdtemp(prefix="tidemark-")
-        weakref.finalize(spark, shutil.rmtree, _OWN[app], True)
-    return "file://" + _OWN[app]
+from tidemark.sources.scratch import root
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: later plans start from files that survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # Spark drops the shuffle files of finished jobs when the driver collects its garbage; nothing reads them any more
     spark.sparkContext._jvm.System.gc()
