@@ -278,8 +278,9 @@ def bootstrap_vectors(pairs: DataFrame, rounds: int, seed: int = 42, base_rate:
             with np.errstate(divide="ignore", invalid="ignore"):
                 got[cand] = pos * neg, won / (pos * neg), err / (pos + neg), 1 - err / ref
         held = got[0][0] > 0
+        got = {cand: [v[held] for v in own] for cand, own in got.items()}
         first = int(key[0]) * ROUNDS
-        return pd.DataFrame({"round": np.arange(first, first + len(held))[held], **{n: (s * (got[1][k] - got[0][k]))[held] for n, k, s in (("d_auc", 1, 1), ("d_brier", 2, -1), ("d_skill", 3, 1))}})
+        return pd.DataFrame({"round": np.arange(first, first + len(held))[held], **{n: s * (got[1][k] - got[0][k]) for n, k, s in (("d_auc", 1, 1), ("d_brier", 2, -1), ("d_skill", 3, 1))}})
 
     parts = ranged.mapInPandas(partial, "part int, cand int, low double, high double, " + ", ".join(f"{c} array<double>" for c in sums))
     per = parts.groupBy("part").applyInPandas(merge, "round long, d_auc double, d_brier double, d_skill double")

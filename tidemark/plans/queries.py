@@ -265,11 +265,19 @@ def bootstrap_vectors(spark, d):
 
 
 @query()
-def paired_bootstrap_10000(spark, d):
-    """The 10,000 resamples of the reference, by Poisson weights; bootstrap_vectors is the same with rounds that SQL can repeat."""
+def bootstrap_vectors_10000(spark, d):
+    """bootstrap_vectors with 10,000 rounds."""
     return resampled(spark, d, 10_000)
 
 
+@query()
+def paired_bootstrap_10000(spark, d):
+    """paired_bootstrap with 10,000 resamples."""
+    pairs = placed(scored(spark, d), [F.col("doc_id")], name="i")
+    out = E.paired_bootstrap(pairs.select("i", "y", F.col("p").alias("p_base"), F.col("p2").alias("p_cand")), 10_000)
+    return out.select("rounds", *[r6(c).alias(c) for c in out.columns[1:]])
+
+
 def answers(spark, d, shift: int) -> DataFrame:
     """Long answers of a made-up run: tone, a flag, an ordinal and a number, differing with shift."""
     base = T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(f"CASE (doc_id + {shift} * (n_chars % 2)) % 4 WHEN 0 THEN 'confident' WHEN 1 THEN 'neutral' WHEN 2 THEN 'not_stated' END").alias("tone"), F.expr(f"CAST((n_chars + {shift}) % 3 = 0 AS STRING)").alias("buyback"), F.expr(f"CAST((n_chars + {shift} * (doc_id % 2)) % 4 AS STRING)").alias("hedging"), F.expr(f"CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars % 50 + {shift} * 0.5 AS STRING) END").alias("revenue"))
