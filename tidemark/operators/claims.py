@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,10 @@ def claims_schema() -> dict:
     return {"type": "object", "properties": {f: one(f) for f in TYPES}, "required": [f for f in TYPES if f not in NUMERIC], "additionalProperties": False}
 
 
+#: Rows that cross to a task at a time, and how many of them, or twice that, are unpacked and asked about; texts may be long.
+BATCH_ROWS, ASKED = 1000, 100
+
+
 class Busy(Exception):
     """What a service raises that would answer later: it is asked again after `wait` seconds, or after the usual wait."""
 
@@ -141,7 +146,7 @@ def called(
     counts = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
     share = per_second / tasks if per_second else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(share)
 
         def one(value):
@@ -160,16 +165,32 @@ def called(
                         time.sleep(min(most_wait, wait * 2**attempt) if told is None else told)
             return (False, error, None, 0, 0, 0, 0, time.perf_counter() - began)
 
+        most = max(ASKED, in_flight)
+        window: deque = deque()  # keys and calls, in order; as many as are answered below are under way meanwhile
+
+        def answered(n):
+            keys, rows = zip(*((k, call.result()) for k, call in (window.popleft() for _ in range(n))))
+            columns = [pa.array([k.as_py() for k in keys], keys[0].type), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         with ThreadPoolExecutor(in_flight) as pool:
-            for pdf in batches:
-                out = pd.DataFrame(list(pool.map(one, pdf[text])), columns=["ok", "error", "answer", *counts, "latency_s"])
-                out.insert(0, key, pdf[key].to_numpy())
-                yield out
+            for batch in batches:
+                for k, x in zip(batch.column(0), batch.column(1)):
+                    window.append((k, pool.submit(one, x.as_py())))
+                    if len(window) == 2 * most:
+                        yield answered(most)
+            if window:
+                yield answered(len(window))
 
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(key, text)
+    kinds = [pa.bool_(), pa.string(), pa.string(), *(pa.int64() for _ in counts), pa.float64()]
+    names = [key, "ok", "error", "answer", *counts, "latency_s"]
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(most)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(most, str(BATCH_ROWS))
+    rows = docs.select(key, F.col(text).cast("string").alias("\0text"))
     rows = rows.repartition(tasks) if tasks else rows
-    return rows.mapInPandas(run, f"{key} {kind}, ok boolean, error string, answer string, " + ", ".join(f"{c} long" for c in counts) + ", latency_s double")
+    return rows.mapInArrow(run, f"`{key}` {kind}, ok boolean, error string, answer string, " + ", ".join(f"{c} long" for c in counts) + ", latency_s double")
 
 
 def extracted_by(docs: DataFrame, call: Callable[[str], dict], **how) -> DataFrame:
