@@ -134,21 +134,25 @@ def extract_claims(c: Column) -> Column:
 
 
 def _claims(body: Column, low: Column, folded: Column) -> Column:
-    """Patterns that cannot match without a certain word are tried only where it is."""
+    """Patterns that cannot match without a certain word are tried only where it is. What several claims ask for is found once a text."""
     has = lambda *words: F.greatest(*[folded.contains(w) for w in words], F.lit(False))
     near = lambda subject, *words: F.when(has(*words), direction_near(body, subject)).otherwise("not_stated")
     earned = lambda group: F.when(has("revenue"), F.regexp_extract(body, f"(?iU){REVENUE_PCT}", group)).otherwise("")
     ruled = lambda name, rule: F.when(F.greatest(*map(low.contains, NEEDS[name])), low.rlike(f"(?U){rule}")).when(low.isNotNull(), False)
-    verb, value = F.lower(earned(1)), earned(2).try_cast("double")
     guidance = F.lit(None).cast("string")
     for name, rule in GUIDANCE_RULES:
         guidance = F.coalesce(guidance, F.when(ruled(name, rule), name))
-    guidance = F.coalesce(guidance, F.lit("not_provided"))
-    sure, wary = cues_in(low, CONFIDENT), cues_in(low, CAUTIOUS)
+    found = {
+        "guidance": F.coalesce(guidance, F.lit("not_provided")), "sure": cues_in(low, CONFIDENT), "wary": cues_in(low, CAUTIOUS), "dividend": near("dividend", "dividend"),
+        "verb": F.lower(earned(1)), "value": earned(2).try_cast("double"), "adjusted": cues_in(low, ["non-gaap"]) + cues_in(low, ["adjusted"]), "hedges": cues_in(low, HEDGES),
+    }
+    once = F.array(F.struct(*[c.alias(n) for n, c in found.items()]))
+    return F.get(F.transform(once, lambda x: _settled(low, near, ruled, **{n: x[n] for n in found})), F.lit(0))
+
+
+def _settled(low, near, ruled, guidance, sure, wary, dividend, verb, value, adjusted, hedges) -> Column:
     tone = F.when((sure > wary * 2) & (sure >= 2), "confident").when(wary >= F.greatest(F.lit(2), sure), "cautious").when(sure + wary > 0, "neutral").otherwise("not_stated")
-    dividend = near("dividend", "dividend")
     dividend = F.when(~low.contains("dividend"), "not_stated").when(dividend == "not_stated", "flat").otherwise(dividend)
-    adjusted = cues_in(low, ["non-gaap"]) + cues_in(low, ["adjusted"])
     horizon = F.when(guidance == "not_provided", F.lit(None).cast("int")).when(low.rlike("full[- ]year|fiscal year"), 4).otherwise(1)
     flags = [ruled(name, rule).alias(name) for name, rule in FLAG_RULES.items()]
     return F.struct(
@@ -156,7 +160,7 @@ def _claims(body: Column, low: Column, folded: Column) -> Column:
         F.when(verb.isin("decreased", "declined", "fell", "down"), -value).when(verb != "", value).alias("revenue_yoy_pct"),
         near("(?:earnings per share|EPS)", "earnings per share", "eps").alias("eps_direction"), near("margin", "margin").alias("margin_direction"),
         guidance.alias("guidance_action"), horizon.alias("guidance_horizon_quarters"), dividend.alias("dividend_action"), tone.alias("tone"),
-        bucket(adjusted, (1, 6, 15)).alias("non_gaap_emphasis"), bucket(cues_in(low, HEDGES), (2, 6, 14)).alias("hedging_intensity"),
+        bucket(adjusted, (1, 6, 15)).alias("non_gaap_emphasis"), bucket(hedges, (2, 6, 14)).alias("hedging_intensity"),
         (cues_in(low, MACRO) >= 2).alias("macro_headwind_cited"), *flags, F.lit(2).alias("confidence"),
     )
 
