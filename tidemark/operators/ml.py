@@ -86,13 +86,12 @@ def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gb
     [(_, model, _)] = _fitted(_bounded(train, ["fold"], max_rows), {"all": features}, kind, None, rounds)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    trials = test.select("id", F.explode(F.array(*map(F.lit, features))).alias("feature")).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    value = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("other")) for f in features])
+    trials = test.select("id", F.explode(value).alias("v")).select("id", "v.*").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "repeat", "id"))
-    place = positions(test.select("id", F.col("id").alias("key")), ["key"]).select("id", "pos")
-    value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]), F.col("feature"))
-    dealt = positions(trials.withColumn("key", order), ["key"], ["feature", "repeat"])
-    dealt = dealt.join(test, "id").select("feature", "repeat", "pos", value.alias("other"))
-    mixed = trials.join(place, "id").join(dealt, ["feature", "repeat", "pos"]).join(test, "id").select("feature", "repeat", "id", "y", "other", *features)
+    dealt = positions(trials.withColumn("key", order), ["key"], ["feature", "repeat"]).select("feature", "repeat", "pos", "other")
+    place = positions(test.select("id", "y", *features), ["id"])
+    mixed = dealt.join(place.hint("merge"), "pos").select("feature", "repeat", "id", "y", "other", *features)  # exchanged, as the driver would hold what is broadcast
     mixed = mixed.unionByName(test.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), "id", "y", F.lit(0.0).alias("other"), *features))
 
     def score(batches):
@@ -103,7 +102,8 @@ def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gb
                 x[here, j] = pdf.other.to_numpy(np.float64)[here]
             yield pd.DataFrame({"feature": pdf.feature, "repeat": pdf.repeat, "y": pdf.y, "p": shared.value.score(x)})
 
-    scored = auc(mixed.mapInPandas(score, f"feature string, repeat int, y {dict(rows.dtypes)['y']}, p double"), ["feature", "repeat"])
+    trialled = written(mixed.mapInPandas(score, f"feature string, repeat int, y {dict(rows.dtypes)['y']}, p double"), "trials")  # scored once; what follows reads it twice
+    scored = auc(trialled, ["feature", "repeat"])
     base = scored.where("feature = ''").select(F.col("auc").alias("base"))
     drop = scored.where("feature != ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base") - F.col("auc")).alias("deviation"))
     return drop.orderBy(F.desc("auc_drop"), "feature").limit(top)
