@@ -146,6 +146,7 @@ class Transducer:
             self.sizes[i] = tables.symbols[t]
         specials = sorted(map(regex.escape, tables.specials), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(specials) + ")") if specials else None
+        self.begins = frozenset(t[:1] for t in tables.specials)
 
     def compatible(self, a: int, b: int) -> bool:
         """Do the merges leave the tokens a b as they are side by side? Undoes both along the seam, latest merge first."""
@@ -258,7 +259,7 @@ class Transducer:
             prefixes.clear()
         if len(fits) > SEAMS:
             fits.clear()
-        n = len(word)
+        n, sizes = len(word), self.sizes
         at = n - 1 if suffix else n
         while at and word[:at] not in prefixes:
             at -= 1
@@ -266,6 +267,22 @@ class Transducer:
             at += 1
             last = at == n and suffix
             end = full if last else word[:at]
+            if at > 1:  # most often the newest token goes on, and only one token can be the last
+                start = at - 1 - sizes[prefixes[word[: at - 1]]]
+                token = tokens.get(end[start:])
+                if token is not None:
+                    if not start:
+                        if not last:
+                            prefixes[end] = token
+                        continue
+                    key = prefixes[word[:start]] << 20 | token
+                    known = fits.get(key)
+                    if known is None:
+                        known = fits[key] = self._seam(key >> 20, token)
+                    if known:
+                        if not last:
+                            prefixes[end] = token
+                        continue
             for start in range(at - 1, max(-1, at - 1 - longest), -1):
                 token = tokens.get(end[start:])
                 if token is not None:
@@ -283,7 +300,7 @@ class Transducer:
                 prefixes[word[:at]] = token
         if not self.t.suffix:
             token = prefixes[word]
-        out, sizes = [], self.sizes
+        out = []
         while True:
             out.append(ids[token])
             at -= sizes[token]
@@ -302,7 +319,7 @@ class Transducer:
                 yield chunk[:-1].lower()
                 yield chunk[-1]
                 return
-        parts = self.special.split(chunk) if self.special else [chunk]
+        parts = [chunk] if self.begins.isdisjoint(chunk) else self.special.split(chunk)
         for p in parts:
             if (i := self.t.specials.get(p)) is not None:
                 yield i
@@ -317,7 +334,12 @@ class Transducer:
                 for x, _ in self.beyond_ascii.pre_tokenizer.pre_tokenize_str(self.beyond_ascii.normalizer.normalize_str(p)):
                     yield x
 
-    def ids(self, chunk: str) -> list[int]:
+    def ids(self, chunk: str) -> list[int] | tuple[int, ...]:
+        if chunk.isascii():  # the commonest runs, at once
+            if chunk.isalpha():
+                return self.piece(chunk.lower())
+            if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+                return self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
         out: list[int] = []
         for x in self.runs(chunk):
             if isinstance(x, int):
@@ -415,14 +437,16 @@ def _worker(shared) -> dict:
     def make() -> dict:
         t, d = Transducer(shared.value), Decoder(shared.value)
 
-        def decoded(ids: bytes) -> str:
+        name = d.t.names.__getitem__
+
+        def decoded(ids) -> str:
             if d.t.joined_decoding:  # each token's feed is its name, after a blank but for the first
-                return " ".join([d.t.names.get(i, "") for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+                return " ".join(map(name, ids))
             d.reset()
-            return "".join(map(d.feed, struct.unpack(f"<{len(ids) // 4}I", ids))) + d.close()
+            return "".join(map(d.feed, ids)) + d.close()
 
         return {
-            "both": _Memo(lambda c: (y := struct.pack(f"<{len(x)}I", *x), decoded(y)) if (x := t.ids(c)) else (b"", "")),
+            "both": _Memo(lambda c: (struct.pack(f"<{len(x)}I", *x), decoded(x)) if (x := t.ids(c)) else (b"", "")),
             "count": _Memo(t.count),
             "joined": shared.value.joined_decoding,
         }
