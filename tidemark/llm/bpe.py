@@ -11,6 +11,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,11 +23,13 @@ SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() treats as white space and the patterns do not.
 _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
-#: What a worker's memos may hold before they start anew; they bound memory, never results. Of chunks: bytes, an entry being some 320 and three
-#: for each character; of pre-tokens and prefixes of up to 64 symbols, and of seams: entries of some 200, 150 and 110 bytes.
-CHUNK_BYTES, PIECES, PREFIXES, SEAMS = 90_000_000, 200_000, 150_000, 200_000
+#: What a worker's memos may hold; they bound memory, never results. Of chunks and of pre-tokens: bytes, an entry being some 220 and three for
+#: each character; of seams: entries of some 110 bytes.
+CHUNK_BYTES, PIECE_BYTES, SEAMS = 90_000_000, 60_000_000, 200_000
 #: Characters handled at a time, cut at white space, where no token can cross.
 BLOCK_CHARS = 1 << 20
+#: Chunks whose new words are encoded side by side.
+WINDOW = 200_000
 
 
 def _byte_symbols() -> list[str]:
@@ -128,6 +131,85 @@ def merge_all(parts: list[int], pairs: dict[int, int]) -> list[int]:
     return parts
 
 
+class _Memo(dict):
+    """x -> what make(x) gives. When full, what was not asked for since it was last half full goes. Long strings are not kept."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.bytes, self.older = make, size // 2, 0, {}
+
+    def __missing__(self, x):
+        out = self.older.pop(x, None)
+        if out is None:
+            out = self.make(x)
+        self.add(x, out)
+        return out
+
+    def add(self, x, out) -> None:
+        if len(x) <= 256:
+            self.bytes += 220 + 3 * len(x)
+            if self.bytes > self.size:
+                self.older = dict(self)
+                self.clear()
+                self.bytes = 0
+            self[x] = out
+
+
+class _Numbers:
+    """Whole numbers below 2**40 -> small numbers, looked up many at a time: a table of slots, at most half of them taken."""
+
+    def __init__(self, bits: int):
+        self.bits, self.taken = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not in it."""
+        self.taken += len(keys)
+        at = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
+            self.values[at[free]] = values[free]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for what is not in it."""
+        at = self._first(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
+class _Letters(dict):
+    """For str.translate: code point -> stand-ins of the bytes of its normal form where the file's rules keep it inside a word of letters, else NUL.
+
+    Such code points are normalized one by one: only marks and conjoining jamo (U+1100 to U+11FF), and letters past U+FFFF, compose with
+    what stands before them; those are left to the rules themselves.
+    """
+
+    def __init__(self, rules):
+        self.rules = rules
+
+    def __missing__(self, point: int) -> str:
+        if point > 0xFFFF or 0x1100 <= point < 0x1200:
+            return "\0"
+        library = self.rules()
+        own = library.normalizer.normalize_str(chr(point))
+        pieces = library.pre_tokenizer.pre_tokenize_str(f"a{own}a")
+        self[point] = out = pieces[0][0][1:-1] if own and len(pieces) == 1 else "\0"
+        return out
+
+
 class Transducer:
     """Encodes symbol streams: the state is the last token of each of the latest prefixes. Tokens leave once all states agree on
     them, and at the latest when they end the merge list's sufficient lookahead before the newest symbol."""
@@ -137,13 +219,15 @@ class Transducer:
         self.bytes = _byte_symbols()
         self.split = regex.compile(tables.pattern).findall
         self.beyond_ascii = None
+        self.letters = _Letters(self.library)
         self.fits: dict[int, bool] = {}
         self.tokens = {x: tables.order[x] for x in tables.whole}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.prefixes: dict[str, int] = {}
-        self.sizes = [0] * len(tables.ids)
-        for t, i in tables.order.items():
-            self.sizes[i] = tables.symbols[t]
+        self.pieces = _Memo(self._piece, PIECE_BYTES)
+        self.piece = self.pieces.__getitem__
+        self.children = None
+        self.reach: dict[str, int] = {}  # first three symbols -> the longest token that begins with them
+        for t, n in tables.symbols.items():
+            self.reach[t[:3]] = max(n, self.reach.get(t[:3], 2))
         specials = sorted(map(regex.escape, tables.specials), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(specials) + ")") if specials else None
         self.begins = frozenset(t[:1] for t in tables.specials)
@@ -236,89 +320,207 @@ class Transducer:
             out.append(token)
         return out[::-1]
 
-    def piece(self, word: str) -> tuple[int, ...]:
+    def _piece(self, word: str) -> tuple[int, ...]:
         """Vocabulary ids of one pre-token, given as the stand-ins of its bytes."""
-        known = self.pieces.get(word)
-        if known is None:
-            if len(self.pieces) > PIECES:
-                self.pieces.clear()
-            if len(word) <= 64:
-                known = self.pieces[word] = self._short(word)
-            else:
-                known = tuple(self.t.ids[x] for x in self.stream(c if i + 1 < len(word) else c + self.t.suffix for i, c in enumerate(word)))
-        return known
+        if len(word) <= 64:
+            return self._short(word)
+        return tuple(self.t.ids[x] for x in self.stream(c if i + 1 < len(word) else c + self.t.suffix for i, c in enumerate(word)))
 
     def _short(self, word: str) -> tuple[int, ...]:
-        """The same transducer on a word that fits its window; states of prefixes are kept, so words that begin alike share them."""
-        tokens, ids, longest, prefixes, fits, suffix = self.tokens, self.t.ids, self.t.longest, self.prefixes, self.fits, self.t.suffix
-        full = word + suffix
-        token = tokens.get(full)
-        if token is not None:
-            return (ids[token],)
-        if len(prefixes) > PREFIXES:
-            prefixes.clear()
+        """The stream's path through a word that fits its window, from the left: the longest token that may stand after the last one, and
+        back by one where none leads on. Each prefix has but one path of tokens that the merges leave side by side, so an end without a
+        way on is dead whatever led to it."""
+        token_of, fits, suffix = self.tokens.get, self.fits, self.t.suffix
+        full, n = word + suffix, len(word)
+        last = token_of(full)
+        if last is not None:
+            return (self.t.ids[last],)
         if len(fits) > SEAMS:
             fits.clear()
-        n, sizes = len(word), self.sizes
-        at = n - 1 if suffix else n
-        while at and word[:at] not in prefixes:
-            at -= 1
+        fit_of, reach_of = fits.get, self.reach.get
+        path, begins, at, dead, last = [], [], 0, 0, -1
+        end = min(n, reach_of(word[:3], 2))
         while at < n:
-            at += 1
-            last = at == n and suffix
-            end = full if last else word[:at]
-            if at > 1:  # most often the newest token goes on, and only one token can be the last
-                start = at - 1 - sizes[prefixes[word[: at - 1]]]
-                token = tokens.get(end[start:])
-                if token is not None:
-                    if not start:
-                        if not last:
-                            prefixes[end] = token
-                        continue
-                    key = prefixes[word[:start]] << 20 | token
-                    known = fits.get(key)
-                    if known is None:
-                        known = fits[key] = self._seam(key >> 20, token)
-                    if known:
-                        if not last:
-                            prefixes[end] = token
-                        continue
-            for start in range(at - 1, max(-1, at - 1 - longest), -1):
-                token = tokens.get(end[start:])
-                if token is not None:
-                    if not start:
+            while end > at:
+                token = token_of(word[at:end] if end < n else full[at:])
+                if token is not None and not dead >> end & 1:
+                    if last < 0:
                         break
-                    key = prefixes[word[:start]] << 20 | token
-                    known = fits.get(key)
+                    key = last << 20 | token
+                    known = fit_of(key)
                     if known is None:
-                        known = fits[key] = self._seam(key >> 20, token)
+                        known = fits[key] = self._seam(last, token)
                     if known:
                         break
+                end -= 1
             else:
-                raise ValueError(f"the vocabulary lacks {word!r}")
-            if not last:
-                prefixes[word[:at]] = token
-        if not self.t.suffix:
-            token = prefixes[word]
-        out = []
-        while True:
-            out.append(ids[token])
-            at -= sizes[token]
-            if at <= 0:
-                return tuple(out[::-1])
-            token = prefixes[word[:at]]
+                if not path:
+                    raise ValueError(f"the vocabulary lacks {word!r}")
+                dead |= 1 << at
+                end = at - 1
+                path.pop()
+                at = begins.pop()
+                last = path[-1] if path else -1
+                continue
+            path.append(token)
+            begins.append(at)
+            at, last = end, token
+            end = min(n, at + reach_of(word[at : at + 3], 2))
+        ids = self.t.ids
+        return tuple([ids[x] for x in path])
+
+    def _trie(self) -> None:
+        """Of the tokens that encode alone, as rows of symbols: children of (node, symbol), and of each token the next shorter one it begins with."""
+        t = self.t
+        children: dict[int, int] = {}
+        at_node, node_of = [-1], {}
+        parts_of: dict[int, list[int]] = {i: [i] for i in range(t.base)}
+        for i in range(t.base, len(t.ids)):
+            parts_of[i] = parts_of[t.left[i]] + parts_of[t.right[i]]
+        alone = {t.order[x] for x in t.whole}
+        for i, parts in parts_of.items():
+            node = 0
+            for x in parts:
+                key = node * t.base + x
+                node = children.get(key, -1)
+                if node < 0:
+                    node = children[key] = len(at_node)
+                    at_node.append(-1)
+            if i in alone:
+                at_node[node] = i
+        shorter = np.full(len(t.ids), -1, np.int32)
+        for i in alone:
+            node, best = 0, -1
+            for x in parts_of[i][:-1]:
+                node = children[node * t.base + x]
+                best = at_node[node] if at_node[node] >= 0 else best
+            shorter[i] = best
+        self.children = _Numbers(max(4, (2 * len(children)).bit_length()))
+        self.children.put(np.fromiter(children, np.int64, len(children)), np.fromiter(children.values(), np.int32, len(children)))
+        self.at_node, self.shorter = np.array(at_node, np.int32), shorter
+        self.lengths, self.id_of = np.array([len(parts_of[i]) for i in range(len(t.ids))], np.int64), np.array(t.ids, np.uint32)
+        self.inner, self.final = np.full(0x300, -1, np.int32), np.full(0x300, -1, np.int32)  # symbol of a stand-in within a word, and at its end
+        for c in self.bytes:
+            self.inner[ord(c)], self.final[ord(c)] = t.order.get(c, -1), t.order.get(c + t.suffix, -1)
+        self.seams = _Numbers(19)
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible of many pairs."""
+        keys = a.astype(np.int64) << 20 | b
+        known = self.seams.get(keys)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            distinct, place = np.unique(keys[new], return_inverse=True)
+            values = np.array([self._seam(k >> 20, k & 0xFFFFF) for k in distinct.tolist()], np.int32)
+            known[new] = values[place]
+            if self.seams.taken + len(distinct) > 1 << 18:
+                self.seams = _Numbers(19)
+            if len(distinct) <= 1 << 18:
+                self.seams.put(distinct, values)
+        return known > 0
+
+    def many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """_short of many words that are not one token, side by side: each turn tries one token of every word that has not come to its end."""
+        if self.children is None:
+            self._trie()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbols = self.inner[points]
+        symbols[ends - 1] = self.final[points[ends - 1]]
+        if (symbols < 0).any():
+            raise ValueError(f"the vocabulary lacks {chr(points[symbols < 0][0])!r}")
+        stop = np.repeat(ends, sizes)
+        # the longest token from each place on
+        longest = np.full(len(points), -1, np.int32)
+        place, node, ahead = np.arange(len(points)), np.zeros(len(points), np.int64), 0
+        while len(place):
+            node = self.children.get(node * self.t.base + symbols[place + ahead])
+            on = node >= 0
+            place, node = place[on], node[on].astype(np.int64)
+            token = self.at_node[node]
+            longest[place[token >= 0]] = token[token >= 0]
+            ahead += 1
+            on = place + ahead < stop[place]
+            place, node = place[on], node[on]
+        # where a word stands, the token to try there, the last one and where that began; of each place the token that ends there
+        dead, ending = np.zeros(len(points) + 1, bool), np.full(len(points) + 1, -1, np.int32)
+        begin = ends - sizes
+        at, w = begin.copy(), np.arange(len(words))
+        trial, last = longest[at], np.full(len(words), -1, np.int32)
+        while len(w):
+            back = trial < 0
+            if back.any():
+                if (last[back] < 0).any():
+                    raise ValueError(f"the vocabulary lacks {words[w[back][last[back] < 0][0]]!r}")
+                dead[at[back]] = True
+                at[back] -= self.lengths[last[back]]
+                trial[back] = self.shorter[last[back]]
+                last[back] = np.where(at[back] > begin[w[back]], ending[at[back]], -1)
+            on = np.flatnonzero(trial >= 0)
+            end = at[on] + self.lengths[trial[on]]
+            good = ~dead[end]
+            check = np.flatnonzero(good & (last[on] >= 0))
+            good[check] = self._fit(last[on[check]], trial[on[check]])
+            bad = on[~good]
+            on, end = on[good], end[good]
+            trial[bad] = self.shorter[trial[bad]]
+            ending[end] = last[on] = trial[on]
+            at[on] = end
+            done = np.zeros(len(w), bool)
+            done[on] = end == ends[w[on]]
+            going = on[~done[on]]
+            trial[going] = longest[at[going]]
+            if done.any():
+                left = ~done
+                w, at, trial, last = w[left], at[left], trial[left], last[left]
+        # back from each end along the tokens that end there
+        kept = np.zeros(len(points) + 1, bool)
+        at, w = ends.copy(), np.arange(len(words))
+        while len(w):
+            kept[at] = True
+            at = at - self.lengths[ending[at]]
+            left = at > begin[w]
+            at, w = at[left], w[left]
+        flat = self.id_of[ending[kept]].tolist()
+        bounds = np.cumsum(kept)[ends].tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *bounds], bounds)]
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Encodes side by side what is new to the memo of pre-tokens among the plain words of the chunks."""
+        pieces, tokens, suffix, new = self.pieces, self.tokens, self.t.suffix, set()
+        for c in chunks:
+            words = self.plain(c)
+            if words and words[0] not in pieces and words[0] not in pieces.older and len(words[0]) <= 64 and words[0] + suffix not in tokens:
+                new.add(words[0])
+        if new:
+            new = list(new)
+            for x, ids in zip(new, self.many(new)):
+                pieces.add(x, ids)
+
+    def library(self):
+        """The file's own normalizer and pre-tokenizer rules, run by its library, whose Unicode tables differ from Python's."""
+        if self.beyond_ascii is None:
+            from tokenizers import Tokenizer
+
+            self.beyond_ascii = Tokenizer.from_str(self.t.rules)
+        return self.beyond_ascii
+
+    def plain(self, chunk: str) -> tuple[str, ...]:
+        """Pre-tokens of the commonest chunks, letters and perhaps a full stop or comma after them; none of any other."""
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
+        if word.isascii():
+            if not word.isalpha():
+                return ()
+            word = word.lower()
+        else:
+            word = word.translate(self.letters)
+            if "\0" in word:
+                return ()
+        return (word, mark) if mark else (word,)
 
     def runs(self, chunk: str) -> Iterator[str | int]:
-        """Pre-tokens of a text, as stand-ins of their bytes, or the ids of special strings in it, in order. Beyond ASCII the file's own
-        normalizer and pre-tokenizer rules are run by its library, whose Unicode tables differ from Python's."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                yield chunk.lower()
-                return
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                yield chunk[:-1].lower()
-                yield chunk[-1]
-                return
+        """Pre-tokens of a text, as stand-ins of their bytes, or the ids of special strings in it, in order."""
         parts = [chunk] if self.begins.isdisjoint(chunk) else self.special.split(chunk)
         for p in parts:
             if (i := self.t.specials.get(p)) is not None:
@@ -327,19 +529,14 @@ class Transducer:
                 for x in self.split(p.lower()):
                     yield x if x.isprintable() else "".join([self.bytes[b] for b in x.encode()])
             elif p:
-                if self.beyond_ascii is None:
-                    from tokenizers import Tokenizer
-
-                    self.beyond_ascii = Tokenizer.from_str(self.t.rules)
-                for x, _ in self.beyond_ascii.pre_tokenizer.pre_tokenize_str(self.beyond_ascii.normalizer.normalize_str(p)):
+                library = self.library()
+                for x, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(p)):
                     yield x
 
     def ids(self, chunk: str) -> list[int] | tuple[int, ...]:
-        if chunk.isascii():  # the commonest runs, at once
-            if chunk.isalpha():
-                return self.piece(chunk.lower())
-            if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-                return self.piece(chunk[:-1].lower()) + self.piece(chunk[-1])
+        words = self.plain(chunk)
+        if words:
+            return self.piece(words[0]) if len(words) == 1 else self.piece(words[0]) + self.piece(words[1])
         out: list[int] = []
         for x in self.runs(chunk):
             if isinstance(x, int):
@@ -351,7 +548,7 @@ class Transducer:
     def count(self, chunk: str) -> int:
         """Number of ids: pre-tokens proved to be one token count as they are, only the rest are merged."""
         whole, n = self.t.whole, 0
-        for x in self.runs(chunk):
+        for x in self.plain(chunk) or self.runs(chunk):
             if isinstance(x, int) or x + self.t.suffix in whole:
                 n += 1
             else:
@@ -381,6 +578,16 @@ class Decoder:
             return self.close() + name
         return "".join(self._byte(self.back[c]) for c in name.removesuffix(self.t.suffix))
 
+    def feed_all(self, ids: Iterable[int]) -> str:
+        """What feed gives for each in turn, as one string; joined names at once."""
+        if not self.t.joined_decoding:
+            return "".join(map(self.feed, ids))
+        names = list(map(self.t.names.__getitem__, ids))
+        if names and self.begun:
+            names.insert(0, "")
+        self.begun = self.begun or bool(names)
+        return " ".join(names)
+
     def _byte(self, b: int) -> str:
         if b & 0xC0 == 0x80 and self.need:
             self.held += bytes([b])
@@ -409,21 +616,17 @@ def blocks(text: str) -> Iterator[list[str]]:
         at = end
 
 
-class _Memo(dict):
-    """chunk -> what make(chunk) gives; emptied when full. Long chunks are not kept."""
-
-    def __init__(self, make):
-        self.make, self.bytes = make, 0
-
-    def __missing__(self, chunk):
-        out = self.make(chunk)
-        if len(chunk) <= 256:
-            self.bytes += 320 + 3 * len(chunk)
-            if self.bytes > CHUNK_BYTES:
-                self.clear()
-                self.bytes = 0
-            self[chunk] = out
-        return out
+def windows(texts: Iterable) -> Iterator[list[tuple[int, list[str]]]]:
+    """Chunks of blocks with the places of their texts, in order, some WINDOW chunks or one block at a time."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for chunks in blocks(text.as_py() or ""):
+            held.append((i, chunks))
+            size += len(chunks)
+            if size >= WINDOW:
+                yield held
+                held, size = [], 0
+    yield held
 
 
 def read_tables(path: str) -> BpeTables:
@@ -436,20 +639,13 @@ def _worker(shared) -> dict:
 
     def make() -> dict:
         t, d = Transducer(shared.value), Decoder(shared.value)
+        ids, count = _Memo(lambda c: struct.pack(f"<{len(x := t.ids(c))}I", *x), CHUNK_BYTES), _Memo(t.count, CHUNK_BYTES)
 
-        name = d.t.names.__getitem__
+        def learn(held):
+            chunks = {c for _, x in held for c in x}
+            t.learn(c for c in chunks if c not in ids and c not in ids.older and c not in count and c not in count.older)
 
-        def decoded(ids) -> str:
-            if d.t.joined_decoding:  # each token's feed is its name, after a blank but for the first
-                return " ".join(map(name, ids))
-            d.reset()
-            return "".join(map(d.feed, ids)) + d.close()
-
-        return {
-            "both": _Memo(lambda c: (struct.pack(f"<{len(x)}I", *x), decoded(x)) if (x := t.ids(c)) else (b"", "")),
-            "count": _Memo(t.count),
-            "joined": shared.value.joined_decoding,
-        }
+        return {"ids": ids, "count": count, "decoder": d, "learn": learn}
 
     return keep("bpe", shared.value.source, make)
 
@@ -476,33 +672,37 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches):
         w = _worker(shared)
-        both_of = w["both"].__getitem__
-        glue = " " if w["joined"] else ""
+        ids_of, decoder, learn = w["ids"].__getitem__, w["decoder"], w["learn"]
+
+        def finish(rows, row):
+            if row >= 0 and (rest := decoder.close()):
+                rows[row][1].update(rest.encode())
+                rows[row][3].append(rest)
+            decoder.reset()
+
         for batch in batches:
-            n, hid, hdec, kid, ktext = [], [], [], [], []
-            for text in batch.column(1):
-                a, b, count, begun = hashlib.sha256(), hashlib.sha256(), 0, False
-                raw, out = [], []
-                for chunks in blocks(text.as_py()):
-                    got = [x for x in map(both_of, chunks) if x[0]]
-                    if not got:
-                        continue
-                    one, two = b"".join([x for x, _ in got]), glue.join([x for _, x in got])
-                    two = glue + two if begun else two
-                    begun = True
+            rows = [(hashlib.sha256(), hashlib.sha256(), [], []) for _ in range(batch.num_rows)]
+            n, now = [0] * batch.num_rows, -1
+            for held in windows(batch.column(1)):
+                learn(held)
+                for row, chunks in held:
+                    a, b, raw, out = rows[row]
+                    if row != now:
+                        finish(rows, now)
+                        now = row
+                    one = b"".join(map(ids_of, chunks))
+                    two = decoder.feed_all(struct.unpack(f"<{len(one) // 4}I", one))
                     a.update(one)
                     b.update(two.encode())
-                    count += len(one) // 4
+                    n[row] += len(one) // 4
                     if keep_ids:
                         raw.append(one)
                         out.append(two)
-                n.append(count)
-                hid.append(a.hexdigest())
-                hdec.append(b.hexdigest())
-                if keep_ids:
-                    one = b"".join(raw)
-                    kid.append(list(struct.unpack(f"<{len(one) // 4}I", one)))
-                    ktext.append("".join(out))
+            finish(rows, now)
+            hid, hdec = [x[0].hexdigest() for x in rows], [x[1].hexdigest() for x in rows]
+            if keep_ids:
+                kid = [list(struct.unpack(f"<{k}I", b"".join(x[2]))) for k, x in zip(n, rows)]
+                ktext = ["".join(x[3]) for x in rows]
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(hid, pa.string()), pa.array(hdec, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
@@ -525,10 +725,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     shared = _share(docs.sparkSession, tokenizer)
 
     def run(batches):
-        count = _worker(shared)["count"].__getitem__
+        w = _worker(shared)
+        count, learn = w["count"].__getitem__, w["learn"]
         for batch in batches:
             texts = batch.column(1)
-            n = [sum(sum(map(count, chunks)) for chunks in blocks(t.as_py())) for t in texts]
+            n = [0] * len(texts)
+            for held in windows(texts):
+                learn(held)
+                for row, chunks in held:
+                    n[row] += sum(map(count, chunks))
             size = [t.as_buffer().size if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["id", "n_bytes", "n_tokens", "over_limit"])
 
