@@ -59,7 +59,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token counts and digests of what is left."""
-    return bpe_roundtrip(docs, tokenizer_path())
+    # by now the heap of an executor is at its full size, so its workers hold less than in a job of their own
+    return bpe_roundtrip(docs, tokenizer_path(), memo_bytes=100_000_000)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", tokens)]

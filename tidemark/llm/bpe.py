@@ -24,12 +24,12 @@ _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() treats as white space and the patterns do not.
 _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
 #: What a worker's memos may hold; they bound memory, never results. Of chunks and of pre-tokens: bytes, an entry being some 220 and three for
-#: each character; of seams: entries of some 110 bytes.
-CHUNK_BYTES, PIECE_BYTES, SEAMS = 90_000_000, 60_000_000, 200_000
+#: each character; of seams: entries of some 110 bytes. Three fifths of the bytes are for chunks.
+MEMO_BYTES, SEAMS = 150_000_000, 200_000
 #: Characters handled at a time, cut at white space, where no token can cross.
 BLOCK_CHARS = 1 << 20
 #: Chunks whose new words are encoded side by side.
-WINDOW = 200_000
+WINDOW = 50_000
 
 
 def _byte_symbols() -> list[str]:
@@ -214,7 +214,7 @@ class Transducer:
     """Encodes symbol streams: the state is the last token of each of the latest prefixes. Tokens leave once all states agree on
     them, and at the latest when they end the merge list's sufficient lookahead before the newest symbol."""
 
-    def __init__(self, tables: BpeTables):
+    def __init__(self, tables: BpeTables, memo_bytes: int = MEMO_BYTES):
         self.t = tables
         self.bytes = _byte_symbols()
         self.split = regex.compile(tables.pattern).findall
@@ -222,7 +222,7 @@ class Transducer:
         self.letters = _Letters(self.library)
         self.fits: dict[int, bool] = {}
         self.tokens = {x: tables.order[x] for x in tables.whole}
-        self.pieces = _Memo(self._piece, PIECE_BYTES)
+        self.pieces = _Memo(self._piece, memo_bytes * 2 // 5)
         self.piece = self.pieces.__getitem__
         self.children = None
         self.reach: dict[str, int] = {}  # first three symbols -> the longest token that begins with them
@@ -398,7 +398,7 @@ class Transducer:
         self.children = _Numbers(max(4, (2 * len(children)).bit_length()))
         self.children.put(np.fromiter(children, np.int64, len(children)), np.fromiter(children.values(), np.int32, len(children)))
         self.at_node, self.shorter = np.array(at_node, np.int32), shorter
-        self.lengths, self.id_of = np.array([len(parts_of[i]) for i in range(len(t.ids))], np.int64), np.array(t.ids, np.uint32)
+        self.lengths = np.array([len(parts_of[i]) for i in range(len(t.ids))], np.int64)
         self.inner, self.final = np.full(0x300, -1, np.int32), np.full(0x300, -1, np.int32)  # symbol of a stand-in within a word, and at its end
         for c in self.bytes:
             self.inner[ord(c)], self.final[ord(c)] = t.order.get(c, -1), t.order.get(c + t.suffix, -1)
@@ -482,7 +482,7 @@ class Transducer:
             at = at - self.lengths[ending[at]]
             left = at > begin[w]
             at, w = at[left], w[left]
-        flat = self.id_of[ending[kept]].tolist()
+        flat = [*map(self.t.ids.__getitem__, ending[kept].tolist())]  # the tables' own numbers: memos hold no further copies
         bounds = np.cumsum(kept)[ends].tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *bounds], bounds)]
 
@@ -634,12 +634,12 @@ def read_tables(path: str) -> BpeTables:
         return BpeTables(json.load(f), path)
 
 
-def _worker(shared) -> dict:
+def _worker(shared, memo_bytes: int = MEMO_BYTES) -> dict:
     """Per Python worker: the transducer and its memos, kept between tasks."""
 
     def make() -> dict:
-        t, d = Transducer(shared.value), Decoder(shared.value)
-        ids, count = _Memo(lambda c: struct.pack(f"<{len(x := t.ids(c))}I", *x), CHUNK_BYTES), _Memo(t.count, CHUNK_BYTES)
+        t, d = Transducer(shared.value, memo_bytes), Decoder(shared.value)
+        ids, count = _Memo(lambda c: struct.pack(f"<{len(x := t.ids(c))}I", *x), memo_bytes * 3 // 5), _Memo(t.count, memo_bytes * 3 // 5)
 
         def learn(held):
             chunks = {c for _, x in held for c in x}
@@ -647,7 +647,7 @@ def _worker(shared) -> dict:
 
         return {"ids": ids, "count": count, "decoder": d, "learn": learn}
 
-    return keep("bpe", shared.value.source, make)
+    return keep("bpe", (shared.value.source, memo_bytes), make)
 
 
 _SHARED: dict = {}
@@ -660,18 +660,18 @@ def _share(spark, path: str):
     return _SHARED[key]
 
 
-def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode whole texts with a `tokenizers` BPE file and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256, and with keep_ids the
     ids and the decoded text. One row for each row of docs, repeated rows and null ids included. A null text is an empty one:
     no tokens, digests of nothing. Other columns are not read. Special strings inside texts become their ids, as the library does.
-    Narrow: no shuffle; a worker's memory is its memos (bounded) and one block of a text.
+    Narrow: no shuffle; a worker's memory is its memos (some memo_bytes, which never change results), the tables and one window of a text.
     """
     shared = _share(docs.sparkSession, tokenizer)
 
     def run(batches):
-        w = _worker(shared)
+        w = _worker(shared, memo_bytes)
         ids_of, decoder, learn = w["ids"].__getitem__, w["decoder"], w["learn"]
 
         def finish(rows, row):
