@@ -1,4 +1,6 @@
-"""Small learners in numpy for bounded samples: boosted trees over histograms, ridge logistic regression, isotonic and sigmoid calibration."""
+"""Learners in numpy: boosted trees over histograms, ridge logistic regression, isotonic and sigmoid calibration.
+
+They take the rows of one task. The learners of an Estimator are also made `over` sums that something else gathers from parts of the rows, by the same steps."""
 
 from __future__ import annotations
 
@@ -12,8 +14,17 @@ class Prepared:
         with np.errstate(all="ignore"):
             self.fill = np.nan_to_num(np.nanmedian(np.where(np.isfinite(x), x, np.nan), 0)) if len(x) else np.zeros(x.shape[1])
         filled = self._filled(x)
-        self.mean, deviation = filled.mean(0), filled.std(0)
-        self.scale = np.where(deviation > 0, deviation, 1.0)
+        self._scaled(filled.mean(0), filled.std(0))
+
+    @classmethod
+    def over(cls, fill: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> Prepared:
+        self = cls.__new__(cls)
+        self.fill = fill
+        self._scaled(mean, deviation)
+        return self
+
+    def _scaled(self, mean, deviation):
+        self.mean, self.scale = mean, np.where(deviation > 0, deviation, 1.0)
 
     def _filled(self, x):
         return np.where(np.isfinite(x), x, self.fill)
@@ -26,12 +37,28 @@ class Logistic:
     """Ridge of strength 1 on all but the intercept, by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 2000):
+        self._fit(x.shape[1], lambda w: self.sums(w, x, y), rounds)
+
+    @classmethod
+    def over(cls, m: int, summed, rounds: int = 2000) -> Logistic:
+        """summed(w): the sums of all rows at the weights w of m columns and the intercept."""
+        self = cls.__new__(cls)
+        self._fit(m, summed, rounds)
+        return self
+
+    @staticmethod
+    def sums(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Curvature and gradient of these rows."""
         x = np.hstack([x, np.ones((len(x), 1))])
-        self.w, shrink = np.zeros(x.shape[1]), np.ones(x.shape[1])
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        return (x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - y)
+
+    def _fit(self, m, summed, rounds):
+        self.w, shrink = np.zeros(m + 1), np.ones(m + 1)
         shrink[-1] = 1e-9
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -35, 35)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * self.w)
+            curve, slope = summed(self.w)
+            step = np.linalg.solve(curve + np.diag(shrink), slope + shrink * self.w)
             self.w -= step
             if np.abs(step).max() < 1e-8:
                 break
@@ -43,14 +70,18 @@ class Logistic:
 class Boosted:
     """Gradient-boosted trees of a fixed depth on the log loss, split by histograms of at most `bins` quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 200, depth: int = 3, step: float = 0.05, ridge: float = 1.0, least: int = 20, bins: int = 255):
+    #: Levels of a tree; the step and the ridge of its leaves; rows that a side of a split has at least; bins of a column; trees at most.
+    DEPTH, STEP, RIDGE, LEAST, BINS, TREES = 3, 0.05, 1.0, 20, 255, 200
+    #: Parts of one in which gradients are counted where sums are made over parts of the rows: such sums are exact, in any order, for up to 2^29 rows.
+    FIXED = 1 << 24
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 200, depth: int = DEPTH, step: float = STEP, ridge: float = RIDGE, least: int = LEAST, bins: int = BINS):
         n, m = x.shape
         self.depth, self.trees = depth, []
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.empty(0) for j in range(m)]
         binned, width = self._binned(x), bins + 1
         flat = binned + np.arange(m) * width
-        rate = np.clip(y.mean() if n else 0.5, 1e-6, 1 - 1e-6)
-        self.start = float(np.log(rate / (1 - rate)))
+        self.start = self._odds(y.mean() if n else 0.5)
         f = np.full(n, self.start)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-f))
@@ -60,31 +91,87 @@ class Boosted:
             for level in range(depth):
                 k = 1 << level
                 at = (node[:, None] * (m * width) + flat).ravel()
-                g, h, c = (np.bincount(at, np.repeat(w, m), k * m * width).reshape(k, m, width).cumsum(2) for w in (grad, hess, np.ones(n)))
-                gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
-                gain = g**2 / (h + ridge) + (gt - g) ** 2 / (ht - h + ridge) - gt**2 / (ht + ridge)
-                gain[(c < least) | (ct - c < least)] = -1.0
-                best = gain.reshape(k, -1).argmax(1)
-                feature, cut = best // width, best % width
-                cut = np.where(gain.reshape(k, -1)[np.arange(k), best] > 1e-12, cut, width)  # no split: all to the left
-                splits.append((feature, cut))
-                node = 2 * node + (binned[np.arange(n), feature[node]] > cut[node])
+                sums = [np.bincount(at, np.repeat(w, m), k * m * width).reshape(k, m, width) for w in (grad, hess, np.ones(n))]
+                splits.append(self._split(sums, ridge, least))
+                node = self._next(node, binned, splits[-1])
             leaves = 1 << depth
             value = -step * np.bincount(node, grad, leaves) / (np.bincount(node, hess, leaves) + ridge)
             self.trees.append((splits, value))
             f += value[node]
 
+    @classmethod
+    def over(cls, edges: list[np.ndarray], rate: float, rounds: int, summed) -> Boosted:
+        """The trees of rows whose columns have these edges and whose mean outcome is rate. summed(model, splits): the sums (see `sums`) of all
+        rows under the model's trees so far, at the next level of a tree that begins with splits."""
+        self = cls.__new__(cls)
+        self.depth, self.trees, self.edges, self.start = cls.DEPTH, [], edges, cls._odds(rate)
+        for _ in range(rounds):
+            splits: list = []
+            for _ in range(self.depth):
+                sums = summed(self, splits) / np.array([cls.FIXED, cls.FIXED, 1.0])[:, None, None, None]
+                splits.append(self._split(sums, cls.RIDGE, cls.LEAST))
+            at = np.arange(len(splits[-1][0]))
+            columns, cut = sums[:2, at, splits[-1][0]], splits[-1][1]  # of each node, the column that it was split by
+            left = (columns * (np.arange(columns.shape[2]) <= cut[:, None])).sum(2)
+            grad, hess = np.stack([left, columns.sum(2) - left], 2).reshape(2, -1)
+            self.trees.append((splits, -cls.STEP * grad / (hess + cls.RIDGE)))
+        return self
+
+    @classmethod
+    def sums(cls, splits: list, binned: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Gradients, curvatures (both in whole parts of one) and rows by node, column and bin, of these rows with the scores f."""
+        m, width = binned.shape[1], cls.BINS + 1
+        k = 1 << len(splits)
+        p = 1 / (1 + np.exp(-f))
+        weights = [np.rint(w * cls.FIXED) for w in (p - y, p * (1 - p))]
+        node = cls._leaf(splits, binned) * width
+        out = np.empty((3, k, m, width))
+        for j in range(m):
+            at = node + binned[:, j]
+            for i, w in enumerate((*weights, None)):
+                out[i, :, j] = np.bincount(at, w, k * width).reshape(k, width)
+        return out
+
+    @staticmethod
+    def _odds(rate) -> float:
+        rate = np.clip(rate, 1e-6, 1 - 1e-6)
+        return float(np.log(rate / (1 - rate)))
+
+    @staticmethod
+    def _split(sums, ridge, least) -> tuple[np.ndarray, np.ndarray]:
+        """(column, last bin of the left side) of each node of a level."""
+        g, h, c = (w.cumsum(2) for w in sums)
+        k, _, width = g.shape
+        gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
+        gain = g**2 / (h + ridge) + (gt - g) ** 2 / (ht - h + ridge) - gt**2 / (ht + ridge)
+        gain[(c < least) | (ct - c < least)] = -1.0
+        best = gain.reshape(k, -1).argmax(1)
+        feature, cut = best // width, best % width
+        return feature, np.where(gain.reshape(k, -1)[np.arange(k), best] > 1e-12, cut, width)  # no split: all to the left
+
+    @staticmethod
+    def _next(node, binned, split) -> np.ndarray:
+        feature, cut = split
+        return 2 * node + (binned[np.arange(len(binned)), feature[node]] > cut[node])
+
+    @classmethod
+    def _leaf(cls, splits, binned) -> np.ndarray:
+        node = np.zeros(len(binned), np.int64)
+        for split in splits:
+            node = cls._next(node, binned, split)
+        return node
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1) if len(self.edges) else np.zeros((len(x), 0), np.int64)
 
+    def raised(self, f: np.ndarray, binned: np.ndarray, first: int = 0) -> np.ndarray:
+        """The scores f with what the trees from the first on add."""
+        for splits, value in self.trees[first:]:
+            f = f + value[self._leaf(splits, binned)]
+        return f
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        binned, f, rows = self._binned(x), np.full(len(x), self.start), np.arange(len(x))
-        for splits, value in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for feature, cut in splits:
-                node = 2 * node + (binned[rows, feature[node]] > cut[node])
-            f += value[node]
-        return 1 / (1 + np.exp(-f))
+        return 1 / (1 + np.exp(-self.raised(np.full(len(x), self.start), self._binned(x))))
 
 
 class Isotonic:
@@ -128,7 +215,13 @@ class Estimator:
             raise ValueError(f"unknown estimator: {kind}")
         self.prepared = Prepared(x)
         x = self.prepared(x)
-        self.model = Logistic(x, y, rounds) if kind == "logistic" else Boosted(x, y, min(rounds, 200))
+        self.model = Logistic(x, y, rounds) if kind == "logistic" else Boosted(x, y, min(rounds, Boosted.TREES))
+
+    @classmethod
+    def over(cls, prepared: Prepared, model: Logistic | Boosted) -> Estimator:
+        self = cls.__new__(cls)
+        self.prepared, self.model = prepared, model
+        return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.model.score(self.prepared(x))

@@ -1,6 +1,7 @@
 """Calibrated classifiers over feature blocks: fitted inside purged folds, averaged, compared by ablation and permutation.
 
-Models are fitted on bounded samples (max_rows), each in a task of its own; scores, calibration by fold and metrics cover all rows.
+The models of fit_and_score are fitted on bounded samples (max_rows), each in a task of its own; scores, calibration by fold and metrics cover all
+rows. The model of permutation_importance is fitted on all training rows: where they are too many for a task, by sums over parts of them.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import auc, holdout_split, positions, purged_splits
-from tidemark.operators.learners import Estimator, Isotonic, Sigmoid
+from tidemark.operators.learners import Boosted, Estimator, Isotonic, Logistic, Prepared, Sigmoid
+from tidemark.operators.panel import finite
 from tidemark.sources.scratch import written
 
+#: Trees after which the scores of rows that are fitted by parts are written anew.
+KEPT = 10
+
 
 def _bounded(rows: DataFrame, by: list[str], most: int) -> DataFrame:
     """About `most` rows of each group at most, chosen by a hash of the id; a group that is small enough is whole."""
@@ -50,6 +55,107 @@ def _fitted(parts: DataFrame, sets: dict[str, list[str]], kind: str, calibration
     return [(r.feature_set, *pickle.loads(r.model)) for r in sorted(got, key=lambda r: (r.feature_set, r.fold))]
 
 
+def _prepared(train: DataFrame, features: list[str], n: int) -> tuple[Prepared, list[np.ndarray]]:
+    """Imputation and scaling of all n rows, and each column's edges, as the learners make them: exact order statistics, of which the driver
+    gets the ones that the quantiles lie between. A column's values are placed by ranges."""
+    number = [finite(F.col(f"`{f}`").cast("double")) for f in features]
+    held = np.array(train.agg(*[F.count(v) for v in number]).first(), np.int64)
+    share = np.linspace(0, 1, Boosted.BINS + 1)[1:-1] * (n - 1)
+    low = np.floor(share).astype(np.int64)
+    part = share - low
+    ends = np.stack([low, np.minimum(low + 1, n - 1)])
+    median = np.stack([(held - 1) // 2, held // 2])  # what is imputed stands between these
+    # of an end, its place among the values that the column has; -1: it is imputed
+    places = [np.where(ends < m[1], ends, np.where(ends < m[1] + n - h, -1, ends - (n - h))) for m, h in zip(median.T, held)]
+    asked = [(j, int(r)) for j, p in enumerate(places) for r in {0, held[j] - 1, *p.ravel(), *median[:, j]} if 0 <= r < held[j]]
+    values = train.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("value")) for j, v in enumerate(number)])).alias("v")).select("v.*")
+    placed = positions(values.where("value is not null"), ["value"], ["j"])
+    found = {(r.j, r.pos): r.value for r in placed.join(F.broadcast(train.sparkSession.createDataFrame(asked, "j int, pos long")), ["j", "pos"]).collect()} if asked else {}
+    fill = np.array([(found[j, a] + found[j, b]) / 2 if h else 0.0 for j, (a, b, h) in enumerate(zip(*median.tolist(), held))])
+
+    filled = [F.coalesce(v, F.lit(float(x))) for v, x in zip(number, fill)]
+    mean = np.array(train.agg(*[F.avg(v) for v in filled]).first())
+    deviation = np.sqrt(np.array(train.agg(*[F.avg((v - F.lit(float(x))) ** 2) for v, x in zip(filled, mean)]).first()))
+    alike = np.array([not h or found[j, 0] == found[j, h - 1] for j, h in enumerate(held.tolist())])
+    prepared = Prepared.over(fill, mean, np.where(alike, 0.0, deviation))
+
+    edges = []
+    for j, at in enumerate(places):
+        a, b = np.array([[found.get((j, r), fill[j]) for r in row] for row in at.tolist()])
+        a, b = ((v - prepared.mean[j]) / prepared.scale[j] for v in (a, b))
+        edges.append(np.unique(np.where(part < 0.5, a + (b - a) * part, b - (b - a) * (1 - part))))
+    return prepared, edges
+
+
+def _fitted_by_parts(train: DataFrame, features: list[str], kind: str, rounds: int, n: int) -> Estimator:
+    """The estimator of all n rows, however many. Tasks hand the driver sums, of one size each; none holds more of the rows than a batch. Sums of
+    trees are of whole numbers, so the parts do not matter. Rows keep their bins and their score under the trees so far, which are written
+    anew every KEPT trees."""
+    prepared, edges = _prepared(train, features, n)
+
+    def added(parts):
+        return sum(np.frombuffer(r.sums) for r in parts.collect())
+
+    def to_y(pdf):
+        return pdf.y.to_numpy(np.float64)
+
+    if kind == "logistic":
+
+        def newton(w):
+            def total(batches):
+                sums = [Logistic.sums(w, prepared(pdf[features].to_numpy(np.float64)), to_y(pdf)) for pdf in batches if len(pdf)]
+                if sums:
+                    yield pd.DataFrame({"sums": [np.concatenate([sum(x).ravel() for x in zip(*sums)]).tobytes()]})
+
+            got = added(train.select("y", *features).mapInPandas(total, "sums binary"))
+            return got[: len(w) ** 2].reshape(len(w), -1), got[len(w) ** 2 :]
+
+        return Estimator.over(prepared, Logistic.over(len(features), newton, rounds))
+
+    schema = "codes binary, y binary, f binary"  # of a batch of rows: bins by column, outcomes, scores
+    rate = train.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    empty = Boosted.over(edges, rate, 0, None)
+
+    def binned(batches):
+        for pdf in batches:
+            if len(pdf):
+                codes = empty._binned(prepared(pdf[features].to_numpy(np.float64))).T.astype(np.uint8)
+                yield pd.DataFrame({"codes": [codes.tobytes()], "y": [to_y(pdf).tobytes()], "f": [np.full(len(pdf), empty.start).tobytes()]})
+
+    def blocks(pdf, model, first):
+        for codes, y, f in zip(pdf.codes, pdf.y, pdf.f):
+            codes = np.frombuffer(codes, np.uint8).reshape(len(features), -1).T
+            yield codes, np.frombuffer(y), model.raised(np.frombuffer(f), codes, first)
+
+    dealt = train.select("y", *features).repartition(train.sparkSession.sparkContext.defaultParallelism)
+    state, done = written(dealt.mapInPandas(binned, schema), "bins"), 0
+
+    def summed(model, splits):
+        nonlocal state, done
+        first = done
+        if not splits and len(model.trees) - done == KEPT:
+
+            def raised(batches):
+                for pdf in batches:
+                    yield pdf.assign(f=[f.tobytes() for _, _, f in blocks(pdf, model, first)])
+
+            state, done = written(state.mapInPandas(raised, schema), "bins"), len(model.trees)
+        begin = done
+
+        def total(batches):
+            out = None
+            for pdf in batches:
+                for block in blocks(pdf, model, begin):
+                    got = Boosted.sums(splits, *block)
+                    out = got if out is None else out + got
+            if out is not None:
+                yield pd.DataFrame({"sums": [out.tobytes()]})
+
+        return added(state.mapInPandas(total, "sums binary")).reshape(3, 1 << len(splits), len(features), -1)
+
+    return Estimator.over(prepared, Boosted.over(edges, rate, min(rounds, Boosted.TREES), summed))
+
+
 def fit_and_score(rows: DataFrame, sets: dict[str, list[str]], kind: str = "gbm", calibration: str = "isotonic", folds: int = 5, embargo_days: int = 10, share: float = 0.2, rounds: int = 2000, max_rows: int = 100_000) -> DataFrame:
     """(feature_set, id, y, p) of the held-out rows for each named set of features, on the same folds. In each purged fold of the
     training rows an estimator is fitted and its scores on the fold's test rows are calibrated; p is the mean of the folds'
@@ -78,12 +184,15 @@ def run_ablation(rows: DataFrame, blocks: dict[str, list[str]], **how) -> DataFr
     return fit_and_score(rows, {name: features for name, features in sets.items() if features}, **how)
 
 
-def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gbm", repeats: int = 10, top: int = 20, seed: int = 42, share: float = 0.2, embargo_days: int = 10, rounds: int = 2000, max_rows: int = 100_000) -> DataFrame:
+def permutation_importance(rows: DataFrame, features: list[str], kind: str = "gbm", repeats: int = 10, top: int = 20, seed: int = 42, share: float = 0.2, embargo_days: int = 10, rounds: int = 2000, one_task: int = 100_000) -> DataFrame:
     """Drop of the held-out AUC when a feature's values are dealt anew, by hash order: mean and deviation over repeats, largest first.
-    max_rows bounds the rows that the model is fitted on; all held-out rows are dealt and scored."""
+    The model is fitted on all training rows, up to one_task of them in one task, more by parts; all held-out rows are dealt and scored."""
     train, test = _held_out(rows, share, embargo_days)
-    train = train.withColumn("fold", F.lit(0)).withColumn("role", F.lit("train"))
-    [(_, model, _)] = _fitted(_bounded(train, ["fold"], max_rows), {"all": features}, kind, None, rounds)
+    n = train.count()
+    if n <= one_task:
+        [(_, model, _)] = _fitted(train.withColumn("fold", F.lit(0)).withColumn("role", F.lit("train")), {"all": features}, kind, None, rounds)
+    else:
+        model = _fitted_by_parts(train, features, kind, rounds, n)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     value = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("other")) for f in features])
